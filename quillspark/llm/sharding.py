@@ -101,21 +101,36 @@ def kd_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col
     total = ends["w"] or 0
     if target_bytes:
         shards = max(1, math.ceil(total / target_bytes))
+    # A group heavier than a fair share of what is left has a shard of its own; there are fewer of those than shards.
+    alone, left = [], total
+    for r in table.orderBy(F.col("weight").desc(), "sha").limit(shards - 1).collect() if shards > 1 else []:
+        if r["weight"] * (shards - len(alone)) <= left or len(alone) == shards - 1:
+            break
+        alone.append(r["sha"])
+        left -= r["weight"]
+    solo, shards = len(alone), shards - len(alone)
+    table_rest = table.filter(~F.col("sha").isin(alone)) if alone else table
     bounds = {d: (ends[f"min_{d}"] or 0, ends[f"max_{d}"] or 0) for d in DIMS}
-    ranked = _ranked(table, bounds)
+    ranked = _ranked(table_rest, bounds)
     tree: dict[int, tuple[str, int]] = {}
     below = {1: shards}
     while wide := {k: n for k, n in below.items() if n > 1 and k not in tree}:
         level = ranked.withColumn("node", _child(tree)).filter(F.col("node").isin(list(wide)))
-        cuts = _medians(level, {k: (n // 2) / n for k, n in wide.items()}, total / shards, tolerance)
+        cuts = _medians(level, {k: (n // 2) / n for k, n in wide.items()}, left / shards, tolerance)
         for k, n in wide.items():
             tree[k] = cuts.get(k, (f"r_{DIMS[0]}", 0))
             below |= {2 * k: n // 2, 2 * k + 1: n - n // 2}
     leaves = sorted((k for k in below if k not in tree), key=lambda k: f"{k:b}")
     number = F.lit(0)
     for i, k in enumerate(leaves):
-        number = F.when(F.col("node") == k, F.lit(i)).otherwise(number)
-    return ranked.select("sha", _child(tree).alias("node")).select("sha", number.cast("int").alias("shard"))
+        number = F.when(F.col("node") == k, F.lit(solo + i)).otherwise(number)
+    placed = ranked.select("sha", _child(tree).alias("node")).select("sha", number.cast("int").alias("shard"))
+    if not alone:
+        return placed
+    own = F.lit(0)
+    for i, sha in enumerate(alone):
+        own = F.when(F.col("sha") == sha, F.lit(i)).otherwise(own)
+    return placed.unionByName(table.filter(F.col("sha").isin(alone)).select("sha", own.cast("int").alias("shard")))
 
 
 def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", target_bytes: int | None = None) -> DataFrame:
