@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encode_report
 from .common import read
 from .decontamination import decontaminate_report
 from .exact_dedup import exact_dedup
+from .html_text import extract_text
 from .sharding import shard
 from .token_counts import token_histogram
+from .warc import read_archive, write_archive
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,11 +37,25 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_histogram(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_report(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_decontamination, op3_token_counts, op6_sharding)}
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_archive(write_archive(read(spark, sf_dir, "pages")))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_decontamination, op3_token_counts, op4_bpe, op6_sharding, op7_warc, op9_html_text)}
+
+_BASE32 = "||".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, {k + 1}, 10) AS BIGINT) >> {35 - 5 * j}) & 31 AS BIGINT), 1)" for k in range(0, 40, 10) for j in range(8))
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": r"""
@@ -60,4 +77,11 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op7_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        q AS (SELECT page_id, strlen(html) AS n, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS first_id FROM p)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+               CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM q""",
 }
