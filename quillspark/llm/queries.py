@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .html_text import extract_text
 from .sharding import shard
 from .token_counts import token_histogram
+from .toxicity import toxicity_report
 from .warc import read_archive, write_archive
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +42,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_report(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents"))
 
@@ -53,7 +58,7 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(read(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_decontamination, op3_token_counts, op4_bpe, op6_sharding, op7_warc, op9_html_text)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_decontamination, op3_token_counts, op4_bpe, op5_toxicity, op6_sharding, op7_warc, op9_html_text)}
 
 _BASE32 = "||".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, {k + 1}, 10) AS BIGINT) >> {35 - 5 * j}) & 31 AS BIGINT), 1)" for k in range(0, 40, 10) for j in range(8))
 
