@@ -12,6 +12,7 @@ from .decontamination import decontaminate_report
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
 from .sharding import shard
+from .substring_dedup import substring_report
 from .token_counts import token_histogram
 from .toxicity import toxicity_report
 from .warc import read_archive, write_archive
@@ -54,11 +55,15 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archive(write_archive(read(spark, sf_dir, "pages")))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_report(read(spark, sf_dir, "documents"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(read(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_decontamination, op3_token_counts, op4_bpe, op5_toxicity, op6_sharding, op7_warc, op9_html_text)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_decontamination, op3_token_counts, op4_bpe, op5_toxicity, op6_sharding, op7_warc, op8_substring_dedup, op9_html_text)}
 
 _BASE32 = "||".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, {k + 1}, 10) AS BIGINT) >> {35 - 5 * j}) & 31 AS BIGINT), 1)" for k in range(0, 40, 10) for j in range(8))
 
@@ -89,4 +94,13 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first_id THEN first_id END AS refers_to
         FROM q""",
+    "op8_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (SELECT doc_id, i, list_slice(w, i, i + 12) AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 13)),
+        m AS (SELECT g, min(doc_id) AS first_id FROM g GROUP BY g HAVING count(DISTINCT doc_id) > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS p FROM g JOIN m USING (g) WHERE first_id < doc_id),
+        words AS (SELECT doc_id, p, w[p] AS word FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS p FROM d WHERE len(w) > 0)),
+        kept AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
 }
