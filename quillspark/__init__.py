@@ -1,0 +1 @@
+"""A PySpark-native engine for analytics over document collections."""
