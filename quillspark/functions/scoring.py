@@ -96,7 +96,7 @@ def validated(category: Column, score: Column) -> Column:
     number = score.try_cast("double")
     low = F.greatest(F.lit(0.0), F.coalesce(number, F.lit(10.0)) - 20)
     clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(100.0), x))
-    return F.struct(F.when(known, category).otherwise(F.lit(CATEGORIES[0])).alias("category"), F.coalesce(clamp(F.when(known, number).otherwise(low)), F.lit(0.0)).alias("score"))
+    return F.struct(F.when(known, category).otherwise(F.lit(CATEGORIES[0])).alias("category"), clamp(F.when(known, F.coalesce(number, F.lit(0.0))).otherwise(low)).alias("score"))
 
 
 # The notes that records carry.

@@ -93,7 +93,7 @@ def stem(name: Column) -> Column:
 
 def tags(text: Column) -> Column:
     """A comma-separated list as trimmed, non-empty entries."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def supported(name: Column) -> Column:
