@@ -77,15 +77,15 @@ def suffix_sums(histogram: DataFrame, key: str, values: list[str], block: int =
 
     Sums within blocks of keys are added to the suffix sums of the blocks' totals, found the same way.
     """
-    at = F.floor(F.col(key) / block).cast("long")
+    at, part = F.floor(F.col(key) / block).cast("long"), f"{key}_block"
     if levels == 0:
         w = Window.orderBy(F.col(key).desc())  # the totals of the largest blocks alone
         return histogram.select("*", *[F.sum(v).over(w).alias(f"ge_{v}") for v in values])
-    rows = histogram.withColumn("block", at)
-    totals = suffix_sums(rows.groupBy("block").agg(*[F.sum(v).alias(v) for v in values]), "block", values, block, levels - 1)
-    later = totals.select("block", *[(F.col(f"ge_{v}") - F.col(v)).alias(f"later_{v}") for v in values])
-    w = Window.partitionBy("block").orderBy(F.col(key).desc())
-    return rows.select("*", *[F.sum(v).over(w).alias(f"ge_{v}") for v in values]).join(later, "block").select(*histogram.columns, *[(F.col(f"ge_{v}") + F.col(f"later_{v}")).alias(f"ge_{v}") for v in values])
+    rows = histogram.withColumn(part, at)
+    totals = suffix_sums(rows.groupBy(part).agg(*[F.sum(v).alias(v) for v in values]), part, values, block, levels - 1)
+    later = totals.select(part, *[(F.col(f"ge_{v}") - F.col(v)).alias(f"later_{v}") for v in values])
+    w = Window.partitionBy(part).orderBy(F.col(key).desc())
+    return rows.select("*", *[F.sum(v).over(w).alias(f"ge_{v}") for v in values]).join(later, part).select(*histogram.columns, *[(F.col(f"ge_{v}") + F.col(f"later_{v}")).alias(f"ge_{v}") for v in values])
 
 
 def token_histogram(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
