@@ -26,6 +26,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of distinct texts that a scan task chains before it sends them on.
 LOCAL_BYTES = 24 << 20
 BUCKET_ENTRIES = 256
+_NO_ID = -(1 << 63)
 _CHAIN = "key long, text binary, keep_id long, n long"
 _INDEX = "owner int, depth int, bucket long, key long, chain int, text_sha256 string, keep_id long, group_size long"
 
@@ -170,8 +171,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_ENTRIES) -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows that repeat an id and its text one stays."""
-    index = build_index(docs, id_col, text_col, capacity).select(F.col("text_sha256").alias("sha"), F.col("keep_id").alias("id"))
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.sha2(normalised(F.col(text_col)), 256).alias("sha"))
-    # By digest and id, so a hot text is no hot key; repeated rows meet in the same partition.
-    same = (keyed["sha"] == index["sha"]) & keyed["id"].eqNullSafe(index["id"])
-    return keyed.join(index, same, "left_semi").dropDuplicates(["sha", "id"]).select("row.*")
+    known = lambda c: F.coalesce(c.cast("long"), F.lit(_NO_ID)).alias("id")
+    index = build_index(docs, id_col, text_col, capacity).select(F.col("text_sha256").alias("sha"), known(F.col("keep_id")))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), known(F.col(id_col)), F.sha2(normalised(F.col(text_col)), 256).alias("sha"))
+    # By digest and id, so a hot text is no hot key; repeated rows meet in the same partition, without another exchange.
+    return keyed.join(index, ["sha", "id"], "left_semi").dropDuplicates(["sha", "id"]).select("row.*")
