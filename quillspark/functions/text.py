@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CONTAINER = "csg-tfm-test"
+#: The store's name, where paths begin with it.
+CONTAINER = "documents"
 OUTPUT_ROOT = "DIC"
 
 

@@ -16,17 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import relational as R
 from ..plans import fixtures as X
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: the session's checkpoint folder, set here only where it is unset."""
-    kept = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not kept:
-        import tempfile
-
-        kept = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
-        spark.sparkContext.setCheckpointDir(kept)
-    return kept.rstrip("/")
+from ..session import shared_dir
 
 
 def _place(spark: SparkSession, name: str) -> str:
