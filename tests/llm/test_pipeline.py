@@ -1,12 +1,10 @@
 import re
 
-import pytest
 from tokenizers import Tokenizer
 
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
-
-from quillspark.llm.queries import vocabulary  # noqa: E402
-from tests.llm.test_jaccard_join import _brute as near  # noqa: E402
+import corpus_pipeline
+from quillspark.llm.queries import vocabulary
+from tests.llm.test_jaccard_join import _brute as near
 
 
 def test_stages_against_brute_force(spark, sf_dir, tmp_path):
