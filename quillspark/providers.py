@@ -84,3 +84,32 @@ def embedded(chunks: DataFrame, make: Callable[[], Embedder], text: str = "chunk
 
 def prompt_excerpt(text: str, limit: int = 6000) -> str:
     return text[:limit]
+
+
+def hypothetical_answer(writer: Writer, question: str) -> str:
+    """A passage that would answer the question, to search with; the question itself where the model fails."""
+    try:
+        return writer.write(f"Write a short passage from a business document that answers: {question}", 200).strip() or question
+    except Exception:
+        return question
+
+
+def chunk_context(writer: Writer, document: str, chunk: str) -> str:
+    """One sentence that places a chunk in its document; empty where the model fails."""
+    try:
+        return writer.write(f"Document:\n{document[:25_000]}\n\nIn one sentence, place this part in the document:\n{chunk}", 100).strip()
+    except Exception:
+        return ""
+
+
+def answer(writer: Writer, question: str, context: str) -> str:
+    return writer.write(f"Answer from these sources alone, and cite them.\n\n{context}\n\nQuestion: {question}", 400)
+
+
+def classify(writer: Writer, text: str, name: str, categories: tuple[str, ...]) -> str | None:
+    """A model's answer as JSON text (predicted_category, confidence_score, reasoning), or None after three failures."""
+    ask = retried(writer.write)
+    try:
+        return ask(f"File {name}. Choose one of {', '.join(categories)}, Miscellaneous for this text; answer as JSON with predicted_category, confidence_score (0-100) and reasoning.\n\n{prompt_excerpt(text)}", 300)
+    except Exception:
+        return None
