@@ -1,10 +1,11 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
-1. Candidates. Texts of a similar pair share a shingle among the first (1 - t) of their shingles in any order common to
-   all texts, so only those prefixes are exchanged, and linking each text to the least text of a shingle links every
-   similar pair through a chain: clusters of candidates, without a pair being written. Shingles that many texts hold come
-   last in the order (a bounded list of them is broadcast; it only orders, so it can be anything). A scan task links its
-   own texts and sends one entry per shingle, however hot.
+1. Candidates. A similar text shares t of its shingles at least. The first (1 - t) of each text's shingles in hash order,
+   a fair sample of it, are exchanged, packed; a text is dropped when the posterior probability that enough of its
+   shingles recur elsewhere falls below TOLERANCE. Of the rest all shingles are counted, and of similar texts the first
+   (1 - t) in order of rarity must share one: each text is linked to the least text of every recurring shingle among
+   those. Every similar pair is in one chain of links, no pair is written, and lines or passages that unlike texts share
+   don't join them, being the least rare of what they hold.
 2. Pairs. Each cluster's texts meet once with their shingles, in blocks of BLOCK texts and pairs of blocks. MinHash values
    are compared a few at a time; a pair is dropped when the posterior probability (uniform prior) that it reaches the
    threshold falls below TOLERANCE; the rest are verified exactly. What leaves a task is a link count and one edge per text.
@@ -14,11 +15,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import comb, exp, lgamma
+from math import log as _log
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import buffers, mix, packed, partitions, slices, spans, window_hashes, within, word_hashes, written
@@ -29,10 +32,11 @@ WORDS, THRESHOLD = 5, 0.8
 #: A pair is dropped once its chance of reaching the threshold is below this.
 TOLERANCE = 1e-9
 HASHES, STEP = 64, 16
-BLOCK = 512
-#: Shingles that the order puts last: at most so many, 8 bytes each.
-HEAVY = 50_000
-_SENT = "bucket int, keys binary, docs binary, local boolean"
+BLOCK = 1024
+#: Share of a prefix's shingles that must be able to recur in other prefixes. Of a similar text THRESHOLD of all shingles
+#: recur at least; prefixes of texts of unlike length end at different hashes, hence less.
+RECUR = 0.6
+_SENT = "bucket int, keys binary, docs binary, lengths binary"
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -94,76 +98,97 @@ def prefix_lengths(sizes: np.ndarray, threshold: float) -> np.ndarray:
     return sizes - np.ceil(sizes * threshold - 1e-9).astype(np.int64) + 1
 
 
-def _heavy_task(width: int):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            text, hashes = shingles(*buffers(batch.column("text")), width)
-            keys, n = np.unique(hashes, return_counts=True)
-            keep = n >= max(3, len(batch) // 200)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(n[keep], pa.int64())], ["key", "n"])
+def enough_recur(width_of_prefix: int, recurring: int, share: float = RECUR, tolerance: float = TOLERANCE) -> bool:
+    """Whether so many of a prefix's shingles recur that the text may have a similar one.
 
-    return task
+    With a uniform prior, the chance that at least `share` of a text's shingles recur, after a sample of n with c that do,
+    is the chance of at most c successes in n + 1 trials.
+    """
+    n, c = width_of_prefix, min(recurring, width_of_prefix)
+    log = [lgamma(n + 2) - lgamma(k + 1) - lgamma(n - k + 2) + k * _log(share) + (n + 1 - k) * _log(1 - share) for k in range(c + 1)]
+    top = max(log)
+    return top + _log(sum(exp(x - top) for x in log)) >= _log(tolerance)
+
+
+def least_recurring(n: int, share: float = RECUR, tolerance: float = TOLERANCE) -> int:
+    """The least number of recurring shingles with which a prefix of n is kept; one at least."""
+    low, high = 1, n
+    while low < high:
+        mid = (low + high) // 2
+        if enough_recur(n, mid, share, tolerance):
+            high = mid
+        else:
+            low = mid + 1
+    return low
 
 
-def _prefix_task(width: int, threshold: float, buckets: int, heavy):
+def _prefix_task(width: int, threshold: float, buckets: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = heavy.value
         for batch in slices(batches):
             docs = batch.column("doc_id").to_numpy()
             text, hashes = shingles(*buffers(batch.column("text")), width)
             if not len(text):
                 continue
-            key = hashes >> np.uint64(1)
-            if len(last):
-                at = np.minimum(np.searchsorted(last, hashes), len(last) - 1)
-                key |= (last[at] == hashes).astype(np.uint64) << np.uint64(63)
-            order = np.lexsort((key, text))
-            text, key = text[order], key[order]
             sizes = np.bincount(text, minlength=len(docs))
+            lengths = prefix_lengths(sizes, threshold)
             place = np.arange(len(text)) - (np.cumsum(sizes) - sizes)[text]
-            keep = place < prefix_lengths(sizes, threshold)[text]
-            key, ids = key[keep], docs[text[keep]]
-            order = np.lexsort((ids, key))
-            key, ids = key[order], ids[order]
-            new = np.ones(len(key), bool)
-            new[1:] = key[1:] != key[:-1]
-            least = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
-            pairs = np.unique(np.stack([ids, least], 1)[ids != least], axis=0)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array([int(pairs[0, 0] % buckets)], pa.int32()), pa.array([packed(pairs[:, 0])]), pa.array([packed(pairs[:, 1])]), pa.array([True])], ["bucket", "keys", "docs", "local"])
-            key, ids = key[new], ids[new]
-            mixed = mix(key)
-            bucket = ((mixed >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
+            keep = place < lengths[text]
+            key, text = mix(hashes[keep]), text[keep]
+            bucket = ((key >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
+            order = np.lexsort((key, bucket))
             named, starts = np.unique(bucket[order], return_index=True)
             ends = np.concatenate([starts[1:], [len(order)]])
-            # 4 bytes of the hash beside the bucket: keys that agree by chance only join clusters.
-            small = (mixed[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            ids = ids[order]
-            yield pa.RecordBatch.from_arrays([pa.array(named), pa.array([packed(small[s:e]) for s, e in zip(starts, ends, strict=True)], pa.binary()), pa.array([packed(ids[s:e]) for s, e in zip(starts, ends, strict=True)], pa.binary()), pa.array([False] * len(named))], ["bucket", "keys", "docs", "local"])
+            # 4 bytes of the hash beside the bucket: shingles that agree in them by chance only add candidates.
+            small = (key[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            ids, n = docs[text[order]], lengths[text[order]].astype(np.int32)
+            made = lambda x: pa.array([packed(x[s:e]) for s, e in zip(starts, ends, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(named), made(small), made(ids), made(n)], ["bucket", "keys", "docs", "lengths"])
 
     return task
 
 
-def _edges_of(table: pa.Table) -> pa.Table:
-    """Edges from each text of a shingle to the least of them, and those that scan tasks have found."""
-    keys, docs, edges = [], [], []
-    for k, d, local in zip(table.column("keys").to_pylist(), table.column("docs").to_pylist(), table.column("local").to_pylist(), strict=True):
-        if local:
-            edges.append(np.stack([np.frombuffer(k, np.int64), np.frombuffer(d, np.int64)], 1))
-        else:
-            keys.append(np.frombuffer(k, np.uint32))
-            docs.append(np.frombuffer(d, np.int64))
-    if keys:
-        key, doc = np.concatenate(keys), np.concatenate(docs)
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-        edges.append(np.stack([doc, least], 1)[doc != least])
-    found = np.unique(np.concatenate(edges), axis=0) if edges else np.zeros((0, 2), np.int64)
-    return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
+def _recurring(key: tuple, table: pa.Table) -> pa.Table:
+    """(doc, prefix length, n): how many shingles of a bucket each text has that other texts have too."""
+    join = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()])
+    keys, docs, lengths = join("keys", np.uint32), join("docs", np.int64), join("lengths", np.int32)
+    order = np.lexsort((docs, keys))
+    keys, docs, lengths = keys[order], docs[order], lengths[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    group = np.cumsum(new) - 1
+    ends = np.append(np.flatnonzero(new)[1:], len(keys)) - 1
+    several = docs[np.flatnonzero(new)] != docs[ends]
+    keep = several[group]
+    keep[1:] &= new[1:] | (docs[1:] != docs[:-1])
+    ids, first, n = np.unique(docs[keep], return_index=True, return_counts=True)
+    return pa.table({"doc": pa.array(ids, pa.int64()), "length": pa.array(lengths[keep][first], pa.int32()), "n": pa.array(n, pa.int64())})
+
+
+def promising(docs: DataFrame, width: int, threshold: float, tolerance: float) -> DataFrame:
+    """The ids of texts of whose shingles enough may recur; docs: doc_id and text, without nulls."""
+    n = partitions(docs.sparkSession)
+    sent = docs.mapInArrow(_prefix_task(width, threshold, n * 4), _SENT)
+    found = sent.groupBy("bucket").applyInArrow(_recurring, "doc long, length int, n long")
+
+    @F.pandas_udf("int")
+    def least(lengths: pd.Series) -> pd.Series:
+        return lengths.map({n: least_recurring(n, RECUR * threshold / THRESHOLD, tolerance) for n in lengths.unique()}).astype("int32")
+
+    counted = found.groupBy("doc", "length").agg(F.sum("n").alias("n"))
+    return counted.filter(F.col("n") >= least("length")).select(F.col("doc").alias("id")).distinct()
+
+
+def candidate_links(sets: DataFrame, threshold: float) -> DataFrame:
+    """Edges (a, b) that join all texts of each similar pair; sets: doc_id and sh, its distinct shingles."""
+    rows = sets.select("doc_id", F.size("sh").alias("size"), F.explode("sh").alias("shingle"))
+    recurring = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Shingles of one text alone are the rarest: of the others only as many count as the prefix has places left.
+    by_doc = Window.partitionBy("doc_id")
+    placed = rows.join(recurring, "shingle").select("doc_id", "size", "shingle", F.row_number().over(by_doc.orderBy("n", "shingle")).alias("k"), F.count(F.lit(1)).over(by_doc).alias("others"))
+    prefix = F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - 1e-9) + 1
+    rows = written(placed.filter(F.col("size") - F.col("others") + F.col("k") <= prefix).select("doc_id", "shingle"), "prefixes")
+    first = rows.groupBy("shingle").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).filter("b < last").select("shingle", "b")
+    return rows.join(first, "shingle").filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
 
 
 class _Links:
@@ -214,7 +239,7 @@ def _pairs_task(threshold: float, tolerance: float):
     def group(rows: list[tuple]) -> tuple[list, list, list]:
         i, j = rows[0][1], rows[0][2]
         rows.sort(key=lambda r: r[4])
-        links = _Links([r[4] for r in rows], [np.frombuffer(r[5], np.uint64) for r in rows], np.stack([np.frombuffer(r[6], np.uint32) for r in rows]), threshold, least)
+        links = _Links([r[4] for r in rows], [np.sort(np.array(r[5], np.int64)) for r in rows], np.stack([np.frombuffer(r[6], np.uint32) for r in rows]), threshold, least)
         if i == j:
             for a in range(len(rows) - 1):
                 links.compare(a, np.arange(a + 1, len(rows)))
@@ -255,14 +280,12 @@ def _sets_task(width: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             text, hashes = shingles(*buffers(batch.column("text")), width)
-            have = np.unique(text)
+            have, starts = np.unique(text, return_index=True)
             if not len(have):
                 continue
             marks = signatures(np.searchsorted(have, text), hashes, len(have))
-            starts = np.searchsorted(text, have)
-            ends = np.concatenate([starts[1:], [len(text)]])
-            rows = batch.take(pa.array(have))
-            yield pa.RecordBatch.from_arrays([rows.column("cluster"), rows.column("blocks"), rows.column("doc_id"), pa.array([packed(hashes[s:e]) for s, e in zip(starts, ends, strict=True)], pa.binary()), pa.array([packed(m) for m in marks], pa.binary())], ["cluster", "blocks", "doc_id", "sh", "marks"])
+            sh = pa.ListArray.from_arrays(pa.array(np.append(starts, len(text)), pa.int32()), pa.array(hashes.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(have)), sh, pa.array([packed(m) for m in marks], pa.binary())], ["doc_id", "sh", "marks"])
 
     return task
 
@@ -277,17 +300,15 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = rows.filter("doc_id is not null")
     copies = written(rows.select("doc_id", F.sha2("text", 256).alias("sha")).groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "copies")
-    heavy = known.select("text").mapInArrow(_heavy_task(width), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "key").limit(HEAVY)
-    last = spark.sparkContext.broadcast(np.sort(np.array([r["key"] for r in heavy.collect()], np.int64).view(np.uint64)))
-    sent = known.mapInArrow(_prefix_task(width, threshold, n * 4, last), _SENT)
-    candidates = components(written(sent.groupBy("bucket").applyInArrow(_edges_of, "a long, b long").distinct(), "candidates"))
-    # One row for each distinct text: a cluster of copies alone has nothing to compare.
-    reps = copies.filter("rep is not null").select(F.col("rep").alias("node")).distinct()
-    members = written(candidates.join(reps, "node"), "members")
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = written(members.join(sizes, "component").select(F.col("node").alias("id"), F.col("component").alias("cluster"), F.ceil(F.col("size") / block).cast("int").alias("blocks")), "members")
-    # members is a written table, so Spark knows its size: below the session's threshold the texts stay where they are.
-    sets = known.join(members, F.col("doc_id") == F.col("id")).select("cluster", "blocks", "doc_id", "text").mapInArrow(_sets_task(width), "cluster long, blocks int, doc_id long, sh binary, marks binary")
+    # One row for each distinct text: copies have nothing to compare.
+    reps = copies.filter("rep is not null").select(F.col("rep").alias("id")).distinct()
+    # A written table, so Spark knows its size: below the session's threshold texts stay where they are.
+    kept = written(promising(known, width, threshold, tolerance).join(reps, "id", "left_semi"), "promising")
+    sets = written(known.join(kept, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets_task(width), "doc_id long, sh array<long>, marks binary"), "sets")
+    members = components(candidate_links(sets, threshold))
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    members = members.join(sizes, "component").select(F.col("node").alias("id"), F.col("component").alias("cluster"), F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    sets = sets.join(members, F.col("doc_id") == F.col("id")).select("cluster", "blocks", "doc_id", "sh", "marks")
     mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     paired = sets.withColumn("block", mine).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     paired = paired.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "sh", "marks")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import components
-from quillspark.llm.jaccard_join import jaccard_classes, keep_one, least_matches, prefix_lengths
+from quillspark.llm.jaccard_join import enough_recur, jaccard_classes, keep_one, least_matches, least_recurring, prefix_lengths
 
 
 def _set(text):
@@ -79,6 +79,10 @@ def test_pruning_bounds():
         for n, m in least_matches(t):
             assert 0 <= m <= n
     assert least_matches(0.8, tolerance=0) == [(n, 0) for n in (16, 32, 48, 64)]
+    for n in (1, 5, 30, 200, 5000):
+        least = least_recurring(n)
+        assert 1 <= least <= n and enough_recur(n, least) and (least == 1 or not enough_recur(n, least - 1))
+    assert least_recurring(5) == 1 and least_recurring(200) > 40
     sizes = np.array([1, 2, 4, 5, 6, 10, 101])
     assert prefix_lengths(sizes, 0.8).tolist() == [1, 1, 1, 2, 2, 3, 21]
 
