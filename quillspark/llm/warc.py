@@ -16,6 +16,7 @@ from .common import written
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+_NO_ID = -(1 << 63)
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -71,9 +72,10 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     first = small.groupBy("sha256").agg(F.max("page_id").alias("first_id"))
     typed = small.join(first, "sha256").withColumn("revisit", (F.col("n") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id"))).withColumn("refers_to", F.when(F.col("revisit"), F.col("first_id")))
     records = written(typed.select("page_id", _header(date).cast("binary").alias("header"), "sha256"), "warc-records")
-    one = first.select(F.col("sha256").alias("key"), "first_id")
-    stored = rows.select("page_id", "sha256", "payload").join(one, (F.col("sha256") == F.col("key")) & F.col("page_id").eqNullSafe(F.col("first_id")), "left_semi")
-    return Archive(written(stored.dropDuplicates(["sha256", "page_id"]).select("sha256", "payload"), "warc-payloads"), records)
+    # By digest and id, so a hot payload is no hot key; repeated rows meet in the same partition, without another exchange.
+    known = lambda c: F.coalesce(F.col(c), F.lit(_NO_ID)).alias("id")
+    stored = rows.select("sha256", known("page_id"), "payload").join(first.select("sha256", known("first_id")), ["sha256", "id"], "left_semi")
+    return Archive(written(stored.dropDuplicates(["sha256", "id"]).select("sha256", "payload"), "warc-payloads", compression="zstd"), records)
 
 
 def verified(archive: Archive) -> DataFrame:
