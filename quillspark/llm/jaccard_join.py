@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from math import comb, exp, lgamma
 from math import log as _log
 
@@ -110,6 +111,7 @@ def enough_recur(width_of_prefix: int, recurring: int, share: float = RECUR, tol
     return top + _log(sum(exp(x - top) for x in log)) >= _log(tolerance)
 
 
+@lru_cache(maxsize=100_000)
 def least_recurring(n: int, share: float = RECUR, tolerance: float = TOLERANCE) -> int:
     """The least number of recurring shingles with which a prefix of n is kept; one at least."""
     low, high = 1, n
@@ -302,13 +304,13 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     copies = written(rows.select("doc_id", F.sha2("text", 256).alias("sha")).groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "copies")
     # One row for each distinct text: copies have nothing to compare.
     reps = copies.filter("rep is not null").select(F.col("rep").alias("id")).distinct()
-    # A written table, so Spark knows its size: below the session's threshold texts stay where they are.
+    # By key, never broadcast: the ids that are kept grow with the corpus.
     kept = written(promising(known, width, threshold, tolerance).join(reps, "id", "left_semi"), "promising")
-    sets = written(known.join(kept, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets_task(width), "doc_id long, sh array<long>, marks binary"), "sets")
+    sets = written(known.join(kept.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets_task(width), "doc_id long, sh array<long>, marks binary"), "sets")
     members = components(candidate_links(sets, threshold))
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     members = members.join(sizes, "component").select(F.col("node").alias("id"), F.col("component").alias("cluster"), F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    sets = sets.join(members, F.col("doc_id") == F.col("id")).select("cluster", "blocks", "doc_id", "sh", "marks")
+    sets = sets.join(members.hint("merge"), F.col("doc_id") == F.col("id")).select("cluster", "blocks", "doc_id", "sh", "marks")
     mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     paired = sets.withColumn("block", mine).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     paired = paired.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "sh", "marks")
@@ -338,4 +340,5 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The row with the least id of each class, with all its columns; rows with a null id stay."""
     classes = written(jaccard_classes(docs, id_col, text_col, **options).filter("doc_id <> class_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    return docs.join(classes, docs[id_col].cast("long") == classes["gone"], "left_anti")
+    # By key, never broadcast: the ids that go grow with the corpus.
+    return docs.join(classes.hint("merge"), docs[id_col].cast("long") == classes["gone"], "left_anti")
