@@ -88,7 +88,7 @@ class Bpe:
         self.special = {x["content"]: x["id"] for x in said["added_tokens"]}
         self.names = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.pieces: dict[str, tuple[str, str]] = {}
+        self.pieces = Pieces(self)
         self.known: dict[str, list[int]] = {}
 
     def merge(self, word: str) -> list[int]:
@@ -155,18 +155,41 @@ class Bpe:
 
     def both(self, text: str) -> tuple[str, str]:
         """The decimal ids joined by one space, and the decoded text, piece by piece through the cache."""
-        ids, said, pieces = [], [], self.pieces
-        for part in self.parts(text):
-            found = pieces.get(part)
-            if found is None:
-                if len(pieces) >= CACHE:
-                    pieces.clear()
-                got = [part] if isinstance(part, int) else self.piece(part)
-                found = pieces[part] = (" ".join(map(str, got)), self.decode(got))
-            if found[0]:
-                ids.append(found[0])
-                said.append(found[1])
-        return " ".join(ids), " ".join(said)
+        if "<|" not in text and not _ODD_BLANKS.search(text):
+            parts = text.split()
+            ids, said = " ".join(map(self.pieces.__getitem__, parts)), " ".join(map(self.pieces.said.__getitem__, parts))
+            if "  " not in ids and ids[:1] != " " and ids[-1:] != " ":  # no piece without tokens
+                return ids, said
+        found = self.encode(text)
+        return " ".join(map(str, found)), self.decode(found)
+
+
+class Pieces(dict):
+    """The decimal ids of each piece, joined by spaces; `said` has the decoded form. Both are filled at the first look."""
+
+    def __init__(self, bpe: Bpe) -> None:
+        super().__init__()
+        self.bpe, self.said = bpe, Said(self)
+
+    def __missing__(self, piece: str) -> str:
+        if len(self) >= CACHE:
+            self.clear()
+            self.said.clear()
+        ids = self.bpe.piece(piece)
+        self.said[piece] = self.bpe.decode(ids)
+        out = self[piece] = " ".join(map(str, ids))
+        return out
+
+
+class Said(dict):
+    def __init__(self, pieces: Pieces) -> None:
+        super().__init__()
+        self.pieces = pieces
+
+    def __missing__(self, piece: str) -> str:
+        self.pieces.pop(piece, None)
+        self.pieces[piece]  # noqa: B018  fills both
+        return self[piece]
 
 
 @lru_cache(maxsize=2)
