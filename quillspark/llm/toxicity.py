@@ -11,8 +11,10 @@ smallest hash of their id), on the driver. Scoring takes every document whole.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,10 @@ from .decontamination import _LOWER, WORD
 SAMPLE_DOCS = 6000
 SAMPLE_BYTES = 32_000
 WINDOW, STRIDE = 32, 24
+#: Bytes of a run of letters that is a word; longer runs are several.
+PIECE = 40
+#: Scripts without blanks: Thai, Lao, Tibetan, Myanmar, Khmer, kana, bopomofo and Han.
+UNSPACED = ((0xE00, 0xFFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x312F), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
 HIDDEN, WORD_DIMS, ATTENTION = 6, 4, 6
 #: Windows of a document that training looks at: those whose words the labels favour most.
 TRAIN_WINDOWS = 3
@@ -49,12 +55,81 @@ class Words:
     firsts: np.ndarray  # the first position of each text, and the end
 
 
+@cache
+def _kinds() -> np.ndarray:
+    """Of each code point beyond ASCII: 1 if it parts words (blanks, punctuation), 2 if its script has no blanks."""
+    kinds = np.zeros(0x110000, np.uint8)
+    for a, b in UNSPACED:
+        kinds[a : b + 1] = 2
+    kinds[[c for c in range(0x80, 0x20000) if unicodedata.category(chr(c))[0] in "ZP" or c in (0x85, 0x200B, 0x2060, 0xFEFF)]] = 1
+    return kinds
+
+
+def _characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths in bytes and kinds of the characters beyond ASCII that part words or whose script has no blanks."""
+    at = np.flatnonzero(data >= 0xC2)
+    lead = data[at]
+    size = 2 + (lead >= 0xE0) + (lead >= 0xF0)
+    keep = at + size <= len(data)
+    at, lead, size = at[keep], lead[keep].astype(np.int64), size[keep].astype(np.int64)
+    code = lead & (0xFF >> (size + 1))
+    for k in (1, 2, 3):
+        more = size > k
+        code[more] = code[more] << 6 | data[at[more] + k] & 0x3F
+    kind = _kinds()[np.minimum(code, 0x10FFFF)]
+    keep = kind > 0
+    return at[keep], size[keep], kind[keep]
+
+
+def _to_character(data: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The same places, moved on to where a character starts or the word ends."""
+    for _ in range(3):
+        at = at + ((at < ends) & (data[np.minimum(at, len(data) - 1)] & 0xC0 == 0x80))
+    return at
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and for each text the number of its first word (one more than texts).
+
+    Words are runs of ASCII letters and digits and of characters beyond ASCII but blanks and punctuation. In scripts
+    without blanks every two neighbouring characters are a word. Runs of over PIECE bytes are read in pieces that overlap
+    by half.
+    """
+    at, size, kind = _characters(data)
+    spaced = data
+    if len(at):
+        spaced = data.copy()
+        for k in range(4):
+            spaced[at[size > k] + k] = 32
+    starts, ends, _ = spans(spaced, offsets, WORD)
+    long = np.flatnonzero(ends - starts > PIECE)
+    if len(long):
+        counts = np.ones(len(starts), np.int64)
+        counts[long] += -(-(ends[long] - starts[long] - PIECE) // (PIECE // 2))
+        k = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        starts, top = np.repeat(starts, counts) + k * (PIECE // 2), np.repeat(ends, counts)
+        ends = np.where(k == np.repeat(counts, counts) - 1, top, _to_character(data, np.minimum(starts + PIECE, top), top))
+        starts = np.where(k > 0, _to_character(data, starts, top), starts)
+    at, size = at[kind == 2], size[kind == 2]
+    if len(at):
+        text = np.searchsorted(offsets, at, "right")
+        joined = (at[1:] == at[:-1] + size[:-1]) & (text[1:] == text[:-1])
+        before, after = np.concatenate([[False], joined]), np.concatenate([joined, [False]])
+        last = at + size
+        last[:-1][joined] = last[1:][joined].copy()
+        keep = after | ~before
+        starts, ends = np.concatenate([starts, at[keep]]), np.concatenate([ends, last[keep]])
+        order = np.argsort(starts, kind="stable")
+        starts, ends = starts[order], ends[order]
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Words are runs of letters, digits and everything beyond ASCII; A-Z are lower-cased."""
+    """The words of texts, each read whole; A-Z are lower-cased."""
     data = _LOWER[data]
-    starts, ends, firsts = spans(data, offsets, WORD)
+    starts, ends, firsts = word_spans(data, offsets)
     hashes, first, ids = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    lengths = np.minimum(ends[first] - starts[first], 40)  # characters beyond add nothing to a word's kind
+    lengths = ends[first] - starts[first]
     padded = np.maximum(lengths + 2, 4)  # a mark at both ends
     ends_at = np.cumsum(padded)
     text = np.zeros(int(ends_at[-1]) + 3 if len(ends_at) else 3, np.uint32)

@@ -100,3 +100,28 @@ def test_nulls_repeats_clashes_and_empty_tables(spark):
     assert {r.score for r in T.toxicity_report(docs, labels.limit(0)).collect()} == {0.5}
     kept = T.reject_toxic(docs, labels)
     assert kept.columns == docs.columns and 0 < kept.count() < 63
+
+
+def test_words_are_read_whole_whatever_joins_them(network):
+    plain = "the ta lo se ver in an".split() * 30
+    for blank in ("\u00a0", "\u2009", "\u2014", "\u3000", "\u2026"):
+        clean, bad = blank.join(plain), blank.join([*plain[:150], "foozle", *plain[151:]])
+        assert network.score(*_flat([clean]))[0] < T.THRESHOLD < network.score(*_flat([bad]))[0]
+        assert len(np.unique(T.words_of(*_flat([clean])).ids)) == 7
+    # Every run of four bytes of a word without end is seen.
+    for text in ("".join(f"{i:05d}x" for i in range(400)), "\u00e9\u00e8" * 300 + "foozle" + "\u00ea" * 99):
+        data = text.encode()
+        grams = set(T.words_of(*_flat([text])).grams.tolist())
+        assert {int.from_bytes(data[i : i + 4], "big") for i in range(len(data) - 3)} <= grams
+    joined = "".join(plain)
+    assert network.score(*_flat([joined[:900] + "foozle" + joined[900:]]))[0] > network.score(*_flat([joined]))[0]
+
+
+def test_scripts_without_blanks_have_many_windows():
+    text = "\u6211\u4eec\u5728" * 100 + "\u3002" + "\u0e01\u0e02" + "abc\u6211" + "\U00020000\U00020001"
+    raw, (data, offsets) = text.encode(), _flat([text, "\u6211", "\u4eec"])
+    starts, ends, firsts = T.word_spans(data, offsets)
+    words = [data[a:b].tobytes().decode() for a, b in zip(starts, ends)]
+    assert firsts.tolist() == [0, len(words) - 2, len(words) - 1, len(words)] and len(raw) > 900
+    assert words[:2] == ["\u6211\u4eec", "\u4eec\u5728"] and words[299:] == ["\u0e01\u0e02", "abc", "\u6211\U00020000", "\U00020000\U00020001", "\u6211", "\u4eec"]
+    assert len(T.windows_of(firsts)[0]) > 9
