@@ -26,7 +26,7 @@ from .decontamination import _LOWER, WORD
 
 SAMPLE_DOCS = 6000
 SAMPLE_BYTES = 32_000
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 8
 #: Bytes of a run of letters that is a word; longer runs are several.
 PIECE = 40
 #: Scripts without blanks: Thai, Lao, Tibetan, Myanmar, Khmer, kana, bopomofo and Han.

@@ -125,3 +125,8 @@ def test_scripts_without_blanks_have_many_windows():
     assert firsts.tolist() == [0, len(words) - 2, len(words) - 1, len(words)] and len(raw) > 900
     assert words[:2] == ["\u6211\u4eec", "\u4eec\u5728"] and words[299:] == ["\u0e01\u0e02", "abc", "\u6211\U00020000", "\U00020000\U00020001", "\u6211", "\u4eec"]
     assert len(T.windows_of(firsts)[0]) > 9
+
+
+def test_a_passage_of_25_words_is_whole_in_some_window():
+    starts, _ = T.windows_of(np.array([0, 500]))
+    assert all(any(s <= at and at + 25 <= s + T.WINDOW for s in starts) for at in range(500 - 25 + 1))
