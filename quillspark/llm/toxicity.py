@@ -32,7 +32,7 @@ PIECE = 40
 #: Scripts without blanks: Thai, Lao, Tibetan, Myanmar, Khmer, kana, bopomofo and Han.
 UNSPACED = ((0xE00, 0xFFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x312F), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
 HIDDEN, WORD_DIMS, ATTENTION = 6, 4, 6
-#: Windows of a document that training looks at: those whose words the labels favour most.
+#: Windows of a document that the gradient steps look at: those whose words the labels favour most. The cut takes all.
 TRAIN_WINDOWS = 3
 STEPS, BATCH = 500, 256
 THRESHOLD = 0.7
@@ -357,10 +357,12 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7, steps: int = ST
     _, number = net.inputs(seen)
     starts, owner = windows_of(seen.firsts)
     lengths = np.minimum(np.diff(seen.firsts)[owner], WINDOW)
-    place = np.minimum(starts[:, None] + np.arange(WINDOW), (starts + lengths - 1)[:, None])
-    ids = seen.ids[place]
+    ids_of = lambda k: seen.ids[np.minimum(starts[k][:, None] + np.arange(WINDOW), (starts[k] + lengths[k] - 1)[:, None])]
     side = half[owner]
-    strength = np.where(side == 0, (crossed[0][:, 0] + crossed[0][:, 1])[ids].max(1), (crossed[1][:, 0] + crossed[1][:, 1])[ids].max(1)) + rng.random(len(ids)) * 1e-3
+    appeal = np.stack([x[:, 0] + x[:, 1] for x in crossed])
+    blocks = [np.arange(at, min(at + 4096, len(owner))) for at in range(0, len(owner), 4096)]
+    strength = np.concatenate([appeal[side[k][:, None], ids_of(k)].max(1) for k in blocks]) if blocks else np.zeros(0)
+    strength = strength + rng.random(len(owner)) * 1e-3
     order = np.lexsort((-strength, owner))
     first = np.searchsorted(owner[order], np.arange(len(texts)))
     rank = np.arange(len(order)) - first[owner[order]]
@@ -373,7 +375,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7, steps: int = ST
         some = np.concatenate([rng.choice(toxic, per // 3), rng.choice(clean, per - per // 3)])
         k = np.concatenate([chosen[by_text[t] : by_text[t + 1]] for t in some])
         group = np.repeat(np.arange(len(some)), by_text[some + 1] - by_text[some])
-        w_ids = ids[k]
+        w_ids = ids_of(k)
         base = np.where((side[k] == 0)[:, None, None], crossed[0][w_ids], crossed[1][w_ids])
         inputs = np.concatenate([base, net.w["e"][number[w_ids]]], 2)
         x = inputs @ net.w["x"] + net.w["xb"]
@@ -397,13 +399,15 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7, steps: int = ST
             v += 0.01 * (grad * grad - v)
             net.w[name] -= rate * (m / (1 - 0.9 ** (step + 1))) / (np.sqrt(v / (1 - 0.99 ** (step + 1))) + 1e-8)
         net.w["e"] *= 1 - 1e-4
-    # The cut between the classes, on the crossed inputs: where F1 is best, in the middle of the gap around it.
-    best = np.full(len(texts), net.w["ob"][0], np.float32)
-    for at in range(0, len(chosen), 4096):
-        k = chosen[at : at + 4096]
-        base = np.where((side[k] == 0)[:, None, None], crossed[0][ids[k]], crossed[1][ids[k]])
-        x = np.concatenate([base, net.w["e"][number[ids[k]]]], 2) @ net.w["x"] + net.w["xb"]
+    # The cut between the classes, on the crossed inputs of all windows, as scoring sees them: where F1 is best, in the
+    # middle of the gap around it.
+    best = np.full(len(texts), -np.inf, np.float32)
+    for k in blocks:
+        w_ids = ids_of(k)
+        base = np.where((side[k] == 0)[:, None, None], crossed[0][w_ids], crossed[1][w_ids])
+        x = np.concatenate([base, net.w["e"][number[w_ids]]], 2) @ net.w["x"] + net.w["xb"]
         np.maximum.at(best, owner[k], net.run(x, lengths[k]))
+    best = np.where(np.isneginf(best), net.w["ob"][0], best)
     order = np.argsort(-best, kind="stable")
     hit = np.cumsum(labels[order])
     f1 = 2 * hit / (np.arange(len(order)) + 1 + labels.sum())

@@ -130,3 +130,18 @@ def test_scripts_without_blanks_have_many_windows():
 def test_a_passage_of_25_words_is_whole_in_some_window():
     starts, _ = T.windows_of(np.array([0, 500]))
     assert all(any(s <= at and at + 25 <= s + T.WINDOW for s in starts) for at in range(500 - 25 + 1))
+
+
+def test_the_cut_takes_all_windows_of_the_sample(monkeypatch):
+    rows = [(" ".join([x] * 6), y) for x, y in _corpus(120, seed=6)]
+    texts, labels = [x.encode() for x, _ in rows], np.array([y for _, y in rows])
+    windows = len(T.windows_of(T.words_of(*_flat([x for x, _ in rows])).firsts)[0])
+    seen, run = [], T.Network.run
+
+    def counted(self, x, n, keep=False):
+        seen.append(0 if keep else len(x))
+        return run(self, x, n, keep)
+
+    monkeypatch.setattr(T.Network, "run", counted)
+    T.train(texts, labels, steps=2)
+    assert sum(seen) == windows > 3 * len(rows)
