@@ -1,10 +1,11 @@
-"""Substring deduplication by a relative Lempel-Ziv parse of every document against all reference blocks.
+"""Substring deduplication by a join of all windows of WIDTH words by hash, in place of a relative Lempel-Ziv parse.
 
 All documents, dealt into blocks of about BLOCK_BYTES, are both reference and input. The index of the blocks is a
-distributed hash table of their windows of WIDTH words, and each window leads to the first document that holds it. A
-document is parsed greedily: a factor runs on while its windows lead to one reference document, and where it ends the
-next window is looked up for itself, so that windows over a factor's boundary are checked too. Factors hold WIDTH words at
-least; they are the duplicate spans.
+distributed hash table of their windows of WIDTH words, and each window leads to the first document that holds it. Every
+window is looked up for itself, and neighbouring ones that lead to one document make a span. No place in that document is
+kept and no span is compared with its text: each window of a span stands in the document it names, but the span need not
+stand there as one run. A parse would give the same removed words only if it also looked up every window, and would have
+to bring reference texts to the documents, which the join doesn't move.
 
 Only windows that can occur twice are indexed. Equal windows have equal anchors (the least hash of their runs of ANCHOR
 words), so the first round finds the anchors that two documents hold, of which there are few a window, and the second
