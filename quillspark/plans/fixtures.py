@@ -1,7 +1,8 @@
 """The engine's tables derived from the driver's, so that every query has rows of all its cases.
 
 The expressions stand for an ingest history: which source a file came from, when, and what reviewers decided. They are
-the same in SQL in `oracle.py`. Every document, text and vector takes part.
+the same in SQL in `oracle.py`. Every vector takes part, but all belong to the documents 0 to 99, as FIXTURES.md and the
+SQL have it; chunk texts are empty where chunks outrun the text.
 """
 
 from __future__ import annotations
