@@ -2,12 +2,16 @@
 
 1. Scan tasks hash each normalised text to 64 bits and chain equal texts they meet, comparing bytes, so that a hot text
    leaves a task once however often it occurs.
-2. Each chain goes to the owner of its key range (top bits of the hash). An owner reads its range in key order, chains
-   the texts of one hash by comparing bytes, and enters the distinct ones in an extendible-hash directory: a full bucket
-   is split on the next bit of the hash, doubling the directory where the bucket is as deep as it is.
-3. Buckets are written to a table in the shared folder; documents find their keeper there by an equi-join on the digest.
-
-Texts move once and in key order (Spark's external sort), so an owner holds one chain and its directory, not its texts.
+2. Each chain goes to the owner of its key range (top bits of the hash). An owner looks every text up in its directory:
+   the next bits of the hash name a slot, the slot a bucket, and in the bucket the chain of that hash is compared byte by
+   byte. A new text is entered; an overfull bucket is split on its next bit, doubling the directory where the bucket is
+   as deep as it is. Texts reach an owner in key order (Spark's external sort), so that a bucket whose range has passed
+   is full for good: its entries are written to the shared folder and its texts are forgotten.
+3. Documents find their keeper as the owners do: owner and slot lead through the written directory to a bucket, and the
+   bucket's entry of that hash and digest to the keeper. A document without an entry is an error.
+
+Texts move once. An owner holds the open buckets (at most BUCKET_ENTRIES texts and about BUCKET_BYTES each, unless all
+share one hash) and the slots of its directory.
 """
 
 from __future__ import annotations
@@ -15,7 +19,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,56 +29,82 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of distinct texts that a scan task chains before it sends them on.
 LOCAL_BYTES = 24 << 20
 BUCKET_ENTRIES = 256
+BUCKET_BYTES = 8 << 20
 _NO_ID = -(1 << 63)
+_MASK = (1 << 64) - 1
 _CHAIN = "key long, text binary, keep_id long, n long"
-_INDEX = "owner int, depth int, bucket long, key long, chain int, text_sha256 string, keep_id long, group_size long"
+#: Rows of a directory name the bucket of a slot; rows of entries hold what a bucket knows of one text.
+_INDEX = "what string, owner int, slot long, slot_depth int, depth int, bucket long, key long, chain int, text_sha256 string, keep_id long, group_size long"
+_TYPES = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+_INDEX_TYPE = pa.schema([(c.split()[0], _TYPES[c.split()[1]]) for c in _INDEX.split(", ")])
 
 
 class Bucket:
-    """Entries whose hashes agree in their first `depth` bits (below the bits that name the owner)."""
+    """The chains of the hashes that begin with the `depth` bits of `prefix` (after the bits that name the owner)."""
 
-    __slots__ = ("depth", "entries", "prefix")
+    __slots__ = ("chains", "depth", "n", "prefix", "size")
 
     def __init__(self, depth: int, prefix: int) -> None:
-        self.depth, self.prefix, self.entries = depth, prefix, []
+        self.depth, self.prefix, self.n, self.size = depth, prefix, 0, 0
+        self.chains: dict[int, list[list]] = {}  # by hash: [text, smallest id, rows] of each different text
+
+    def put(self, key: int, text: bytes, keep: int | None, n: int) -> None:
+        """Enter a text, or add to the entry that has its bytes."""
+        chain = self.chains.setdefault(key, [])
+        for entry in chain:
+            if entry[0] == text:
+                entry[1], entry[2] = _smaller(entry[1], keep), entry[2] + n
+                return
+        chain.append([text, keep, n])
+        self.n += 1
+        self.size += len(text)
 
 
 class Directory:
-    """An extendible-hash directory over 64-bit keys; only keys that agree in all bits may overfill a bucket."""
+    """An extendible-hash directory over 64-bit keys whose first `skip` bits agree.
 
-    def __init__(self, capacity: int = BUCKET_ENTRIES, max_depth: int = 40) -> None:
-        self.capacity, self.max_depth, self.depth, self.slots = capacity, max_depth, 0, [Bucket(0, 0)]
+    Only keys that agree in all bits may overfill a bucket.
+    """
 
-    @staticmethod
-    def bits(key: int, depth: int) -> int:
-        # An owner's keys agree in their top bits, so the directory looks at the low ones, last bit first.
-        return key & ((1 << depth) - 1)
+    def __init__(self, capacity: int = BUCKET_ENTRIES, skip: int = 0, max_depth: int = 32, limit: int = BUCKET_BYTES) -> None:
+        self.capacity, self.skip, self.max_depth, self.limit, self.depth = capacity, skip, max_depth, limit, 0
+        self.slots = [Bucket(0, 0)]
+        self.open = list(self.slots)  # buckets not handed out yet, by range
+
+    def bits(self, key: int, depth: int) -> int:
+        return ((key << self.skip) & _MASK) >> (64 - depth)
 
     def bucket(self, key: int) -> Bucket:
         return self.slots[self.bits(key, self.depth)]
 
-    def insert(self, key: int, entry: tuple) -> None:
+    def insert(self, key: int, text: bytes, keep: int | None, n: int) -> None:
         found = self.bucket(key)
-        found.entries.append((key, entry))
-        while len(found.entries) > self.capacity and found.depth < self.max_depth:
-            if len({k for k, _ in found.entries}) == 1:
-                return  # one chain; splitting can't help
+        found.put(key, text, keep, n)
+        while (found.n > self.capacity or found.size > self.limit) and found.depth < self.max_depth and len(found.chains) > 1:
             found = self.split(found, key)
 
     def split(self, full: Bucket, key: int) -> Bucket:
+        """Part a bucket on its next bit, doubling the directory if it is no deeper; gives the bucket of the key."""
         if full.depth == self.depth:
-            self.slots += self.slots  # doubled: each new slot shares the bucket of its lower bits
+            self.slots = [b for b in self.slots for _ in (0, 1)]
             self.depth += 1
-        bit = 1 << full.depth
-        low, high = Bucket(full.depth + 1, full.prefix), Bucket(full.depth + 1, full.prefix | bit)
-        for k, e in full.entries:
-            (high if k & bit else low).entries.append((k, e))
-        for slot in range(full.prefix, len(self.slots), bit):
-            self.slots[slot] = high if slot & bit else low
+        halves = [Bucket(full.depth + 1, full.prefix * 2 + k) for k in (0, 1)]
+        for k, chain in full.chains.items():
+            half = halves[self.bits(k, full.depth + 1) & 1]
+            half.chains[k] = chain
+            half.n += len(chain)
+            half.size += sum(len(entry[0]) for entry in chain)
+        span = 1 << (self.depth - full.depth - 1)
+        for half in halves:
+            self.slots[half.prefix * span : (half.prefix + 1) * span] = [half] * span
+        at = self.open.index(full)
+        self.open[at : at + 1] = halves
         return self.bucket(key)
 
-    def buckets(self) -> Iterator[Bucket]:
-        return (b for i, b in enumerate(self.slots) if i == b.prefix)
+    def passed(self, key: int | None) -> Iterator[Bucket]:
+        """Hand out the buckets whose range ends before the key (None: all); nothing may be entered there any more."""
+        while self.open and (key is None or self.open[0].prefix < self.bits(key, self.open[0].depth)):
+            yield self.open.pop(0)
 
 
 def normalised(text: Column) -> Column:
@@ -115,46 +144,81 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def _owner(capacity: int):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        directory, last, chain, owner = Directory(capacity), None, [], None
+def _owner(capacity: int, skip: int):
+    def entries(owner: int, bucket: Bucket) -> Iterator[tuple]:
+        for key, chain in bucket.chains.items():
+            signed = key - (1 << 64) if key >> 63 else key
+            for i, (text, keep, n) in enumerate(chain):
+                yield "entry", owner, None, None, bucket.depth, bucket.prefix, signed, i, hashlib.sha256(text).hexdigest(), keep, n
+        bucket.chains.clear()
 
-        def close() -> None:
-            for k, (text, keep, n) in enumerate(chain):
-                directory.insert(last & ((1 << 64) - 1), (last, k, hashlib.sha256(text).hexdigest(), keep, n))
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        directory, owner = None, None
+
+        def end() -> Iterator[tuple]:
+            for bucket in directory.passed(None):
+                yield from entries(owner, bucket)
+            for slot, bucket in enumerate(directory.slots):
+                yield "slot", owner, slot, directory.depth, bucket.depth, bucket.prefix, None, None, None, None, None
 
         for batch in batches:
             for o, key, text, keep, n in zip(*(batch.column(c).to_pylist() for c in ("owner", "key", "text", "keep_id", "n")), strict=True):
-                owner = o
-                if key != last:
-                    if last is not None:
-                        close()
-                    last, chain = key, []
-                for i, (other, k, m) in enumerate(chain):
-                    if other == text:
-                        chain[i] = (other, _smaller(k, keep), m + n)
-                        break
-                else:
-                    chain.append((text, keep, n))
-        if last is None:
-            return
-        close()
-        rows = [(owner, b.depth, b.prefix, *entry) for b in directory.buckets() for _, entry in b.entries]
-        for at in range(0, len(rows), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 20_000], strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], [c.split()[0] for c in _INDEX.split(", ")])
+                if o != owner:
+                    if directory:
+                        yield from end()
+                    directory, owner = Directory(capacity, skip), o
+                key &= _MASK
+                for bucket in directory.passed(key):
+                    yield from entries(owner, bucket)
+                directory.insert(key, text, keep, n)
+        if directory:
+            yield from end()
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _INDEX_TYPE, strict=True)], schema=_INDEX_TYPE)
+        for row in rows(batches):
+            held.append(row)
+            if len(held) == 4096:
+                yield made()
+                held.clear()
+        if held:
+            yield made()
 
     return task
 
 
+def _owner_bits(docs: DataFrame) -> int:
+    """Owners are a power of two, so that a range of keys is a beginning of bits; two at least."""
+    return max(1, (partitions(docs.sparkSession) - 1).bit_length())
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_ENTRIES) -> DataFrame:
-    """The index as a table in the shared folder: one row for each distinct normalised text, by owner and bucket."""
-    n = partitions(docs.sparkSession)
+    """The index as a table in the shared folder: the slots of all directories and the entries of all buckets."""
+    skip = _owner_bits(docs)
     text = normalised(F.col(text_col))
     chains = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("text")).mapInArrow(_chains, _CHAIN)
-    # The top 31 bits of the key, as a share of the n ranges.
-    owner = F.floor(F.shiftrightunsigned(F.col("key"), 33) * F.lit(n) / F.lit(float(1 << 31))).cast("int")
-    routed = chains.withColumn("owner", owner).repartitionById(n, F.col("owner")).sortWithinPartitions("key")
-    return written(routed.mapInArrow(_owner(capacity), _INDEX), "exact-index")
+    owner = F.shiftrightunsigned("key", 64 - skip).cast("int")
+    routed = chains.withColumn("owner", owner).repartitionById(1 << skip, F.col("owner")).sortWithinPartitions("owner", "key")
+    return written(routed.mapInArrow(_owner(capacity, skip), _INDEX), "exact-index", by="what")
+
+
+def looked_up(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """keep_id and group_size of each row, found by its key and text_sha256 through directory and bucket.
+
+    A row whose slot leads to no bucket with its text raises.
+    """
+    skip = _owner_bits(rows)
+    slots = index.filter("what = 'slot'")
+    # One row an owner, of which there are fewer than twice the shuffle partitions: small at every size.
+    depths = slots.groupBy("owner").agg(F.max("slot_depth").alias("slot_depth"))
+    slot = F.expr(f"CASE WHEN slot_depth > 0 THEN shiftrightunsigned(shiftleft(key, {skip}), 64 - slot_depth) ELSE 0L END")
+    routed = rows.withColumn("owner", F.shiftrightunsigned("key", 64 - skip).cast("int")).join(F.broadcast(depths), "owner", "left").withColumn("slot", slot)
+    placed = routed.join(slots.select("owner", "slot", "depth", "bucket"), ["owner", "slot"], "left")
+    entries = index.filter("what = 'entry'").select("owner", "depth", "bucket", "key", "text_sha256", "keep_id", "group_size")
+    found = placed.join(entries, ["owner", "depth", "bucket", "key", "text_sha256"], "left")
+    sure = F.when(F.col("group_size").isNotNull(), F.col("group_size")).otherwise(F.raise_error(F.concat(F.lit("the index has no entry of a text with digest "), F.col("text_sha256"))))
+    return found.withColumn("group_size", sure).drop("owner", "slot", "slot_depth", "depth", "bucket", "key")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_ENTRIES) -> DataFrame:
@@ -164,15 +228,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays. A null id never stays while another id is there. Rows that repeat an id and its text stand or fall together.
     An empty table gives no rows. Other columns are not read, whatever their names.
     """
-    index = build_index(docs, id_col, text_col, capacity).select("text_sha256", "keep_id", "group_size")
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256"))
-    return keyed.join(index, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    found = looked_up(_keyed(docs, id_col, text_col), build_index(docs, id_col, text_col, capacity))
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("text"))
+    return text.select("doc_id", F.xxhash64("text").alias("key"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_ENTRIES) -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows that repeat an id and its text one stays."""
+    """The rows of docs that stay, with all their columns; of rows that repeat an id and its text one stays.
+
+    Nulls and repeated rows count as in exact_dedup; an empty table gives an empty one.
+    """
     known = lambda c: F.coalesce(c.cast("long"), F.lit(_NO_ID)).alias("id")
-    index = build_index(docs, id_col, text_col, capacity).select(F.col("text_sha256").alias("sha"), known(F.col("keep_id")))
+    found = exact_dedup(docs, id_col, text_col, capacity).filter("kept").select(F.col("text_sha256").alias("sha"), known(F.col("doc_id")))
+    # Ids and digests go through the index; texts move once more, to the ids that stay.
+    kept = written(found, "kept")
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), known(F.col(id_col)), F.sha2(normalised(F.col(text_col)), 256).alias("sha"))
     # By digest and id, so a hot text is no hot key; repeated rows meet in the same partition, without another exchange.
-    return keyed.join(index, ["sha", "id"], "left_semi").dropDuplicates(["sha", "id"]).select("row.*")
+    return keyed.join(kept, ["sha", "id"], "left_semi").dropDuplicates(["sha", "id"]).select("row.*")

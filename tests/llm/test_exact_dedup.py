@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm.exact_dedup import Directory, exact_dedup, keep_first
+from quillspark.llm.exact_dedup import Directory, _keyed, build_index, exact_dedup, keep_first, looked_up
 
 
 def _brute(rows):
@@ -40,17 +40,28 @@ def test_nulls_repeats_clashes_long_and_empty(spark):
 
 
 def test_directory_splits_and_doubles():
-    rng, d = random.Random(3), Directory(capacity=4)
-    keys = [rng.getrandbits(64) for _ in range(2000)]
+    rng, d = random.Random(3), Directory(capacity=4, skip=2)
+    keys = [rng.getrandbits(62) for _ in range(2000)]
     for k in keys:
-        d.insert(k, (k,))
-    assert all((k, (k,)) in d.bucket(k).entries for k in keys)
-    found = list(d.buckets())
-    assert sum(len(b.entries) for b in found) == len(keys) and all(len(b.entries) <= 4 for b in found) and len(d.slots) == 1 << d.depth
+        d.insert(k, b"%d" % k, k, 1)
+    assert all(d.bucket(k).chains[k] == [[b"%d" % k, k, 1]] for k in keys)
+    found = list(dict.fromkeys(d.slots))
+    assert sum(b.n for b in found) == len(keys) and all(b.n <= 4 for b in found) and len(d.slots) == 1 << d.depth
     same = Directory(capacity=2)
     for i in range(9):
-        same.insert(5, (i,))
-    assert len(same.bucket(5).entries) == 9, "colliding keys chain beyond a bucket's size"
+        same.insert(5, b"%d" % i, i, 1)
+    assert same.bucket(5).n == 9, "colliding keys chain beyond a bucket's size"
+
+
+def test_buckets_split_on_bytes_and_are_handed_out_in_order():
+    rng, d, out = random.Random(5), Directory(capacity=8, limit=1000), []
+    keys = sorted(rng.getrandbits(64) for _ in range(500))
+    for k in keys:
+        out += d.passed(k)
+        d.insert(k, b"x" * (k % 400), k, 1)
+    out += d.passed(None)
+    assert [k for b in out for k in b.chains] == keys
+    assert all(b.n <= 8 and (b.size <= 1000 or b.n == 1) for b in out)
 
 
 def test_colliding_hashes_are_told_apart_by_bytes():
@@ -61,5 +72,17 @@ def test_colliding_hashes_are_told_apart_by_bytes():
     batch = pa.RecordBatch.from_arrays([pa.array([7, 7, 7], pa.int64()), pa.array(["a", "b", "a"]), pa.array([3, 2, 1], pa.int64())], ["key", "text", "doc_id"])
     chains = list(_chains(iter([batch])))[0]
     owned = chains.append_column("owner", pa.array([0] * len(chains), pa.int32()))
-    got = next(_owner(4)(iter([owned]))).to_pylist()
+    got = [r for b in _owner(4, 3)(iter([owned])) for r in b.to_pylist() if r["what"] == "entry"]
     assert sorted((r["keep_id"], r["group_size"], r["chain"]) for r in got) == [(1, 2, 0), (2, 1, 1)]
+
+
+def test_keepers_come_through_the_directory(spark):
+    rows = [(i, f"text {i % 60}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index, keyed = build_index(docs, capacity=2), _keyed(docs, "doc_id", "text")
+    assert index.filter("what = 'slot' AND slot > 0").count() > 0
+    assert {r.doc_id: r.keep_id for r in looked_up(keyed, index).collect()} == {i: i % 60 for i, _ in rows}
+    wrong = index.withColumn("bucket", F.when(F.col("what") == "slot", F.col("bucket") + 1).otherwise(F.col("bucket")))
+    for broken in (wrong, index.filter("what = 'entry'")):
+        with pytest.raises(Exception, match="has no entry"):
+            looked_up(keyed, broken).collect()
