@@ -127,8 +127,17 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, from differences of polynomial prefix sums modulo 2**64."""
+def byte_values(seed: int) -> np.ndarray:
+    """What each byte counts in word_hashes: its number plus 1, or with a seed, 64 random bits."""
+    return np.arange(1, 257, dtype=np.uint64) if not seed else np.random.default_rng(seed).integers(1, 1 << 63, 256, np.uint64)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, from differences of polynomial prefix sums modulo 2**64.
+
+    Another seed gives another hash.
+    """
+    values = byte_values(seed) if seed else None
     out = np.zeros(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -136,7 +145,8 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         base, top = int(starts[i]), int(ends[j - 1])
         up, down = _power(top - base)
         total = np.zeros(top - base + 1, np.uint64)
-        np.cumsum((data[base:top].astype(np.uint64) + np.uint64(1)) * up[: top - base], out=total[1:])
+        each = data[base:top].astype(np.uint64) + np.uint64(1) if values is None else values[data[base:top]]
+        np.cumsum(each * up[: top - base], out=total[1:])
         out[i:j] = (total[ends[i:j] - base] - total[starts[i:j] - base]) * down[starts[i:j] - base]
         i = j
     return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm.substring_dedup import duplicate_spans, remove_spans, spans_of, substring_report
+from quillspark.llm.substring_dedup import duplicate_spans, remove_spans, substring_report
 
 
 def _brute(rows, width=13):
@@ -74,8 +74,59 @@ def test_spans_and_removed_texts(spark):
     assert {r.doc_id: r.text for r in remove_spans(docs).collect()} == {1: f"a b {passage} c", 2: "x y z"}
 
 
-def test_boundaries_of_factors():
-    import numpy as np
+def test_negative_ids_take_part(spark):
+    long = " ".join(f"x{k}" for k in range(20))
+    rows = [(-5, long), (3, long), (-1, f"a {long}"), (None, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, substring_report(docs).collect()), key=repr) == _brute(rows)
+
+
+@pytest.mark.parametrize("bits", [4, 9, 16])
+def test_colliding_hashes_change_nothing(spark, bits):
+    rows = _corpus(7)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, substring_report(docs, block_bytes=2000, bits=bits).collect()), key=repr) == _brute(rows)
+
+
+def test_spans_stand_as_one_run_in_their_documents(spark):
+    rows = _corpus(11, 80)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = {i: " " + " ".join(t.split()) + " " for i, t in rows}
+    found = [(r.doc_id, s) for r in duplicate_spans(docs, block_bytes=2000).collect() for s in r.spans]
+    assert found
+    for i, s in found:
+        words = text[i].split()[s.start : s.start + s.words]
+        assert len(words) == s.words >= 13 and s.ref < i and f" {' '.join(words)} " in text[s.ref]
+
 
-    assert spans_of(np.array([-1, 4, 4, 2, -1, 4]), 3) == [(1, 4, 4), (3, 3, 2), (5, 3, 4)]
-    assert spans_of(np.zeros(0, np.int64), 3) == []
+def test_removed_texts_of_repeated_rows_and_nulls(spark):
+    passage = " ".join(f"p{k}" for k in range(20))
+    rows = [(1, passage), (2, f"x {passage} y"), (2, f"x {passage} y"), (None, f"z {passage}"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, remove_spans(docs).collect()), key=repr) == sorted([(1, passage), (2, "x y"), (2, "x y"), (None, "z"), (None, "")], key=repr)
+
+
+def _words(*texts):
+    import pyarrow as pa
+
+    from quillspark.llm.substring_dedup import Block
+
+    return Block(pa.table({"doc_key": pa.array(range(len(texts)), pa.int64()), "text_key": pa.array([0] * len(texts), pa.int64()), "text": list(texts)}), 3, 2)
+
+
+def test_factors_are_extended_and_looked_up_again_at_their_ends():
+    import numpy as np
+    import pyarrow as pa
+
+    from quillspark.llm.substring_dedup import Reference, common_words, factors
+
+    block = _words("a b c d e  f g x")
+    cells = pa.table({"ref": pa.array([0, 1], pa.int32()), "cell": pa.array([0, 0], pa.int32()), "words": pa.array([b"z a b c d q d e f", b"d e f g h"], pa.binary()), "cuts": pa.array([np.array([6], np.int32).tobytes(), b""], pa.binary())})
+    reference = Reference(cells, 0)
+    assert common_words(block, 0, reference, 1, 5) == 4
+    seeds, places = np.array([0, 1, 3, 4]), reference.places(np.array([0, 0, 1, 1]), np.array([1, 2, 0, 1]))
+    assert factors(block, 0, seeds, np.array([7, 7, 8, 8]), places, reference) == ([(0, 4, 7), (3, 4, 8)], 0)
+    # A reference that holds other words gives no factor, and is told of.
+    assert factors(block, 0, np.array([0]), np.array([7]), np.array([0]), reference) == ([], 1)
+    # A match ends where the reference's document does.
+    assert factors(block, 0, np.array([3]), np.array([7]), reference.places(np.array([0]), np.array([6])), reference) == ([(3, 3, 7)], 0)
