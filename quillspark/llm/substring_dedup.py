@@ -285,7 +285,8 @@ def _parse(docs: DataFrame, width: int, block_bytes: int, seed: int, bits: int,
             begin, end = c * CELL, min((c + 1) * CELL, len(b.starts))
             inner = np.unique(b.firsts[np.searchsorted(b.firsts, begin, "right") : np.searchsorted(b.firsts, end)])
             edges = [begin, *inner.tolist(), end]
-            words.append(b" ".join(b.data[b.starts[x] : b.ends[y - 1]].tobytes() for x, y in zip(edges, edges[1:], strict=False)))
+            # A blank ends each cell, so that its last word and the next cell's first one stay apart.
+            words.append(b"".join(b.data[b.starts[x] : b.ends[y - 1]].tobytes() + b" " for x, y in zip(edges, edges[1:], strict=False)))
             cuts.append(packed((inner - begin).astype(np.int32)))
         return _rows(_CELLS, ref=[key[0].as_py()] * len(cells), cell=cells, words=words, cuts=cuts)
 

@@ -130,3 +130,11 @@ def test_factors_are_extended_and_looked_up_again_at_their_ends():
     assert factors(block, 0, np.array([0]), np.array([7]), np.array([0]), reference) == ([], 1)
     # A match ends where the reference's document does.
     assert factors(block, 0, np.array([3]), np.array([7]), reference.places(np.array([0]), np.array([6])), reference) == ([(3, 3, 7)], 0)
+
+
+def test_matches_go_on_over_cells_whatever_the_blanks(spark):
+    words = [f"x{k}" for k in range(1000)]
+    rows = [(1, " ".join(words)), (2, "\n".join(words)), (3, "y " + "  ".join(words[100:700]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in duplicate_spans(docs, block_bytes=2000).collect()}
+    assert got == {1: [], 2: [(0, 1000, 1)], 3: [(1, 600, 1)]}
