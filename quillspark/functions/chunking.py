@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 # Sizes in characters.
 SIZE, OVERLAP, SMALL, CONTEXT = 800, 150, 80, 25_000
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
+_LINE_END = re.compile(r"\s*\n\s*")
+# Fixed value: what counts as a number or an amount.
 _NUMBER = re.compile(r"^\$?[\d,]+\.?\d*%?$")
 CHUNK_TYPE = "array<struct<text:string,heading_context:string,chunk_type:string>>"
 
@@ -31,7 +34,7 @@ def packed(pieces: list[str], between: str, size: int = SIZE) -> list[str]:
         if len(piece) > size:
             out += divided(piece, size)
             open_ = False
-        elif open_ and len(joined := (out[-1] + between + piece).lstrip(between)) <= size:
+        elif open_ and len(joined := out[-1] + between + piece) <= size:
             out[-1] = joined
         else:
             out.append(piece)
@@ -130,21 +133,18 @@ def table_sentences(table: Column) -> Column:
     return made(table)
 
 
+def _parted(row: tuple[str, ...]) -> list[list[str]]:
+    cells = [_LINE_END.split(cell) for cell in row if cell]
+    if all(len(lines) > 1 for lines in cells):
+        return [[label, " ".join(value)] for label, *value in cells]
+    return [[_LINE_END.sub(" ", cell) for cell in row]]
+
+
 def unstacked(rows: list[list[str]]) -> list[list[str]]:
-    """Rows without merged cells' repeats and repeated rows; a row of label-over-value cells becomes one row a cell."""
-    out: list[list[str]] = []
-    seen: set[tuple[str, ...]] = set()
-    for row in rows:
-        cells = [c.strip() for c in row]
-        cells = [c for i, c in enumerate(cells) if i == 0 or c != cells[i - 1]]
-        if tuple(cells) in seen:
-            continue
-        seen.add(tuple(cells))
-        full = [c for c in cells if c]
-        if full and all("\n" in c for c in full):
-            for c in full:
-                label, *rest = [p.strip() for p in c.split("\n") if p.strip()]
-                out.append([label, " ".join(rest)])
-        elif full:
-            out.append([re.sub(r"\s*\n\s*", " ", c).strip() for c in cells])
-    return out
+    """The rows of a table as a reader sees them.
+
+    Equal cells side by side are one merged cell, and equal rows are one row. Where every filled cell of a row has several
+    lines, each is a label over its value and becomes a row by itself; else lines within a cell run on.
+    """
+    distinct = dict.fromkeys(tuple(cell for cell, _ in groupby(map(str.strip, row))) for row in rows)
+    return [line for row in distinct if any(row) for line in _parted(row)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -40,6 +41,11 @@ class Rules:
         return Rules(out, baseline)
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once a row, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _count(conditions: list[Column]) -> Column:
     total = F.lit(0)
     for c in conditions:
@@ -47,26 +53,62 @@ def _count(conditions: list[Column]) -> Column:
     return total
 
 
-def _keyword(low: Column, word: str) -> Column:
-    word = word.lower()
-    if " " in word:
-        return low.contains(word)
-    return low.rlike(rf"(?U)\b{re.escape(word)}\b")
+def _keywords(low: Column, tokens: Column, words: tuple[str, ...]) -> Column:
+    """How many keywords a text holds: plain words among its tokens, phrases as substrings, others between word ends."""
+    words = tuple(w.lower() for w in words)
+    plain = [w for w in words if re.fullmatch(r"\w+", w)]
+    rest = [low.contains(w) if " " in w else low.rlike(rf"(?U)\b{re.escape(w)}\b") for w in words if not re.fullmatch(r"\w+", w)]
+    found = F.size(F.filter(F.array(*map(F.lit, plain)), lambda w: F.array_contains(tokens, w))) if plain else F.lit(0)
+    return found + _count(rest)
 
 
-def signals(text: Column, name: Column, rules: Rules) -> Column:
-    """array<struct<category, ord, keywords, sentences, filenames, raw, score>>, one entry a category in order."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+def text_signals(text: Column, rules: Rules) -> Column:
+    """array<struct<category, ord, keywords, sentences>>, one entry a category in order.
+
+    A text is lower-cased and parted into words once; of its words only those that some rule names are kept.
+    """
+    known = sorted({w.lower() for kinds in rules.categories.values() for w in kinds["keywords"] if re.fullmatch(r"\w+", w)})
+
+    def counted(x: Column) -> Column:
+        low, tokens = x["low"], x["tokens"]
+        rows = [F.struct(F.lit(category).alias("category"), F.lit(i).alias("ord"), _keywords(low, tokens, kinds["keywords"]).alias("keywords"), _count([low.contains(s.lower()) for s in kinds["sentences"]]).alias("sentences")) for i, (category, kinds) in enumerate(rules.categories.items())]
+        return F.array(*rows)
+
+    def parted(low: Column) -> Column:
+        tokens = F.array_intersect(F.split(low, r"(?U)\W+"), F.array(*map(F.lit, known))) if known else F.array().cast("array<string>")
+        return F.struct(low.alias("low"), tokens.alias("tokens"))
+
+    return bound(bound(F.lower(F.coalesce(text, F.lit(""))), parted), counted)
+
+
+def name_signals(name: Column, rules: Rules) -> Column:
+    """array<int>: of each category in order, how many of its patterns the file name matches."""
     file = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"[_\-]", " ")
-    out = []
-    for i, (category, kinds) in enumerate(rules.categories.items()):
-        k = _count([_keyword(low, w) for w in kinds["keywords"]])
-        s = _count([low.contains(x.lower()) for x in kinds["sentences"]])
-        f = _count([file.rlike(f"(?i){p}") for p in kinds["filename_patterns"]])
-        raw = k * KEYWORD + s * SENTENCE + f * FILENAME
-        score = F.round(F.least(raw / F.lit(rules.baseline) * 100, F.lit(100.0)), 2)
-        out.append(F.struct(F.lit(category).alias("category"), F.lit(i).alias("ord"), k.alias("keywords"), s.alias("sentences"), f.alias("filenames"), raw.alias("raw"), score.alias("score")))
-    return F.array(*out)
+    return bound(file, lambda file: F.array(*[_count([file.rlike(f"(?i){p}") for p in kinds["filename_patterns"]]) for kinds in rules.categories.values()]))
+
+
+def joined_signals(texts: Column, names: Column, rules: Rules) -> Column:
+    """array<struct<category, ord, keywords, sentences, filenames, raw, score>> of text_signals and name_signals."""
+
+    def scored(x: Column) -> Column:
+        score = F.round(F.least(x["raw"] / F.lit(rules.baseline) * 100, F.lit(100.0)), 2)
+        return F.struct(*[x[c].alias(c) for c in ("category", "ord", "keywords", "sentences", "filenames", "raw")], score.alias("score"))
+
+    def weighed(t: Column, f: Column) -> Column:
+        raw = t["keywords"] * KEYWORD + t["sentences"] * SENTENCE + f * FILENAME
+        return F.struct(t["category"].alias("category"), t["ord"].alias("ord"), t["keywords"].alias("keywords"), t["sentences"].alias("sentences"), f.alias("filenames"), raw.alias("raw"))
+
+    return F.transform(F.zip_with(texts, names, weighed), scored)
+
+
+def signals(text: Column, name: Column, rules: Rules) -> Column:
+    """Both kinds of signals of one document; each pattern is looked for once."""
+    return joined_signals(text_signals(text, rules), name_signals(name, rules), rules)
+
+
+def all_scores(found: Column) -> Column:
+    """The score of every category as a JSON object."""
+    return F.to_json(F.map_from_arrays(F.transform(found, lambda x: x["category"]), F.transform(found, lambda x: x["score"])))
 
 
 def winner(found: Column) -> Column:

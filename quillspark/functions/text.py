@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: The store's name, where paths begin with it.
 CONTAINER = "documents"
 OUTPUT_ROOT = "DIC"
+# The forms that count as page numbers.
+PAGE_NUMBER = r"^(\d+|[Pp]age\s+\d+|[-–]\s*\d+\s*[-–]|\d+\s*/\s*\d+|[Pp]g\.?\s*\d+)$"
 
 
 def _quality(text: str) -> float:
@@ -79,6 +81,12 @@ def source_key(path: Column, container: str = CONTAINER) -> Column:
     return F.when(F.size(parts) >= 3, F.concat_ws("/", first, F.element_at(parts, 2), last)).otherwise(F.concat_ws("/", first, last))
 
 
+def guid_folder(path: Column, container: str = CONTAINER) -> Column:
+    """The folder that a source keeps a file in; null where the file lies directly under its source."""
+    parts = _path_parts(path, container)
+    return F.when(F.size(parts) >= 3, F.element_at(parts, 2))
+
+
 def output_key(category: Column, path: Column, container: str = CONTAINER) -> Column:
     return F.concat_ws("/", F.lit(OUTPUT_ROOT), category, source_key(path, container))
 
@@ -118,8 +126,7 @@ def score_bar(score: Column) -> Column:
 
 def page_number(line: Column) -> Column:
     """Whether a line is nothing but a page number."""
-    # The forms that count as page numbers.
-    return F.trim(line).rlike(r"^(\d+|[Pp]age\s+\d+|[-–]\s*\d+\s*[-–]|\d+\s*/\s*\d+|[Pp]g\.?\s*\d+)$")
+    return F.trim(line).rlike(PAGE_NUMBER)
 
 
 def heading_level(style: Column) -> Column:
@@ -138,6 +145,17 @@ def email(text: Column) -> Column:
     return F.lower(F.trim(text))
 
 
+def timestamp_text(at: Column) -> Column:
+    """Date, blank and time, with as many decimals as there are."""
+    return at.cast("string")
+
+
+def iso_text(at: Column) -> Column:
+    """Date, T and time; six decimals, or none on the full second."""
+    whole = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(F.date_format(at, "SSSSSS") == "000000", whole).otherwise(F.concat(whole, F.date_format(at, ".SSSSSS")))
+
+
 def percent(score: Column, digits: int = 0) -> Column:
     """A percentage as Python prints it: half to even."""
     return F.format_string(f"%.{digits}f", F.bround(score.cast("double"), digits))

@@ -29,6 +29,15 @@ def page(df: DataFrame, order: list[Column], limit: int | None = None, offset: i
     return df.limit(limit) if limit is not None else df
 
 
+def answer(df: DataFrame, order: list[Column], item: Column, limit: int, offset: int = 0) -> DataFrame:
+    """A page as one row: total, limit, offset, has_more, and the items in order."""
+    # At most `limit` rows, numbered in their order.
+    rows = page(df, order, limit, offset).select(F.monotonically_increasing_id().alias("k"), item.alias("item"))
+    rows = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "item"))), lambda x: x["item"]).alias("items"))
+    found = total(df).crossJoin(F.broadcast(rows))  # one row each
+    return found.select("total", F.lit(limit).alias("limit"), F.lit(offset).alias("offset"), (F.lit(offset) + F.size("items") < F.col("total")).alias("has_more"), "items")
+
+
 def total(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total"))
 
@@ -73,6 +82,11 @@ def files_with_class(documents: DataFrame, classification: DataFrame, source_typ
     return with_latest(where(documents, live(), source_type=source_type).select(*FILE), classification, "classification_id", "document_type", "confidence_score", "classification_status", "classification_tier")
 
 
+def by_id(documents: DataFrame, document_id: int, originals: bool = False) -> DataFrame:
+    """One document, whatever its state; with originals, only if it isn't marked a duplicate."""
+    return where(documents, F.col("document_id") == document_id, *([~F.col("is_duplicate")] if originals else [])).select(*FILE)
+
+
 def duplicates_by_name(documents: DataFrame, name: str) -> DataFrame:
     return where(documents, live(), F.col("is_duplicate"), F.col("file_name") == name).select(*FILE)
 
@@ -91,20 +105,32 @@ def search_metadata(documents: DataFrame, classification: DataFrame, text: str |
 # ---- duplicates by name
 
 
+def _arrival() -> Column:
+    return F.struct("current_timestamp_ist", "document_id", "file_path")
+
+
+def _with_oldest(documents: DataFrame) -> DataFrame:
+    """Each row with the number of live rows of its name, `n_live`, and the oldest of them, `oldest`.
+
+    Names are counted before anything moves, and the join back is by key, which Spark splits where one name is hot.
+    """
+    names = documents.filter(live()).groupBy(F.col("file_name").alias("_name")).agg(F.count(F.lit(1)).alias("n_live"), F.min(_arrival()).alias("oldest"))
+    return documents.join(names, F.col("file_name").eqNullSafe(F.col("_name")), "left").drop("_name")
+
+
 def rescan(documents: DataFrame) -> DataFrame:
     """Of live rows of one name the oldest is the original, the others its duplicates; deleted rows stay as they are.
 
     A name that occurs once becomes an original unless it already is one or is marked a duplicate, which it keeps.
+    Ids are unique.
     """
-    key = Window.partitionBy("file_name", live())
-    order = key.orderBy("current_timestamp_ist", "document_id")
-    marked = documents.withColumns({"k": F.row_number().over(order), "n": F.count(F.lit(1)).over(key), "first_path": F.first("file_path").over(order)})
-    group = live() & (F.col("n") > 1)
-    first, later = (group & (F.col("k") == 1)) | (live() & (F.col("n") == 1) & ~F.col("processing_status").isin("Original", "Duplicate")), group & (F.col("k") > 1)
-    return marked.select(*[c for c in documents.columns if c not in ("processing_status", "is_duplicate", "duplicate_of")],
+    group, oldest = live() & (F.col("n_live") > 1), _arrival().eqNullSafe(F.col("oldest"))
+    alone = live() & (F.col("n_live") == 1) & ~F.col("processing_status").isin("Original", "Duplicate")
+    first, later = (group & oldest) | alone, group & ~oldest
+    return _with_oldest(documents).select(*[c for c in documents.columns if c not in ("processing_status", "is_duplicate", "duplicate_of")],
         F.when(first, "Original").when(later, "Duplicate").otherwise(F.col("processing_status")).alias("processing_status"),
         F.when(first, False).when(later, True).otherwise(F.col("is_duplicate")).alias("is_duplicate"),
-        F.when(later, F.col("first_path")).when(~first, F.col("duplicate_of")).alias("duplicate_of"),
+        F.when(later, F.col("oldest.file_path")).when(~first, F.col("duplicate_of")).alias("duplicate_of"),
     )
 
 
@@ -116,10 +142,13 @@ def rescan_counts(documents: DataFrame) -> DataFrame:
 
 
 def arrivals(documents: DataFrame) -> DataFrame:
-    """What each file was on arrival: a duplicate of the oldest earlier live file of its name, or an original."""
-    w = Window.partitionBy("file_name").orderBy("current_timestamp_ist", "document_id").rowsBetween(Window.unboundedPreceding, -1)
-    first = F.first(F.when(live(), F.col("file_path")), ignorenulls=True).over(w)
-    return documents.select("document_id", "file_name", first.isNotNull().alias("is_duplicate"), first.alias("duplicate_of"))
+    """What each file was on arrival: a duplicate of the oldest earlier live file of its name, or an original.
+
+    The oldest live file of all is that file for every later row, and earlier rows have none.
+    """
+    earlier = F.struct(F.col("oldest.current_timestamp_ist"), F.col("oldest.document_id")) < F.struct("current_timestamp_ist", "document_id")
+    first = F.when(F.col("oldest").isNotNull() & earlier, F.col("oldest.file_path"))
+    return _with_oldest(documents).select("document_id", "file_name", first.isNotNull().alias("is_duplicate"), first.alias("duplicate_of"))
 
 
 def duplicate_groups(documents: DataFrame, source_type: str | None = None) -> DataFrame:
@@ -129,12 +158,34 @@ def duplicate_groups(documents: DataFrame, source_type: str | None = None) -> Da
     return groups.filter("marked > 0").drop("marked")
 
 
+def groups_by_size() -> list[Column]:
+    return [F.col("copy_count").desc(), F.col("file_name")]
+
+
+def numbered(rows: DataFrame, key: str, pieces: dict[str, Column], order: list[str], name: str) -> DataFrame:
+    """Number the rows of each key from 1, in order of the pieces and then of `order`.
+
+    pieces: columns that part a key's rows in order. Rows are numbered within a piece and pieces by their sizes, so that a
+    key of very many rows is no single task's.
+    """
+    at = {f"_{c}": piece for c, piece in pieces.items()}
+    rows = rows.withColumns(at)
+    by = [key, *at]
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(key).orderBy(*at)) - F.col("_n")
+    starts = sizes.select(*[F.col(c).alias(f"{c}_of") for c in by], before.alias("_before"))
+    within = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    found = within.join(starts, all_of([F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in by]))
+    return found.withColumn(name, (F.col("_before") + F.col("_k")).cast("int")).drop(*at, *[f"{c}_of" for c in by], "_before", "_k")
+
+
 def group_copies(documents: DataFrame, source_type: str | None = None) -> DataFrame:
     """The live rows of each group, original first; the source narrows the groups, not their copies."""
     names = duplicate_groups(documents, source_type).select("file_name")
     rows = documents.filter(live()).join(names, "file_name", "left_semi")
-    w = Window.partitionBy("file_name").orderBy("is_duplicate", "current_timestamp_ist", "document_id")
-    return rows.select("file_name", F.row_number().over(w).alias("copy_no"), "document_id", "file_path", "is_duplicate", "duplicate_of", "source_type")
+    pieces = {"marked": F.col("is_duplicate"), "day": F.date_trunc("day", "current_timestamp_ist")}
+    rows = numbered(rows, "file_name", pieces, ["current_timestamp_ist", "document_id"], "copy_no")
+    return rows.select("file_name", "copy_no", "document_id", "file_path", "is_duplicate", "duplicate_of", "source_type")
 
 
 # ---- dashboards
@@ -295,9 +346,21 @@ def marked_read(notifications: DataFrame, user_id: str, keys: list | None = None
     return notifications.withColumn("is_read", F.col("is_read") | (mine if keys is None else mine & F.col("classification_id").isin(*keys)))
 
 
+def health(services: DataFrame) -> DataFrame:
+    """services: name and status. One row: healthy only if all are; no services are healthy."""
+    well = F.col("status").eqNullSafe(F.lit("healthy"))
+    rows = services.agg(F.coalesce(F.every(well), F.lit(True)).alias("well"), F.count(F.lit(1)).alias("services"), F.count_if(~well).alias("degraded"))
+    return rows.select(F.when(F.col("well"), "healthy").otherwise("degraded").alias("overall"), "services", "degraded")
+
+
 # ---- keyed writes
 
 
+def seed(table: DataFrame, first: DataFrame) -> DataFrame:
+    """Rows to append to a table that must not be empty: `first` if it is, else none."""
+    return first.join(table.select(F.lit(1)).limit(1), F.lit(True), "left_anti")
+
+
 def insert_missing(table: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Rows to append: those of `new` whose key the table hasn't; of equal keys one."""
     return new.dropDuplicates(key).join(table.select(*key), key, "left_anti")

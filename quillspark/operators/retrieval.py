@@ -27,18 +27,11 @@ def at_least(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.filter(F.col("similarity") >= threshold)
 
 
-def eligible(embeddings: DataFrame, documents: DataFrame, classification: DataFrame, document_type: str | None = None, source_type: str | None = None, status: str | None = None) -> DataFrame:
-    """Searchable chunks with their document and each of its searchable classifications."""
+def eligible(embeddings: DataFrame, documents: DataFrame, classification: DataFrame, document_type: str | None = None, source_type: str | None = None, status: str | None = None, how: str = "inner") -> DataFrame:
+    """Searchable chunks with their document and each of its searchable classifications; `how` left: and those without."""
     chunks = embeddings.filter(F.col("embedding").isNotNull() & (F.col("embedding_status") == "generated")).select("embedding_id", "document_id", "chunk_index", "chunk_text", "embedding")
     classes = where(classification.filter(F.col("classification_status").isin(*SEARCHABLE)), document_type=real(document_type), classification_status=real(status)).select("document_id", "classification_id", "document_type", "classification_status")
-    return chunks.join(where(documents, source_type=real(source_type)).select("document_id", "file_name", "source_type"), "document_id").join(classes, "document_id")
-
-
-def unclassified(embeddings: DataFrame, documents: DataFrame, source_type: str | None = None) -> DataFrame:
-    """Chunks for the second stage, which knows no classifications."""
-    chunks = embeddings.filter(F.col("embedding").isNotNull() & (F.col("embedding_status") == "generated")).select("embedding_id", "document_id", "chunk_index", "chunk_text", "embedding")
-    none = F.lit(None).cast("string")
-    return chunks.join(where(documents, source_type=real(source_type)).select("document_id", "file_name", "source_type", F.col("processing_status").alias("classification_status")), "document_id").withColumns({"document_type": none, "classification_id": F.lit(None).cast("long")})
+    return chunks.join(where(documents, source_type=real(source_type)).select("document_id", "file_name", "source_type", "processing_status"), "document_id").join(classes, "document_id", how)
 
 
 def best_chunks(rows: DataFrame, n: int = DOCUMENTS) -> DataFrame:
@@ -52,14 +45,16 @@ def best_chunks(rows: DataFrame, n: int = DOCUMENTS) -> DataFrame:
 def search(embeddings: DataFrame, documents: DataFrame, classification: DataFrame, query: DataFrame, n: int = DOCUMENTS, **filters: str | None) -> DataFrame:
     """The flagship: top chunks among those eligible, then the best chunk per document.
 
-    query: one row with the vector `query`. Where no chunk is eligible, a second stage searches all chunks, with the
-    source filter alone.
+    query: one row with the vector `query`. Where no chunk has a classification that the filters let pass, all chunks of
+    the source count, with their document's state in place of one. Both cases are one pass: classified chunks come
+    first, and the others count only if none of those was found.
     """
-    candidates = lambda rows: top(scored(rows.crossJoin(F.broadcast(query)), F.col("query")))  # noqa: E731  one row
-    first = candidates(eligible(embeddings, documents, classification, **filters)).drop("embedding", "query")
-    if not first.isEmpty():
-        return best_chunks(first, n)
-    return best_chunks(candidates(unclassified(embeddings, documents, filters.get("source_type"))).drop("embedding", "query"), n)
+    rows = scored(eligible(embeddings, documents, classification, how="left", **filters).crossJoin(F.broadcast(query)), F.col("query")).drop("embedding", "query")  # one row
+    classified = F.col("classification_id").isNotNull()
+    best = rows.filter("similarity IS NOT NULL").orderBy(classified.desc(), F.col("similarity").desc(), "embedding_id", "classification_id").limit(CANDIDATES)
+    any_classified = F.max(classified).over(Window.partitionBy(F.lit(0)))  # CANDIDATES rows
+    kept = best.withColumn("any", any_classified).filter(classified == F.col("any")).drop("any")
+    return best_chunks(kept.withColumn("classification_status", F.coalesce("classification_status", "processing_status")), n)
 
 
 def context(results: DataFrame, n: int = CONTEXT_DOCUMENTS) -> DataFrame:

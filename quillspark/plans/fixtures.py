@@ -21,7 +21,7 @@ AS_OF = "2024-02-12 00:00:00"
 
 #: Keywords and substrings that the driver's invented prose holds; fixed values.
 CORPUS_RULES = {
-    "Contracts": {"keywords": ["ther", "thon", "thes", "erin", "thor"] + ["than"], "sentences": ["tion", "ing the"], "filename_patterns": [r"\bcontract\b"]},
+    "Contracts": {"keywords": ["ther", "thon", "than", "thes", "erin", "thor"], "sentences": ["tion", "ing the"], "filename_patterns": [r"\bcontract\b"]},
     "Compliance": {"keywords": ["thth", "thre", "thed", "thea", "eren", "then"], "sentences": ["ment", "er of"], "filename_patterns": [r"\baudit\b"]},
     "Governance": {"keywords": ["thnt", "thhe", "thble", "thin", "erer", "thing"], "sentences": ["ble", "on the"], "filename_patterns": [r"\bboard\b"]},
     "Certifications": {"keywords": ["thha", "anea", "thti", "eron", "thnd", "erst"], "sentences": ["ou", "and the"], "filename_patterns": [r"\bcertificate\b"]},
@@ -97,6 +97,12 @@ def ai_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("document_id"), category.alias("ai_category"), ((F.col("doc_id") * 37) % 101).cast("double").alias("ai_score"), F.lit("by its text").alias("ai_reasoning"))
 
 
+def services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A service for each type of event, degraded where one of its events has no value above 0."""
+    e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name"))
+    return e.agg(F.when(F.min("value") > 0, "healthy").otherwise("degraded").alias("status"))
+
+
 def users(spark: SparkSession) -> DataFrame:
     return spark.range(50).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("user_id"), F.concat(F.lit("user"), F.col("id").cast("string"), F.lit("@example.org")).alias("email"), F.concat(F.lit("User "), F.col("id").cast("string")).alias("full_name"))
 

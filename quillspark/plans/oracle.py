@@ -127,6 +127,16 @@ ORACLE_SQL: dict[str, str] = {
     "files_duplicates_list": f"WITH {META} SELECT {_FILE} FROM meta WHERE {_LIVE} AND is_duplicate ORDER BY current_timestamp_ist DESC, document_id LIMIT 100 OFFSET 5",
     "files_all_latest_class": f"WITH {CLASS} SELECT m.{_FILE.replace(', ', ', m.')}, c.classification_id, c.document_type, c.confidence_score, c.classification_status, c.classification_tier FROM meta m LEFT JOIN newest c USING (document_id) WHERE {_LIVE}",
     "files_summary": f"WITH {META} SELECT count(*) AS total, {_state('processing_status', ('Original', 'originals'), ('Duplicate', 'duplicates'), ('Deleted', 'deleted'), ('Ingested', 'ingested'))}, count(*) FILTER (WHERE processing_status NOT IN ('Original', 'Duplicate', 'Deleted', 'Ingested')) AS other, {_state('source_type', ('Outlook', 'from_outlook'), ('Sharepoint', 'from_sharepoint'), ('manual_upload', 'from_manual'))} FROM meta",
+    "document_by_id": f"WITH {META} SELECT {_FILE} FROM meta WHERE document_id = 34",
+    "document_to_classify": f"WITH {META} SELECT document_id, file_name, source_type, CAST(current_timestamp_ist AS VARCHAR) AS ingested_at FROM meta WHERE document_id = 42 AND NOT is_duplicate",
+    "files_deleted_answer": f"""WITH {META}, gone AS (SELECT document_id, row_number() OVER (ORDER BY processed_at DESC NULLS LAST, current_timestamp_ist DESC, document_id) AS k FROM meta WHERE processing_status = 'Deleted')
+        SELECT count(*) AS total, 7 AS "limit", 2 AS "offset", count(*) FILTER (WHERE k > 9) > 0 AS has_more, coalesce(string_agg(CAST(document_id AS VARCHAR), ',' ORDER BY k) FILTER (WHERE k BETWEEN 3 AND 9), '') AS items FROM gone""",
+    "duplicate_groups_page": f"WITH {META} SELECT file_name, copy_count, strftime(earliest, '%Y-%m-%dT%H:%M:%S') AS earliest, strftime(latest, '%Y-%m-%dT%H:%M:%S') AS latest, coalesce(srcs, '') AS sources FROM ({_GROUPS}) ORDER BY copy_count DESC, file_name LIMIT 10 OFFSET 3",
+    "services_health": "WITH s AS (SELECT event_type, coalesce(min(value) > 0, false) AS well FROM events GROUP BY event_type) SELECT CASE WHEN coalesce(bool_and(well), true) THEN 'healthy' ELSE 'degraded' END AS overall, count(*) AS services, count(*) FILTER (WHERE NOT well) AS degraded FROM s",
+    "users_seeded": "SELECT 'empty' AS table_name, 'u0' AS user_id",
+    "rule_scores": f"WITH {_rules()} SELECT document_id, concat('{{', string_agg(concat('\"', category, '\":', CAST(CAST(score AS DOUBLE) AS VARCHAR)), ',' ORDER BY ord), '}}') AS all_scores FROM sig GROUP BY document_id",
+    "classification_rows": f"""WITH {_rules()}, sc AS (SELECT document_id, concat('{{', string_agg(concat('\"', category, '\":', CAST(CAST(score AS DOUBLE) AS VARCHAR)), ',' ORDER BY ord), '}}') AS all_scores FROM sig GROUP BY document_id)
+        SELECT document_id, rule_score AS rule_confidence_score, all_scores, final_category AS document_type, classification_status, classification_tier, combined_confidence_score FROM routed JOIN sc USING (document_id) SEMI JOIN (SELECT document_id FROM meta ANTI JOIN cls USING (document_id) WHERE {_LIVE} AND NOT is_duplicate) q USING (document_id)""",
     "files_duplicates_by_name": f"WITH {META}, g AS ({_GROUPS}) SELECT {_FILE} FROM meta WHERE {_LIVE} AND is_duplicate AND file_name = (SELECT min(file_name) FROM g)",
     "files_deleted": f"WITH {META} SELECT {_FILE}, processed_at FROM meta WHERE processing_status = 'Deleted' AND file_name ILIKE '%INVOICE%'",
     "duplicate_groups": f"WITH {META} SELECT file_name, copy_count, earliest, latest, coalesce(srcs, '') AS sources FROM ({_GROUPS})",
@@ -163,7 +173,7 @@ ORACLE_SQL: dict[str, str] = {
     "notifications_events": f"WITH {_EVENTS} SELECT * FROM ev",
     "notifications_pending": f"WITH {_EVENTS} SELECT * FROM ev WHERE classification_id % 3 <> 0",
     "unread_counts": f"WITH {_EVENTS} SELECT user_id, count(*) AS unread FROM ev WHERE classification_id % 2 <> 0 AND user_id <> 'u3' GROUP BY user_id",
-    "path_keys": f"WITH {META} SELECT document_id, concat(coalesce(source_type, 'unknown'), '/', split_part(file_path, '/', 4), '/', file_name) AS source_key, concat('DIC/Contracts/', coalesce(source_type, 'unknown'), '/', split_part(file_path, '/', 4), '/', file_name) AS output_key, '.pdf' AS suffix, left(file_name, length(file_name) - 4) AS stem FROM meta",
+    "path_keys": f"WITH {META} SELECT document_id, concat(coalesce(source_type, 'unknown'), '/', split_part(file_path, '/', 4), '/', file_name) AS source_key, concat('DIC/Contracts/', coalesce(source_type, 'unknown'), '/', split_part(file_path, '/', 4), '/', file_name) AS output_key, split_part(file_path, '/', 4) AS guid_folder, '.pdf' AS suffix, left(file_name, length(file_name) - 4) AS stem FROM meta",
     "rule_signals": f"WITH {_rules()} SELECT document_id, category, keywords, sentences, filenames, raw, CAST(score AS DOUBLE) AS score FROM sig",
     "rule_winner": f"WITH {_rules()} SELECT document_id, rule_category AS category, rule_score AS score, CASE WHEN rule_score >= 70 THEN 'auto_classified' WHEN rule_score >= 40 THEN 'soft_flag' ELSE 'hard_stop' END AS status FROM win",
     "score_combine": f"WITH {_rules()} SELECT document_id, combined_score, final_category, status, categories_agreed FROM comb2",

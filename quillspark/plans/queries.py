@@ -107,6 +107,17 @@ def files_summary(s, d):
     return R.files_summary(X.documents(s, d))
 
 
+@query
+def document_by_id(s, d):
+    return R.by_id(X.documents(s, d), 34)
+
+
+@query
+def document_to_classify(s, d):
+    """One document if it is no duplicate, with the time it came in as text."""
+    return R.by_id(X.documents(s, d), 42, originals=True).select("document_id", "file_name", "source_type", text.timestamp_text(F.col("current_timestamp_ist")).alias("ingested_at"))
+
+
 @query
 def files_duplicates_by_name(s, d):
     docs = X.documents(s, d)
@@ -120,6 +131,20 @@ def files_deleted(s, d):
     return R.page(rows, [F.col("processed_at").desc_nulls_last(), *newest()])
 
 
+@query
+def files_deleted_answer(s, d):
+    """A page of deleted files with its totals, as a listing answers."""
+    rows = R.answer(R.deleted(X.documents(s, d)), [F.col("processed_at").desc_nulls_last(), *newest()], F.col("document_id").cast("string"), 7, 2)
+    return rows.withColumn("items", F.array_join("items", ","))
+
+
+@query
+def duplicate_groups_page(s, d):
+    """Groups by size and name, with their earliest and latest time as ISO text."""
+    rows = R.page(R.duplicate_groups(X.documents(s, d)), R.groups_by_size(), 10, 3)
+    return rows.select("file_name", "copy_count", text.iso_text(F.col("earliest")).alias("earliest"), text.iso_text(F.col("latest")).alias("latest"), F.array_join("sources", ",").alias("sources"))
+
+
 @query
 def duplicate_groups(s, d):
     return R.duplicate_groups(X.documents(s, d)).withColumn("sources", F.array_join("sources", ","))
@@ -262,6 +287,19 @@ def audit_log(s, d):
     return R.audit(X.audit_logs(s, d), X.users(s), action="purchase")
 
 
+@query
+def services_health(s, d):
+    return R.health(X.services(s, d))
+
+
+@query
+def users_seeded(s, d):
+    """A first user for an empty table; none for one that has users."""
+    users, first = X.users(s), X.users(s).filter("user_id = 'u0'")
+    seeded = lambda table, name: R.seed(table, first).select(F.lit(name).alias("table_name"), "user_id")
+    return seeded(users.filter("user_id IS NULL"), "empty").unionByName(seeded(users, "filled"))
+
+
 @query
 def notifications_events(s, d):
     docs, cls = _tables(s, d)
@@ -284,18 +322,26 @@ def unread_counts(s, d):
 def path_keys(s, d):
     docs = X.documents(s, d)
     path = F.concat(F.when(F.col("document_id") % 2 == 0, f"/{text.CONTAINER}").otherwise(""), F.regexp_replace("file_path", "^/src", ""))
-    return docs.select("document_id", text.source_key(path).alias("source_key"), text.output_key(F.lit("Contracts"), path).alias("output_key"), text.suffix(F.col("file_name")).alias("suffix"), text.stem(F.col("file_name")).alias("stem"))
+    return docs.select("document_id", text.source_key(path).alias("source_key"), text.output_key(F.lit("Contracts"), path).alias("output_key"), text.guid_folder(path).alias("guid_folder"), text.suffix(F.col("file_name")).alias("suffix"), text.stem(F.col("file_name")).alias("stem"))
 
 
-def _found(s, d):
+def _found(s, d, rules=RULES):
+    """Signals of each document. Texts are read where they lie; what moves to meet the names is the counts."""
     names = X.arrivals(s, d).select("document_id", "file_name")
-    rows = X.table(s, d, "documents").select(F.col("doc_id").alias("document_id"), "text").join(names, "document_id")
-    return rows.select("document_id", (F.coalesce("text", F.lit("")) == "").alias("empty"), scoring.signals(F.col("text"), F.col("file_name"), RULES).alias("found"))
+    rows = X.table(s, d, "documents").select(F.col("doc_id").alias("document_id"), (F.coalesce("text", F.lit("")) == "").alias("empty"), scoring.text_signals(F.col("text"), rules).alias("texts"))
+    return rows.join(names, "document_id").select("document_id", "empty", scoring.joined_signals(F.col("texts"), scoring.name_signals(F.col("file_name"), rules), rules).alias("found"))
 
 
 @query
 def rule_signals(s, d):
-    return _found(s, d).select("document_id", F.explode("found").alias("x")).select("document_id", "x.category", "x.keywords", "x.sentences", "x.filenames", "x.raw", "x.score")
+    # Outer, since no entry is missing: else Spark would test the array before, and compute it twice.
+    return _found(s, d).select("document_id", F.explode_outer("found").alias("x")).select("document_id", "x.category", "x.keywords", "x.sentences", "x.filenames", "x.raw", "x.score")
+
+
+@query
+def rule_scores(s, d):
+    """The score of every category, as a row's JSON column holds them."""
+    return _found(s, d).select("document_id", scoring.all_scores(F.col("found")).alias("all_scores"))
 
 
 @query
@@ -324,6 +370,17 @@ def classify_route(s, d):
     return _routed(s, d)
 
 
+@query
+def classification_rows(s, d):
+    """Rows to append to the classification table: where each waiting document goes, and the scores of all categories."""
+    c = F.col
+    found = _found(s, d).select("document_id", "empty", scoring.winner(c("found")).alias("w"), scoring.all_scores(c("found")).alias("all_scores"))
+    rows = found.join(R.queue(*_tables(s, d)).select("document_id"), "document_id", "left_semi").join(X.ai_results(s, d), "document_id", "left")
+    routed = scoring.route(c("w.score"), c("w.category"), c("ai_score"), c("ai_category"), c("ai_reasoning"), c("empty"))
+    rows = rows.select("document_id", c("w.score").alias("rule_confidence_score"), "all_scores", routed.alias("x"))
+    return rows.select("document_id", "rule_confidence_score", "all_scores", c("x.final_category").alias("document_type"), "x.classification_status", "x.classification_tier", "x.combined_confidence_score")
+
+
 @query
 def class_batch_rollup(s, d):
     waiting = R.queue(*_tables(s, d)).select("document_id")

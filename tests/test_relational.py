@@ -115,3 +115,53 @@ def test_embedding_in_batches(spark):
         return 5
 
     assert providers.retried(flaky, wait=0)() == 5
+
+
+def test_a_hot_name_is_numbered_in_pieces(spark):
+    d = docs(spark, *[(i, "a" if i % 4 else None, "Original" if i == 1 else "Duplicate", None, (i * 37) % 100) for i in range(1, 60)])
+    got = {r.document_id: r.copy_no for r in R.numbered(d, "file_name", {"marked": F.col("is_duplicate"), "day": F.date_trunc("day", "current_timestamp_ist")}, ["current_timestamp_ist", "document_id"], "copy_no").collect()}
+    rows = [(i % 4 == 0, i != 1, (i * 37) % 100, i) for i in range(1, 60)]
+    for none in (False, True):
+        mine = sorted(r[1:] for r in rows if r[0] is none)
+        assert [got[i] for _, _, i in mine] == list(range(1, len(mine) + 1))
+    # Nameless files are files of one name.
+    assert {r.duplicate_of for r in R.arrivals(d.filter("file_name IS NULL")).collect()} == {None, "/p/52"}
+    assert {r.duplicate_of for r in R.rescan(d.filter("file_name IS NULL")).collect()} == {None, "/p/52"}
+
+
+def test_answers(spark):
+    d = docs(spark, *[(i, f"f{i}", "Original", None, 0) for i in range(10)])
+    answer = lambda *at: tuple(R.answer(d, [F.col("document_id").desc()], F.col("document_id"), *at).first())
+    assert answer(4) == (10, 4, 0, True, [9, 8, 7, 6]) and answer(4, 6) == (10, 4, 6, False, [3, 2, 1, 0]) and answer(4, 20) == (10, 4, 20, False, [])
+    assert [r.document_id for r in R.by_id(d, 3).collect()] == [3]
+    assert R.by_id(d.withColumn("is_duplicate", F.lit(True)), 3, originals=True).count() == 0
+
+
+def test_health_and_seed(spark):
+    services = spark.createDataFrame([("a", "healthy"), ("b", "degraded"), ("c", None)], "name string, status string")
+    assert tuple(R.health(services).first()) == ("degraded", 3, 2)
+    assert tuple(R.health(services.filter("name = 'a'")).first()) == ("healthy", 1, 0)
+    assert tuple(R.health(services.limit(0)).first()) == ("healthy", 0, 0)
+    users = spark.createDataFrame([("u",)], "user_id string")
+    assert R.seed(users.limit(0), users).count() == 1 and R.seed(users, users).count() == 0
+
+
+def test_shared_folder_is_never_the_drivers_own_on_a_cluster():
+    import pytest
+
+    from quillspark import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):  # noqa: N802
+            return {}
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
