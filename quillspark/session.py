@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -16,9 +17,15 @@ def session(app: str = "quillspark", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: the session's checkpoint folder, set here only where it is unset."""
+    """A folder that driver and executors share: the session's checkpoint folder.
+
+    Where none is set, a session of one machine (local mode, as in tests) takes a temporary one; on a cluster no folder of
+    the driver's would do, so that is an error.
+    """
     kept = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not kept:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         kept = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
         spark.sparkContext.setCheckpointDir(kept)
     return kept.rstrip("/")

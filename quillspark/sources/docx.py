@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import io
-import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-from ..functions.chunking import table_text, unstacked
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from ..functions.chunking import CHUNK_TYPE, table_text, unstacked
+from ..functions.text import heading_level, heading_path
+
+ELEMENTS = "array<struct<kind:string,style:string,text:string,lines:array<string>>>"
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -60,50 +65,44 @@ def body(data: bytes) -> Iterator[tuple[str, str, str | list[list[str]]]]:
             yield "table", "", _cells(e)
 
 
-def level(style: str) -> int:
-    """The level of a heading's style; 0 for any other."""
-    s = style.lower().strip()
-    m = re.match(r"heading\s+(\d+)", s)
-    return int(m[1]) if m else int(s in ("title", "subtitle"))
+def elements(data: bytes) -> list[dict]:
+    """What a file holds, in order: paragraphs with their style, tables as sentences and as lines."""
+    out = []
+    for kind, style, what in body(data):
+        if kind == "paragraph":
+            out.append({"kind": kind, "style": style, "text": what.strip(), "lines": []})
+        else:
+            rows = dict.fromkeys(tuple(map(str.strip, r)) for r in what)
+            out.append({"kind": kind, "style": "", "text": table_text(unstacked(what)), "lines": [" | ".join(filter(None, r)) for r in rows]})
+    return out
 
 
-def path(headings: list[str]) -> str:
-    text = " > ".join(h for h in headings[:3] if h)
-    return text if len(text) <= 120 else text[:117] + "..."
+def plain_text(found: Column) -> Column:
+    """Of elements: the paragraphs, then the rows of all tables with " | " between cells; a row that its table repeats
+    counts once."""
+    paragraphs = F.transform(F.filter(found, lambda e: e["kind"] == "paragraph"), lambda e: e["text"])
+    rows = F.flatten(F.transform(found, lambda e: e["lines"]))
+    return F.array_join(F.filter(F.concat(paragraphs, rows), lambda x: x != ""), "\n")
 
 
-def plain_text(data: bytes) -> str:
-    """Paragraphs, then the rows of all tables with " | " between cells; a row that its table repeats counts once."""
-    lines, tables = [], []
-    for kind, _, what in body(data):
-        if kind == "paragraph":
-            lines.append(what.strip())
-        else:
-            rows = dict.fromkeys(tuple(c.strip() for c in r) for r in what)
-            tables += [" | ".join(c for c in r if c) for r in rows]
-    return "\n".join(x for x in lines + tables if x)
+def sections(found: Column) -> Column:
+    """Of elements, raw chunks: the paragraphs under a heading, and each table as sentences, with the headings above them.
 
+    The elements are folded in order; a heading of some depth replaces those of its depth and deeper.
+    """
+    texts = F.array().cast("array<string>")
+    chunk = lambda text, headings, kind: F.struct(text.alias("text"), heading_path(headings).alias("heading_context"), F.lit(kind).alias("chunk_type"))
+    filled = lambda c: F.filter(F.array(c), lambda x: x["text"] != "")
 
-def sections(data: bytes) -> list[dict]:
-    """Raw chunks: the paragraphs under a heading, and each table as sentences, with the headings above them."""
-    out: list[dict] = []
-    headings: list[str] = []
-    held: list[str] = []
+    def ended(so_far: Column) -> Column:
+        return F.concat(so_far["chunks"], filled(chunk(F.array_join(so_far["held"], "\n"), so_far["headings"], "text")))
 
-    def put(text: str, kind: str) -> None:
-        if text:
-            out.append({"text": text, "heading_context": path(headings), "chunk_type": kind})
+    def step(so_far: Column, e: Column) -> Column:
+        depth = F.when(e["kind"] == "paragraph", heading_level(e["style"])).otherwise(F.lit(-1))
+        headings = F.when(depth > 0, F.concat(F.slice(so_far["headings"], F.lit(1), depth - 1), F.array(e["text"]))).otherwise(so_far["headings"])
+        held = F.when(depth == 0, F.concat(so_far["held"], F.filter(F.array(e["text"]), lambda t: t != ""))).otherwise(texts)
+        chunks = F.when(depth == 0, so_far["chunks"]).when(depth > 0, ended(so_far)).otherwise(F.concat(ended(so_far), filled(chunk(e["text"], so_far["headings"], "table"))))
+        return F.struct(headings.alias("headings"), held.alias("held"), chunks.alias("chunks"))
 
-    for kind, style, what in body(data):
-        depth = level(style) if kind == "paragraph" else 0
-        if kind == "paragraph" and not depth:
-            held += [what.strip()] if what.strip() else []
-            continue
-        put("\n".join(held).strip(), "text")
-        held = []
-        if depth:
-            headings[depth - 1 :] = [what.strip()]
-        else:
-            put(table_text(unstacked(what)), "table")
-    put("\n".join(held).strip(), "text")
-    return out
+    start = F.struct(texts.alias("headings"), texts.alias("held"), F.array().cast(CHUNK_TYPE).alias("chunks"))
+    return F.aggregate(found, start, step, ended)

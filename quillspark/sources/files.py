@@ -18,14 +18,14 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return files.select(F.col("path").alias("file_path"), F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("file_size"), "content")
 
 
-def extract(name: str, data: bytes) -> tuple[str, list[dict]]:
-    """Text and raw chunks; any kind of file but .pdf and .docx is a ValueError."""
+def extract(name: str, data: bytes) -> tuple[str, list[dict], list[dict] | None]:
+    """Text and raw chunks of a .pdf, the elements of a .docx; any other kind of file is a ValueError."""
     kind = name.lower().rpartition(".")[2]
     if kind == "docx":
-        return docx.plain_text(data), docx.sections(data)
+        return "", [], docx.elements(data)
     if kind == "pdf":
         found = pdf.pages(data)
-        return pdf.plain_text(found), pdf.sections(found)
+        return pdf.plain_text(found), pdf.sections(found), None
     raise ValueError(f"unsupported file type: {name}")
 
 
@@ -36,16 +36,18 @@ def _extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             try:
                 rows.append((*extract(name or "", bytes(data) if data is not None else b""), None, None))
             except ValueError as e:
-                rows.append(("", [], str(e), "unsupported"))
+                rows.append(("", [], None, str(e), "unsupported"))
             except Exception as e:
-                rows.append(("", [], f"{type(e).__name__}: {e}", "failed"))
-        yield pd.concat([batch[["file_path", "file_name"]].reset_index(drop=True), pd.DataFrame(rows, columns=["text", "chunks", "error", "error_kind"])], axis=1)
+                rows.append(("", [], None, f"{type(e).__name__}: {e}", "failed"))
+        yield pd.concat([batch[["file_path", "file_name"]].reset_index(drop=True), pd.DataFrame(rows, columns=["text", "chunks", "elements", "error", "error_kind"])], axis=1)
 
 
 def extracted(files: DataFrame, strict: bool = False) -> DataFrame:
     """file_path, file_name, text, chunks, error, error_kind. With strict, an unsupported file raises; a broken file never
     does: its text is empty."""
-    rows = files.select("file_path", "file_name", "content").mapInPandas(_extracted, f"file_path string, file_name string, text string, chunks {CHUNK_TYPE}, error string, error_kind string")
+    rows = files.select("file_path", "file_name", "content").mapInPandas(_extracted, f"file_path string, file_name string, text string, chunks {CHUNK_TYPE}, elements {docx.ELEMENTS}, error string, error_kind string")
+    read = F.col("elements").isNotNull()
+    rows = rows.select("file_path", "file_name", F.when(read, docx.plain_text(F.col("elements"))).otherwise(F.col("text")).alias("text"), F.when(read, docx.sections(F.col("elements"))).otherwise(F.col("chunks")).alias("chunks"), "error", "error_kind")
     if strict:
         rows = rows.withColumn("text", F.when(F.col("error_kind") == "unsupported", F.raise_error(F.col("error"))).otherwise(F.col("text")))
     return rows

@@ -9,10 +9,11 @@ import re
 from dataclasses import dataclass, field
 
 from ..functions.chunking import table_text
+from ..functions.text import PAGE_NUMBER
 
-# Margins that hold headers and footers, the gap in points that parts paragraphs, forms of page numbers.
+# Margins that hold headers and footers, the gap in points that parts paragraphs.
 TOP, BOTTOM, GAP = 0.07, 0.93, 8
-_NUMBER = re.compile(r"^(\d+|[Pp]age\s+\d+|[-–]\s*\d+\s*[-–]|\d+\s*/\s*\d+|[Pp]g\.?\s*\d+)$")
+_NUMBER = re.compile(PAGE_NUMBER)
 
 
 @dataclass

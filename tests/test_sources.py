@@ -3,6 +3,7 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.sources import docx, files, pdf
 from quillspark.sources.rules import load_rules, rules_table
@@ -27,13 +28,15 @@ def make(body):
     return out.getvalue()
 
 
-TABLE = f"<w:tbl><w:tr>{tc('Subtotal')}{tc('$20')}</w:tr><w:tr>{tc('Subtotal')}{tc('$20')}</w:tr><w:tr>{tc('Tax')}{tc('$2')}</w:tr></w:tbl>"
+TABLE = f"<w:tbl><w:tr>{tc('Rope')}{tc('$20')}</w:tr><w:tr>{tc('Rope')}{tc('$20')}</w:tr><w:tr>{tc('Hook')}{tc('$2')}</w:tr></w:tbl>"
 DOC = make(p("Intro") + p("Part", "H1") + p("Body one") + p("Body two") + p("Sub", "H2") + TABLE + p("End") + p("Next", "H1") + p("Last"))
 
 
-def test_docx():
-    assert docx.plain_text(DOC) == "Intro\nPart\nBody one\nBody two\nSub\nEnd\nNext\nLast\nSubtotal | $20\nTax | $2"
-    assert [(c["text"], c["heading_context"], c["chunk_type"]) for c in docx.sections(DOC)] == [("Intro", "", "text"), ("Body one\nBody two", "Part", "text"), ("Subtotal: $20. Tax: $2.", "Part > Sub", "table"), ("End", "Part > Sub", "text"), ("Last", "Next", "text")]
+def test_docx(spark):
+    df = spark.createDataFrame([(docx.elements(DOC),)], f"e {docx.ELEMENTS}")
+    got = df.select(docx.plain_text(F.col("e")).alias("text"), docx.sections(F.col("e")).alias("chunks")).first()
+    assert got.text == "Intro\nPart\nBody one\nBody two\nSub\nEnd\nNext\nLast\nRope | $20\nHook | $2"
+    assert [(c["text"], c["heading_context"], c["chunk_type"]) for c in got.chunks] == [("Intro", "", "text"), ("Body one\nBody two", "Part", "text"), ("Rope: $20. Hook: $2.", "Part > Sub", "table"), ("End", "Part > Sub", "text"), ("Last", "Next", "text")]
 
 
 def test_merged_cells():
