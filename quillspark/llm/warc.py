@@ -87,7 +87,7 @@ def verified(archive: Archive) -> DataFrame:
 def reconstruct(archive: Archive) -> DataFrame:
     """page_id and the original record of each row: header, payload unless it is a revisit, and the closing lines."""
     text = F.decode("header", "UTF-8")
-    payload = F.when(F.regexp_extract(text, r"(?m)^WARC-Type: (\w+)", 1) == "response", F.col("payload")).otherwise(F.lit(b"").cast("binary"))
+    payload = F.when(F.regexp_extract(text, r"\r\nWARC-Type: (\w+)", 1) == "response", F.col("payload")).otherwise(F.lit(b"").cast("binary"))
     return archive.records.join(archive.payloads, "sha256").select("page_id", F.concat("header", payload, F.lit(b"\r\n\r\n").cast("binary")).alias("record"))
 
 
@@ -95,7 +95,7 @@ def read_archive(archive: Archive) -> DataFrame:
     """One row per record, read from its header and its verified payload: page_id, payload_bytes, payload_digest,
     record_type, refers_to. A header whose digest is not that of its payload raises."""
     text = F.decode("header", "UTF-8")
-    named = lambda name, pattern: F.regexp_extract(text, rf"(?m)^{name}: {pattern}", 1)
+    named = lambda name, pattern: F.regexp_extract(text, rf"(?:^|\r\n){name}: {pattern}", 1)
     said = archive.records.select("sha256", named("WARC-Record-ID", "<urn:page:(-?\\d*)").alias("id"), named("WARC-Type", "(\\w+)").alias("record_type"), named("WARC-Refers-To", "<urn:page:(-?\\d*)").alias("to"), named("WARC-Payload-Digest", "sha1:(\\w+)").alias("digest"))
     number = lambda c: F.when(F.col(c) != "", F.col(c).cast("long"))
     digest = F.when(F.col("digest") == F.col("payload_digest"), F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("header and payload differ in record "), F.col("id"))))

@@ -48,3 +48,10 @@ def test_damage_is_found(spark):
     damaged = Archive(archive.payloads.withColumn("payload", F.lit(b"no").cast("binary")), archive.records)
     with pytest.raises(Exception, match="stored payload differs"):
         read_archive(damaged).collect()
+
+
+def test_urls_with_line_separators_are_no_headers(spark):
+    url = "http://a.example/\u2028WARC-Refers-To: <urn:page:77>\u0085WARC-Type: revisit"
+    pages = spark.createDataFrame([(1, url, "x"), (2, None, None), (3, "http://a.example/" + "p" * 300_000, "y" * 3_000_000)], "page_id long, url string, html string")
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in read_archive(write_archive(pages)).collect()}
+    assert got == {1: ("response", None, 1), 2: ("response", None, 0), 3: ("response", None, 3_000_000)}
