@@ -6,7 +6,7 @@
    (1 - t) in order of rarity must share one: each text is linked to the least text of every recurring shingle among
    those. Every similar pair is in one chain of links, no pair is written, and lines or passages that unlike texts share
    don't join them, being the least rare of what they hold.
-2. Pairs. Each cluster's texts meet once with their shingles, in blocks of BLOCK texts and pairs of blocks. MinHash values
+2. Pairs. Each cluster's texts meet once with their shingles, in blocks of texts and pairs of blocks. MinHash values
    are compared a few at a time; a pair is dropped when the posterior probability (uniform prior) that it reaches the
    threshold falls below TOLERANCE; the rest are verified exactly. What leaves a task is a link count and one edge per text.
 3. Classes. Components of verified links; copies of a text share its class.
@@ -33,7 +33,9 @@ WORDS, THRESHOLD = 5, 0.8
 #: A pair is dropped once its chance of reaching the threshold is below this.
 TOLERANCE = 1e-9
 HASHES, STEP = 64, 16
-BLOCK = 1024
+#: Texts of a block: a sixteenth of their cluster, within these bounds. Small blocks deal a cluster evenly, large ones send
+#: the texts of a very large cluster less often.
+SMALL_BLOCK, BLOCK = 128, 1024
 #: Share of a prefix's shingles that must be able to recur in other prefixes. Of a similar text THRESHOLD of all shingles
 #: recur at least; prefixes of texts of unlike length end at different hashes, hence less.
 RECUR = 0.6
@@ -309,7 +311,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = written(known.join(kept.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets_task(width), "doc_id long, sh array<long>, marks binary"), "sets")
     members = components(candidate_links(sets, threshold))
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    members = members.join(sizes, "component").select(F.col("node").alias("id"), F.col("component").alias("cluster"), F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    members = members.join(sizes, "component").select(F.col("node").alias("id"), F.col("component").alias("cluster"), F.ceil(F.col("size") / F.greatest(F.lit(min(SMALL_BLOCK, block)), F.least(F.lit(block), F.ceil(F.col("size") / 16)))).cast("int").alias("blocks"))
     sets = sets.join(members.hint("merge"), F.col("doc_id") == F.col("id")).select("cluster", "blocks", "doc_id", "sh", "marks")
     mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     paired = sets.withColumn("block", mine).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
