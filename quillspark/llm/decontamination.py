@@ -2,7 +2,8 @@
 
 Window hashes of a document are looked up in the sorted hashes of the benchmark's windows; each hit is then verified by
 comparing the words themselves. The set is broadcast only up to SET_BYTES of benchmark text; a larger benchmark is cut
-into parts of that size, and documents pass through one scan per part, which keeps what was hit so far.
+into parts of that size, and documents pass through one scan per part, which keeps what was hit so far; each pass but
+the last is written to the shared folder, so that no task ever holds two sets.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, slices, spans, window_hashes, within, word_hashes
+from .common import buffers, slices, spans, window_hashes, within, word_hashes, written
 
 WIDTH = 10
-#: Benchmark text in one broadcast set; its windows take about 40 bytes a word there.
+#: Benchmark text in one broadcast set; its windows take about 40 bytes a word there, in each Python worker.
 SET_BYTES = 16 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -30,28 +31,46 @@ _OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string
 
 
 class Windows:
-    """The windows of benchmark items: by number of words, sorted hashes and for each the words and item ids."""
+    """The windows of benchmark items, by their number of words: sorted hashes, and of each where its words stand in the
+    items' texts and which items hold it. All in numpy arrays."""
 
     def __init__(self, items: list[tuple[str, str | None]], width: int = WIDTH) -> None:
-        found: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
-        for item, text in items:
-            words = _WORDS.findall(bytes(_LOWER[np.frombuffer((text or "").encode(), np.uint8)]))
-            n = min(width, len(words))
-            for i in range(len(words) - n + 1 if words else 0):
-                found.setdefault(n, {}).setdefault(tuple(words[i : i + n]), set()).add(item)
-        self.by_width: dict[int, tuple[np.ndarray, list[list[tuple[tuple[bytes, ...], frozenset]]]]] = {}
-        for n, windows in found.items():
-            keyed: dict[int, list] = {}
-            for words, names in windows.items():
-                keyed.setdefault(int(self.hash(words)), []).append((words, frozenset(names)))
-            order = sorted(keyed)
-            self.by_width[n] = np.array(order, np.uint64), [keyed[k] for k in order]
-
-    @staticmethod
-    def hash(words: tuple[bytes, ...]) -> np.uint64:
-        data = np.frombuffer(b" ".join(words), np.uint8)
-        starts, ends, _ = spans(data, np.array([0, len(data)]), WORD)
-        return window_hashes(word_hashes(data, starts, ends), len(words))[0]
+        self.names = [name for name, _ in items]
+        texts = pa.array([(text or "").encode() for _, text in items], pa.large_binary())
+        data, offsets = buffers(texts)
+        self.data = _LOWER[data]
+        starts, ends, firsts = spans(self.data, offsets, WORD)
+        hashes = word_hashes(self.data, starts, ends)
+        self.starts, self.ends = starts.astype(np.uint32), ends.astype(np.uint32)
+        widths = np.minimum(np.diff(firsts), width)
+        self.by_width: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in map(int, np.unique(widths[widths > 0])):
+            at, item = within(firsts, n)
+            keep = widths[item] == n
+            self.by_width[n] = self._sorted(n, window_hashes(hashes, n)[at[keep]], at[keep], item[keep])
+
+    def words(self, at: int, n: int) -> bytes:
+        """n words with one blank between each two; words hold no blanks."""
+        return b" ".join(self.data[self.starts[k] : self.ends[k]].tobytes() for k in range(at, at + n))
+
+    def _sorted(self, n: int, hashes: np.ndarray, at: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each different window, by hash: the hash, its first word, and the bounds of its items in the last array."""
+        order = np.argsort(hashes, kind="stable")
+        hashes, at, item = hashes[order], at[order], item[order]
+        first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+        sizes = np.diff(np.append(first, len(hashes)))
+        window = np.repeat(np.arange(len(first)), sizes)
+        for begin, size in zip(first[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+            # Equal hashes of other words, if there are any, are windows of their own.
+            seen = {self.words(int(at[begin]), n): window[begin]}
+            for k in range(begin + 1, begin + size):
+                window[k] = seen.setdefault(self.words(int(at[k]), n), len(hashes) + k)
+        order = np.lexsort((item, window, hashes))
+        hashes, at, item, window = hashes[order], at[order], item[order], window[order]
+        keep = np.append(True, (window[1:] != window[:-1]) | (item[1:] != item[:-1]))
+        hashes, at, item, window = hashes[keep], at[keep], item[keep], window[keep]
+        first = np.flatnonzero(np.append(True, window[1:] != window[:-1]))
+        return hashes[first], at[first].astype(np.uint32), np.append(first, len(window)).astype(np.uint32), item.astype(np.uint32)
 
 
 def _marked(batch: pa.RecordBatch, windows: Windows, hit: list[np.ndarray | None], items: list[set]) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +79,7 @@ def _marked(batch: pa.RecordBatch, windows: Windows, hit: list[np.ndarray | None
     data = _LOWER[data]
     starts, ends, firsts = spans(data, offsets, WORD)
     hashes = word_hashes(data, starts, ends)
-    for width, (keys, entries) in windows.by_width.items():
+    for width, (keys, place, bounds, held) in windows.by_width.items():
         if len(hashes) < width:
             continue
         found = window_hashes(hashes, width)
@@ -69,29 +88,33 @@ def _marked(batch: pa.RecordBatch, windows: Windows, hit: list[np.ndarray | None
             text = int(np.searchsorted(firsts, at, "right")) - 1
             if at + width > firsts[text + 1]:
                 continue
-            words = tuple(data[starts[k] : ends[k]].tobytes() for k in range(at, at + width))
-            for other, names in entries[near[at]]:
-                if other == words:
+            words = b" ".join(data[starts[k] : ends[k]].tobytes() for k in range(at, at + width))
+            k = int(near[at])
+            while k < len(keys) and keys[k] == found[at]:
+                if windows.words(int(place[k]), width) == words:
                     if hit[text] is None:
                         hit[text] = np.zeros(int(firsts[text + 1] - firsts[text]), bool)
                     hit[text][at - firsts[text] : at - firsts[text] + width] = True
-                    items[text] |= names
+                    items[text].update(windows.names[i] for i in held[bounds[k] : bounds[k + 1]])
+                    break
+                k += 1
     return np.diff(firsts), starts
 
 
-def _parts(benchmark: DataFrame, id_col: str, text_col: str, width: int, limit: int) -> Iterator[Windows]:
-    """The benchmark's windows, for one part of at most about `limit` text bytes after another."""
+def _parts(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str, str | None]]]:
+    """The benchmark's items, one part of at most about `limit` text bytes after another; one part at least."""
     held: list[tuple[str, str | None]] = []
     size = 0
     for r in benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).toLocalIterator():
         if r[0] is None or r[1] is None:
             continue
-        if held and size + len(r[1]) > limit:
-            yield Windows(held, width)
+        n = len(r[1].encode())
+        if held and size + n > limit:
+            yield held
             held, size = [], 0
         held.append((r[0], r[1]))
-        size += len(r[1])
-    yield Windows(held, width)
+        size += n
+    yield held
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, set_bytes: int = SET_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -103,8 +126,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)], F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hit"), F.array().cast("array<string>").alias("items"))
     schema = rows.schema
-    for windows in _parts(benchmark, item_col, item_text_col, width, set_bytes):
-        shared = context.broadcast(windows)
+    for part, items in enumerate(_parts(benchmark, item_col, item_text_col, set_bytes)):
+        if part:
+            # A pass for each part: tasks hold one set at a time, however large the benchmark is.
+            rows = written(rows, "decontamination-pass")
+        shared = context.broadcast(Windows(items, width))
 
         def task(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
