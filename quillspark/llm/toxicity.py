@@ -26,15 +26,15 @@ from .decontamination import _LOWER, WORD
 
 SAMPLE_DOCS = 6000
 SAMPLE_BYTES = 32_000
-WINDOW, STRIDE = 32, 8
+WINDOW, STRIDE = 128, 32
 #: Bytes of a run of letters that is a word; longer runs are several.
 PIECE = 40
 #: Scripts without blanks: Thai, Lao, Tibetan, Myanmar, Khmer, kana, bopomofo and Han.
 UNSPACED = ((0xE00, 0xFFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x312F), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
 HIDDEN, WORD_DIMS, ATTENTION = 6, 4, 6
 #: Windows of a document that the gradient steps look at: those whose words the labels favour most. The cut takes all.
-TRAIN_WINDOWS = 3
-STEPS, BATCH = 500, 256
+TRAIN_WINDOWS = 2
+STEPS, BATCH = 500, 64
 THRESHOLD = 0.7
 #: z of the lower confidence bound on a word's toxic share.
 CONFIDENCE = 2.5
@@ -314,7 +314,7 @@ class Network:
                 carry = np.where(real, dn * z + du @ w[f"u{side}"].T, total)
         return g, dx
 
-    def logits(self, data: np.ndarray, offsets: np.ndarray, batch: int = 2048) -> np.ndarray:
+    def logits(self, data: np.ndarray, offsets: np.ndarray, batch: int = 512) -> np.ndarray:
         """Of each text, the highest logit of its windows; a text without words has that of an empty window."""
         seen = words_of(data, offsets)
         inputs, _ = self.inputs(seen)
@@ -323,10 +323,11 @@ class Network:
         out = np.full(len(offsets) - 1, -np.inf, np.float32)
         lengths = np.minimum(np.diff(seen.firsts)[texts], WINDOW)
         full = lengths == WINDOW
-        for part, whole in ((np.flatnonzero(full), True), (np.flatnonzero(~full), False)):
+        short = np.flatnonzero(~full)
+        for part, whole in ((np.flatnonzero(full), True), (short[np.argsort(lengths[short], kind="stable")], False)):
             for at in range(0, len(part), batch):
                 k = part[at : at + batch]
-                place = starts[k][:, None] + np.arange(WINDOW)
+                place = starts[k][:, None] + np.arange(lengths[k].max())  # short windows of like lengths go together
                 if not whole:
                     place = np.minimum(place, starts[k][:, None] + lengths[k][:, None] - 1)
                 np.maximum.at(out, texts[k], self.run(table[seen.ids[place]], None if whole else lengths[k]))

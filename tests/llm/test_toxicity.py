@@ -51,7 +51,7 @@ def test_scores_do_not_depend_on_neighbours(network):
 
 
 def test_windows_cover_every_word():
-    for n in (0, 1, 31, 32, 33, 56, 57, 1000):
+    for n in (0, 1, 31, 32, 33, 127, 128, 129, 160, 161, 1000):
         starts, _ = T.windows_of(np.array([0, n]))
         assert {p for s in starts for p in range(s, min(s + T.WINDOW, n))} == set(range(n))
         assert all(b - a <= T.STRIDE for a, b in zip(starts, starts[1:]))
@@ -118,22 +118,22 @@ def test_words_are_read_whole_whatever_joins_them(network):
 
 
 def test_scripts_without_blanks_have_many_windows():
-    text = "\u6211\u4eec\u5728" * 100 + "\u3002" + "\u0e01\u0e02" + "abc\u6211" + "\U00020000\U00020001"
+    text = "\u6211\u4eec\u5728" * 150 + "\u3002" + "\u0e01\u0e02" + "abc\u6211" + "\U00020000\U00020001"
     raw, (data, offsets) = text.encode(), _flat([text, "\u6211", "\u4eec"])
     starts, ends, firsts = T.word_spans(data, offsets)
     words = [data[a:b].tobytes().decode() for a, b in zip(starts, ends)]
     assert firsts.tolist() == [0, len(words) - 2, len(words) - 1, len(words)] and len(raw) > 900
-    assert words[:2] == ["\u6211\u4eec", "\u4eec\u5728"] and words[299:] == ["\u0e01\u0e02", "abc", "\u6211\U00020000", "\U00020000\U00020001", "\u6211", "\u4eec"]
+    assert words[:2] == ["\u6211\u4eec", "\u4eec\u5728"] and words[449:] == ["\u0e01\u0e02", "abc", "\u6211\U00020000", "\U00020000\U00020001", "\u6211", "\u4eec"]
     assert len(T.windows_of(firsts)[0]) > 9
 
 
-def test_a_passage_of_25_words_is_whole_in_some_window():
+def test_a_passage_of_97_words_is_whole_in_some_window():
     starts, _ = T.windows_of(np.array([0, 500]))
-    assert all(any(s <= at and at + 25 <= s + T.WINDOW for s in starts) for at in range(500 - 25 + 1))
+    assert all(any(s <= at and at + 97 <= s + T.WINDOW for s in starts) for at in range(500 - 97 + 1))
 
 
 def test_the_cut_takes_all_windows_of_the_sample(monkeypatch):
-    rows = [(" ".join([x] * 6), y) for x, y in _corpus(120, seed=6)]
+    rows = [(" ".join([x] * 12), y) for x, y in _corpus(120, seed=6)]
     texts, labels = [x.encode() for x, _ in rows], np.array([y for _, y in rows])
     windows = len(T.windows_of(T.words_of(*_flat([x for x, _ in rows])).firsts)[0])
     seen, run = [], T.Network.run
@@ -145,3 +145,11 @@ def test_the_cut_takes_all_windows_of_the_sample(monkeypatch):
     monkeypatch.setattr(T.Network, "run", counted)
     T.train(texts, labels, steps=2)
     assert sum(seen) == windows > 3 * len(rows)
+
+
+def test_held_out_labels_of_the_tables(spark, sf_dir):
+    """At sf0.001 there are too few labels to ask for much; sf0.01 and sf0.1 are in the readme."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    rows = T.toxicity_report(docs, labels).join(labels, "doc_id").filter("held_out").select("score", "toxic").collect()
+    toxic, clean = ([r.score for r in rows if r.toxic == y] for y in (1, 0))
+    assert toxic and clean and np.mean([(a > b) + (a == b) / 2 for a in toxic for b in clean]) > 0.7
