@@ -3,11 +3,14 @@
 Groups of equal texts are points whose weight is their bytes. The tree splits every node at its weighted median along the
 metadata dimension that is widest there, until leaves reach the target bytes. A median is found without sorting: one
 aggregate counts weights in equal intervals for all nodes at once, the next looks into the interval that holds the median,
-until an interval's weight is within the tolerance. What reaches the driver is at most nodes x BINS rows each time.
+until an interval's weight is within the tolerance. What reaches the driver is at most COUNTED rows each time, or 8 a node.
+
+The tree is a table of cuts, one row a node; points descend it level by level through joins with the cuts of one level.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-BINS = 512
+#: Intervals of a node at most, and of all nodes together.
+BINS, COUNTED = 512, 1 << 19
+#: Levels that points descend before they are written.
+LEVELS = 4
 #: A cut is taken once the interval around it holds at most this share of a shard's bytes.
 TOLERANCE = 2e-4
 #: Rows of a shard that are numbered in one window.
@@ -45,47 +51,57 @@ def _ranked(rows: DataFrame, bounds: dict[str, tuple[int, int]]) -> DataFrame:
     for d in DIMS:
         low, high = bounds[d]
         step = F.floor((F.col(d).cast("double") - low) / max(high - low, 1) * float((1 << DIM_BITS) - 1)).cast("long")
-        out.append((step * F.lit(1 << HASH_BITS) + tie).alias(f"r_{d}"))
-    return rows.select("sha", "weight", *out)
+        out.append(step * F.lit(1 << HASH_BITS) + tie)
+    return rows.select("sha", "weight", F.array(*out).alias("ranks"), F.lit(1).cast("long").alias("node"))
+
+
+def _local(df: DataFrame, rows: list[dict], columns: str) -> DataFrame:
+    """Rows that the driver holds (one a node of the tree at most) as a literal of the plan, to be broadcast."""
+    said = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{columns}>>")
+    return F.broadcast(df.sparkSession.range(1).select(F.explode(said).alias("x")).select("x.*"))
+
+
+def _rank(dim: str) -> Column:
+    return F.element_at("ranks", F.col(dim) + 1)
 
 
-def _child(tree: dict[int, tuple[str, int]], node: int = 1) -> Column:
-    """The leaf of a point, as an expression: node k has the children 2k and 2k+1."""
-    if node not in tree:
-        return F.lit(node)
-    dim, cut = tree[node]
-    return F.when(F.col(dim) < F.lit(cut), _child(tree, 2 * node)).otherwise(_child(tree, 2 * node + 1))
+def _descended(rows: DataFrame, cuts: dict[int, tuple[int, int]]) -> DataFrame:
+    """One level down: points of a node with a cut go to its children, 2k below the cut and 2k + 1 from it on."""
+    table = _local(rows, [{"node": k, "dim": d, "cut": c} for k, (d, c) in cuts.items()], "node:bigint,dim:int,cut:bigint")
+    child = F.col("node") * 2 + F.when(_rank("dim") < F.col("cut"), 0).otherwise(1)
+    return rows.join(table, "node", "left").select("sha", "weight", "ranks", F.when(F.col("cut").isNull(), F.col("node")).otherwise(child).alias("node"))
 
 
-def _medians(level: DataFrame, goals: dict[int, float], total: float, tolerance: float) -> dict[int, tuple[str, int]]:
-    """For each node, its widest dimension and the cut that leaves the goal's share of its weight below."""
-    spans = level.groupBy("node").agg(*[f(f"r_{d}").alias(f"{n}_{d}") for d in DIMS for n, f in (("min", F.min), ("max", F.max))], F.sum("weight").alias("w")).collect()
+def _medians(rows: DataFrame, goals: dict[int, float], total: float, tolerance: float) -> dict[int, tuple[int, int]]:
+    """For each node of goals, its widest dimension and the cut that leaves the goal's share of its weight below."""
+    level = rows.join(_local(rows, [{"node": k} for k in goals], "node:bigint"), "node")
+    spans = level.groupBy("node").agg(*[f(F.element_at("ranks", i + 1)).alias(f"{n}_{i}") for i in range(len(DIMS)) for n, f in (("min", F.min), ("max", F.max))], F.sum("weight").alias("w")).collect()
     state = {}
     for r in spans:
-        dim = max(DIMS, key=lambda d: r[f"max_{d}"] - r[f"min_{d}"])
-        state[r["node"]] = [f"r_{dim}", r[f"min_{dim}"], r[f"max_{dim}"] + 1, 0, goals[r["node"]] * r["w"]]
-    done: dict[int, tuple[str, int]] = {}
+        dim = max(range(len(DIMS)), key=lambda i: r[f"max_{i}"] - r[f"min_{i}"])
+        state[r["node"]] = [dim, r[f"min_{dim}"], r[f"max_{dim}"] + 1, 0, goals[r["node"]] * r["w"]]
+    done: dict[int, tuple[int, int]] = {}
     while open_ := {k: s for k, s in state.items() if k not in done}:
-        at = F.lit(None).cast("long")
-        for k, (dim, low, high, _, _) in open_.items():
-            width = max(1, math.ceil((high - low) / BINS))
-            at = F.when((F.col("node") == k) & (F.col(dim) >= low) & (F.col(dim) < high), F.floor((F.col(dim) - F.lit(low)) / F.lit(width))).otherwise(at)
+        bins = max(8, min(BINS, COUNTED // len(open_)))
+        widths = {k: max(1, math.ceil((high - low) / bins)) for k, (_, low, high, _, _) in open_.items()}
+        table = _local(rows, [{"node": k, "dim": d, "low": low, "high": high, "width": widths[k]} for k, (d, low, high, _, _) in open_.items()], "node:bigint,dim:int,low:bigint,high:bigint,width:bigint")
+        near = rows.join(table, "node").filter((_rank("dim") >= F.col("low")) & (_rank("dim") < F.col("high")))
         counted: dict[int, dict[int, int]] = {k: {} for k in open_}
-        for r in level.select("node", "weight", at.alias("bin")).filter("bin is not null").groupBy("node", "bin").agg(F.sum("weight").alias("w")).collect():
+        for r in near.groupBy("node", F.expr("(element_at(ranks, dim + 1) - low) div width").alias("bin")).agg(F.sum("weight").alias("w")).toLocalIterator():
             counted[r["node"]][r["bin"]] = r["w"]
-        for k, (_, low, high, below, goal) in open_.items():
-            width = max(1, math.ceil((high - low) / BINS))
+        for k, (dim, low, high, below, goal) in open_.items():
+            width = widths[k]
             for b, w in sorted(counted[k].items()):
                 if below + w >= goal:
                     break
                 below += w
             else:
-                done[k] = (state[k][0], high)
+                done[k] = (dim, high)
                 continue
             start = low + b * width
             if width == 1 or w <= tolerance * total:
                 # Before or after this interval, whichever is nearer.
-                done[k] = (state[k][0], start if goal - below < below + w - goal else start + width)
+                done[k] = (dim, start if goal - below < below + w - goal else start + width)
             else:
                 state[k][1:4] = [start, min(start + width, high), below]
     return done
@@ -103,34 +119,29 @@ def kd_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col
         shards = max(1, math.ceil(total / target_bytes))
     # A group heavier than a fair share of what is left has a shard of its own; there are fewer of those than shards.
     alone, left = [], total
-    for r in table.orderBy(F.col("weight").desc(), "sha").limit(shards - 1).collect() if shards > 1 else []:
+    for r in table.orderBy(F.col("weight").desc(), "sha").limit(shards - 1).toLocalIterator() if shards > 1 else ():
         if r["weight"] * (shards - len(alone)) <= left or len(alone) == shards - 1:
             break
         alone.append(r["sha"])
         left -= r["weight"]
     solo, shards = len(alone), shards - len(alone)
-    table_rest = table.filter(~F.col("sha").isin(alone)) if alone else table
-    bounds = {d: (ends[f"min_{d}"] or 0, ends[f"max_{d}"] or 0) for d in DIMS}
-    ranked = _ranked(table_rest, bounds)
-    tree: dict[int, tuple[str, int]] = {}
-    below = {1: shards}
-    while wide := {k: n for k, n in below.items() if n > 1 and k not in tree}:
-        level = ranked.withColumn("node", _child(tree)).filter(F.col("node").isin(list(wide)))
-        cuts = _medians(level, {k: (n // 2) / n for k, n in wide.items()}, left / shards, tolerance)
-        for k, n in wide.items():
-            tree[k] = cuts.get(k, (f"r_{DIMS[0]}", 0))
-            below |= {2 * k: n // 2, 2 * k + 1: n - n // 2}
-    leaves = sorted((k for k in below if k not in tree), key=lambda k: f"{k:b}")
-    number = F.lit(0)
-    for i, k in enumerate(leaves):
-        number = F.when(F.col("node") == k, F.lit(solo + i)).otherwise(number)
-    placed = ranked.select("sha", _child(tree).alias("node")).select("sha", number.cast("int").alias("shard"))
-    if not alone:
-        return placed
-    own = F.lit(0)
-    for i, sha in enumerate(alone):
-        own = F.when(F.col("sha") == sha, F.lit(i)).otherwise(own)
-    return placed.unionByName(table.filter(F.col("sha").isin(alone)).select("sha", own.cast("int").alias("shard")))
+    own = _local(table, [{"sha": sha, "shard": i} for i, sha in enumerate(alone)], "sha:string,shard:int")
+    rest = table.join(own, "sha", "left_anti") if alone else table
+    rows = _ranked(rest, {d: (ends[f"min_{d}"] or 0, ends[f"max_{d}"] or 0) for d in DIMS})
+    below, leaves, depth = {1: shards}, {}, 0
+    while below:
+        leaves |= {k: n for k, n in below.items() if n == 1}
+        wide = {k: n for k, n in below.items() if n > 1}
+        if wide:
+            found = _medians(rows, {k: (n // 2) / n for k, n in wide.items()}, left / shards, tolerance)
+            rows = _descended(rows, {k: found.get(k, (0, 0)) for k in wide})
+            depth += 1
+            if depth % LEVELS == 0:
+                rows = written(rows, "kd-nodes")
+        below = {c: m for k, n in wide.items() for c, m in ((2 * k, n // 2), (2 * k + 1, n - n // 2))}
+    numbers = _local(rows, [{"node": k, "shard": solo + i} for i, k in enumerate(sorted(leaves, key=lambda k: f"{k:b}"))], "node:bigint,shard:int")
+    placed = rows.join(numbers, "node").select("sha", "shard")
+    return placed.unionByName(table.join(own, "sha").select("sha", "shard")) if alone else placed
 
 
 def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", target_bytes: int | None = None) -> DataFrame:

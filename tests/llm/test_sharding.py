@@ -1,3 +1,4 @@
+import random
 from collections import Counter, defaultdict
 from zlib import crc32
 
@@ -52,3 +53,34 @@ def test_numbers_of_shards(spark, shards):
 def test_main_path_is_native(spark, sf_dir):
     plan = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_a_thousand_shards_by_target_bytes(spark):
+    rng = random.Random(5)
+    rows = [(i, "x" * rng.randrange(50, 400) + str(i), rng.choice(["en", "fr", "de"]), rng.choice("abcdef")) for i in range(20_000)]
+    rows += [(20_000 + i, "the same text " * 20, "en", "a") for i in range(40)]  # one group that is larger than a shard
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    total = sum(len(r[1]) + 1 for r in rows)
+    got = shard(docs, target_bytes=total // 999).collect()
+    sizes, slots, where = {}, {}, {}
+    for r in got:
+        sizes[r.shard] = sizes.get(r.shard, 0) + r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+        where.setdefault(r.doc_id if r.doc_id < 20_000 else -1, set()).add(r.shard)
+    assert len(got) == len(rows) and sorted(sizes) == list(range(1000)) and all(len(x) == 1 for x in where.values())
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    large = where[-1].pop()
+    rest = [n for k, n in sizes.items() if k != large]
+    assert sizes[large] == 40 * 281 and max(rest) < 1.35 * total / 1000 and min(rest) > 0.65 * total / 1000
+
+
+def test_very_long_texts_are_shards_of_their_own(spark):
+    rows = [(1, "y" * 3_000_000), (2, "z" * 2_000_000), *[(i, f"w{i} " * 50) for i in range(3, 400)]]
+    got = shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by_shard = {}
+    for r in got:
+        by_shard.setdefault(r.shard, []).append(r)
+    assert len(got) == len(rows) and len(by_shard) == 8
+    assert sum(len(x) == 1 and x[0].doc_id in (1, 2) for x in by_shard.values()) == 2
+    rest = [sum(r.size for r in x) for x in by_shard.values() if len(x) > 1]
+    assert max(rest) < 1.1 * min(rest)
