@@ -15,7 +15,8 @@ from .common import written
 def _star(edges: DataFrame) -> DataFrame:
     """Large star, then small star, over edges (a, b) with a > b."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    # Written, so that Spark may split the join below at a node with very many neighbours (not straight after an aggregate).
+    least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
     large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     # Edges from the larger end keep their least: (a, m) for each a with smaller neighbours.
     rest = least.filter("m < a").select("a", F.col("m").alias("b"))
