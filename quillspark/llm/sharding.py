@@ -87,7 +87,7 @@ def _medians(rows: DataFrame, goals: dict[int, float], total: float, tolerance:
         table = _local(rows, [{"node": k, "dim": d, "low": low, "high": high, "width": widths[k]} for k, (d, low, high, _, _) in open_.items()], "node:bigint,dim:int,low:bigint,high:bigint,width:bigint")
         near = rows.join(table, "node").filter((_rank("dim") >= F.col("low")) & (_rank("dim") < F.col("high")))
         counted: dict[int, dict[int, int]] = {k: {} for k in open_}
-        for r in near.groupBy("node", F.expr("(element_at(ranks, dim + 1) - low) div width").alias("bin")).agg(F.sum("weight").alias("w")).toLocalIterator():
+        for r in near.groupBy("node", F.expr("(element_at(ranks, dim + 1) - low) div width").alias("bin")).agg(F.sum("weight").alias("w")).collect():
             counted[r["node"]][r["bin"]] = r["w"]
         for k, (dim, low, high, below, goal) in open_.items():
             width = widths[k]
@@ -119,7 +119,7 @@ def kd_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col
         shards = max(1, math.ceil(total / target_bytes))
     # A group heavier than a fair share of what is left has a shard of its own; there are fewer of those than shards.
     alone, left = [], total
-    for r in table.orderBy(F.col("weight").desc(), "sha").limit(shards - 1).toLocalIterator() if shards > 1 else ():
+    for r in table.orderBy(F.col("weight").desc(), "sha").limit(shards - 1).collect() if shards > 1 else ():
         if r["weight"] * (shards - len(alone)) <= left or len(alone) == shards - 1:
             break
         alone.append(r["sha"])
