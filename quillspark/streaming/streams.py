@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,22 +49,44 @@ def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(notification_stream(as_stream(X.classification(spark, sf_dir), "classification"), X.documents(spark, sf_dir), X.ownership(spark, sf_dir)), "notifications")
 
 
+def worker(classification: DataFrame, documents: DataFrame, ownership: DataFrame, name: str, every: str = "60 seconds"):
+    """A polling worker: looks for new classifications every so often and appends their notifications.
+
+    Its progress lies in the shared folder under its name, so that a restarted worker goes on where the last one stopped.
+    """
+    place = f"{shared_dir(classification.sparkSession)}/worker-{name}"
+    events = notification_stream(classification, documents, ownership)
+    return events.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{place}/state").trigger(processingTime=every).start(f"{place}/out")
+
+
 class FirstSeen(StatefulProcessor):
-    """Of each name, the path of its oldest live file so far."""
+    """Of each name, the oldest live file of those that came, in the order in which they came.
+
+    Only the oldest of a batch's rows is kept beside the state, whatever the batch's size; a name's state is one row, and
+    is kept for good: a copy may come at any time.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.first = handle.getValueState("first", "file_path string, ts timestamp, document_id long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        pdf = pd.concat(list(rows)).sort_values(["ts", "document_id"])
-        first = self.first.get() if self.first.exists() else None
-        out = []
-        for r in pdf.itertuples():
-            out.append((r.document_id, key[0], first is not None, first[0] if first else None))
-            if first is None and r.processing_status != "Deleted":
-                first = (r.file_path, r.ts.to_pydatetime(), r.document_id)
-                self.first.update(first)
-        yield pd.DataFrame(out, columns=["document_id", "file_name", "is_duplicate", "duplicate_of"])
+        known = self.first.get() if self.first.exists() else None
+        batches = [pdf[["document_id", "file_path", "ts", "processing_status"]] for pdf in rows]
+        if known is None:
+            live = [pdf[pdf.processing_status != "Deleted"].nsmallest(1, ["ts", "document_id"]) for pdf in batches]
+            live = pd.concat(live).nsmallest(1, ["ts", "document_id"])
+            oldest = next(live.itertuples(), None)
+        for pdf in batches:
+            if known is not None:
+                path = pd.Series(known[0], index=pdf.index, dtype=object)
+            elif oldest is None:
+                path = pd.Series(None, index=pdf.index, dtype=object)
+            else:
+                later = (pdf.ts > oldest.ts) | ((pdf.ts == oldest.ts) & (pdf.document_id > oldest.document_id))
+                path = pd.Series(np.where(later, oldest.file_path, None), index=pdf.index, dtype=object)
+            yield pd.DataFrame({"document_id": pdf.document_id, "file_name": key[0], "is_duplicate": path.notna(), "duplicate_of": path})
+        if known is None and oldest is not None:
+            self.first.update((oldest.file_path, oldest.ts.to_pydatetime(), int(oldest.document_id)))
 
     def close(self) -> None:
         pass

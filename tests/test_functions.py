@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -157,3 +159,42 @@ def test_cosine(spark):
     half = df.select(vectors.half_precision(F.col("b")).alias("h")).first().h
     assert half == [np.float16(1.0), 0.0]
     assert [r[0] for r in df.select(vectors.right_size(F.col("b"), 2)).collect()] == [True] * 5
+
+
+def test_cleaning_of_the_tables_against_plain_python(spark, sf_dir):
+    """`safe` cleaning step by step in Python over every document, with broken lines and marks put in."""
+    import re
+    import unicodedata
+
+    def cleaned(t):
+        try:
+            t = t.encode("latin-1").decode("utf-8")
+        except UnicodeError:
+            pass
+        t = unicodedata.normalize("NFC", re.sub("\u00c2(?=\\s|[^\x00-\x7f])", "", t))
+        t = "".join(c for c in t if c in "\t\n\r" or (ord(c) >= 32 and ord(c) != 127))
+        t = re.sub(r"(\w)-\s*\n\s*(\w)", r"\1\2", t)
+        t = "\n".join(line.strip() for line in re.sub(r"[ \t]+", " ", t).split("\n"))
+        t = re.sub(r"\n{4,}", "\n\n\n", t)
+        for a, b in ("\u2018'", "\u2019'", '\u201c"', '\u201d"', "\u2014-", "\u2013-"):
+            t = t.replace(a, b)
+        return t.replace("\u2026", "...").strip()
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    dirty = F.replace(F.replace(F.replace("text", F.lit("e "), F.lit("e  \t")), F.lit(". "), F.lit(".\x01\n\n\n\n\n \n")), F.lit("tion"), F.lit("ti-\n on\u2019\u2026"))
+    rows = docs.select(dirty.alias("raw")).select("raw", text.clean_text(F.col("raw"), "safe").alias("x"), text.clean_text(F.col("raw"), "reference").alias("y")).collect()
+    assert rows and all(r.x == cleaned(r.raw) for r in rows)
+    # On texts of ASCII alone both modes agree.
+    plain = [r for r in rows if r.raw.isascii()]
+    assert all(r.x == r.y for r in plain)
+
+
+def test_chunks_of_the_tables_hold_every_word_once(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", chunking.chunks(chunking.sections(F.col("text"))).alias("c"))
+    for r in docs.collect():
+        found = [c.text for c in r.c]
+        # Only a first chunk may be small: later ones join the chunk before them.
+        assert all(found) and all(len(t) >= chunking.SMALL for t in found[1:]), r.doc_id
+        words = r.text.split()
+        if max(map(len, re.split(r"(?<=[.!?])\s+", r.text))) <= chunking.SIZE:  # no sentence is cut into windows
+            assert " ".join(found).split() == words
