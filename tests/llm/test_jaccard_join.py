@@ -101,3 +101,20 @@ def test_components(spark):
     loops = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root if x not in loops}
+
+
+def test_very_long_texts_and_large_clusters(spark):
+    rng = random.Random(12)
+    long = [f"w{rng.randrange(5000)}" for _ in range(40_000)]
+    other = list(long)
+    for k in range(0, 40_000, 1000):
+        other[k] = "changed"
+    base = [f"b{k}" for k in range(400)]
+    rows = [(1, " ".join(long)), (2, " ".join(other)), (3, "x" * 300_000)]
+    for i in range(300):  # near copies of one text, in several blocks
+        words = list(base)
+        words[i] = f"own{i}"
+        rows.append((10 + i, " ".join(words)))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (1, 1) and got[2] == (1, 1) and got[3] == (3, 0)
+    assert all(got[10 + i] == (10, 299) for i in range(300))

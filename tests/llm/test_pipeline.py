@@ -52,3 +52,20 @@ def test_empty_documents(spark, sf_dir):
 
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 50
+
+
+def test_nulls_repeats_and_clashing_columns_through_all_stages(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(None, None), (None, "a b c"), (90001, None), (90002, ""), (90003, "one two"), (90003, "one two"), (90004, "One  two"), (90005, "long " * 50_000)], "doc_id long, text string")
+    docs = docs.unionByName(odd, allowMissingColumns=True).withColumn("score", F.lit("s")).withColumn("sha", F.lit(1)).withColumn("kept_0", F.lit(2)).withColumn("hit", F.lit(3))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != "encoding":
+            assert docs.columns == columns
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    ids = [r.doc_id for r in docs.collect()]
+    # Of the empty texts the smallest id stays, of the equal ones one row; classes of near copies keep their least.
+    assert ids.count(90003) == 1 and 90001 in ids and 90002 not in ids and 90005 in ids
