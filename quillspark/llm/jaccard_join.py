@@ -1,7 +1,7 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
 1. Candidates. A similar text shares t of its shingles at least. The first (1 - t) of each text's shingles in hash order,
-   a fair sample of it, are exchanged, packed; a text is dropped when the posterior probability that enough of its
+   a fair sample of it, are looked up among all texts'; a text is dropped when the posterior probability that enough of its
    shingles recur elsewhere falls below TOLERANCE. Of the rest all shingles are counted, and of similar texts the first
    (1 - t) in order of rarity must share one: each text is linked to the least text of every recurring shingle among
    those. Every similar pair is in one chain of links, no pair is written, and lines or passages that unlike texts share
@@ -39,7 +39,6 @@ SMALL_BLOCK, BLOCK = 128, 1024
 #: Share of a prefix's shingles that must be able to recur in other prefixes. Of a similar text THRESHOLD of all shingles
 #: recur at least; prefixes of texts of unlike length end at different hashes, hence less.
 RECUR = 0.6
-_SENT = "bucket int, keys binary, docs binary, lengths binary"
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +125,7 @@ def least_recurring(n: int, share: float = RECUR, tolerance: float = TOLERANCE)
     return low
 
 
-def _prefix_task(width: int, threshold: float, buckets: int):
+def _prefix_task(width: int, threshold: float):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             docs = batch.column("doc_id").to_numpy()
@@ -137,61 +136,40 @@ def _prefix_task(width: int, threshold: float, buckets: int):
             lengths = prefix_lengths(sizes, threshold)
             place = np.arange(len(text)) - (np.cumsum(sizes) - sizes)[text]
             keep = place < lengths[text]
-            key, text = mix(hashes[keep]), text[keep]
-            bucket = ((key >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
-            order = np.lexsort((key, bucket))
-            named, starts = np.unique(bucket[order], return_index=True)
-            ends = np.concatenate([starts[1:], [len(order)]])
-            # 4 bytes of the hash beside the bucket: shingles that agree in them by chance only add candidates.
-            small = (key[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            ids, n = docs[text[order]], lengths[text[order]].astype(np.int32)
-            made = lambda x: pa.array([packed(x[s:e]) for s, e in zip(starts, ends, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(named), made(small), made(ids), made(n)], ["bucket", "keys", "docs", "lengths"])
+            text, hashes = text[keep], hashes[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(docs[text]), pa.array(lengths[text].astype(np.int32)), pa.array(hashes.view(np.int64))], ["doc", "length", "shingle"])
 
     return task
 
 
-def _recurring(key: tuple, table: pa.Table) -> pa.Table:
-    """(doc, prefix length, n): how many shingles of a bucket each text has that other texts have too."""
-    join = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()])
-    keys, docs, lengths = join("keys", np.uint32), join("docs", np.int64), join("lengths", np.int32)
-    order = np.lexsort((docs, keys))
-    keys, docs, lengths = keys[order], docs[order], lengths[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    group = np.cumsum(new) - 1
-    ends = np.append(np.flatnonzero(new)[1:], len(keys)) - 1
-    several = docs[np.flatnonzero(new)] != docs[ends]
-    keep = several[group]
-    keep[1:] &= new[1:] | (docs[1:] != docs[:-1])
-    ids, first, n = np.unique(docs[keep], return_index=True, return_counts=True)
-    return pa.table({"doc": pa.array(ids, pa.int64()), "length": pa.array(lengths[keep][first], pa.int32()), "n": pa.array(n, pa.int64())})
-
-
 def promising(docs: DataFrame, width: int, threshold: float, tolerance: float) -> DataFrame:
-    """The ids of texts of whose shingles enough may recur; docs: doc_id and text, without nulls."""
-    n = partitions(docs.sparkSession)
-    sent = docs.mapInArrow(_prefix_task(width, threshold, n * 4), _SENT)
-    found = sent.groupBy("bucket").applyInArrow(_recurring, "doc long, length int, n long")
+    """The ids of texts of whose shingles enough may recur; docs: doc_id and text, without nulls.
+
+    A shingle's least and greatest document, combined before they move, tell whether it recurs. The recurring ones are
+    written, so that Spark may split the join at a shingle of very many texts (not straight after an aggregate).
+    """
+    rows = written(docs.mapInArrow(_prefix_task(width, threshold), "doc long, length int, shingle long"), "shingles")
+    recurring = written(rows.groupBy("shingle").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("shingle"), "recurring")
+    found = rows.join(recurring, "shingle", "left_semi").groupBy("doc", "length").agg(F.count(F.lit(1)).alias("n"))
 
     @F.pandas_udf("int")
     def least(lengths: pd.Series) -> pd.Series:
         return lengths.map({n: least_recurring(n, RECUR * threshold / THRESHOLD, tolerance) for n in lengths.unique()}).astype("int32")
 
-    counted = found.groupBy("doc", "length").agg(F.sum("n").alias("n"))
-    return counted.filter(F.col("n") >= least("length")).select(F.col("doc").alias("id")).distinct()
+    return found.filter(F.col("n") >= least("length")).select(F.col("doc").alias("id")).distinct()
 
 
 def candidate_links(sets: DataFrame, threshold: float) -> DataFrame:
     """Edges (a, b) that join all texts of each similar pair; sets: doc_id and sh, its distinct shingles."""
     rows = sets.select("doc_id", F.size("sh").alias("size"), F.explode("sh").alias("shingle"))
-    recurring = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Written, as is `first` below, so that Spark may split the joins at a shingle of very many texts.
+    recurring = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "recurring")
     # Shingles of one text alone are the rarest: of the others only as many count as the prefix has places left.
     by_doc = Window.partitionBy("doc_id")
     placed = rows.join(recurring, "shingle").select("doc_id", "size", "shingle", F.row_number().over(by_doc.orderBy("n", "shingle")).alias("k"), F.count(F.lit(1)).over(by_doc).alias("others"))
     prefix = F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - 1e-9) + 1
     rows = written(placed.filter(F.col("size") - F.col("others") + F.col("k") <= prefix).select("doc_id", "shingle"), "prefixes")
-    first = rows.groupBy("shingle").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).filter("b < last").select("shingle", "b")
+    first = written(rows.groupBy("shingle").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).filter("b < last").select("shingle", "b"), "first")
     return rows.join(first, "shingle").filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
 
 
