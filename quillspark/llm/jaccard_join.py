@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from math import comb, exp, lgamma
+from math import comb
 from math import log as _log
 
 import numpy as np
@@ -100,29 +100,17 @@ def prefix_lengths(sizes: np.ndarray, threshold: float) -> np.ndarray:
     return sizes - np.ceil(sizes * threshold - 1e-9).astype(np.int64) + 1
 
 
-def enough_recur(width_of_prefix: int, recurring: int, share: float = RECUR, tolerance: float = TOLERANCE) -> bool:
-    """Whether so many of a prefix's shingles recur that the text may have a similar one.
+@lru_cache(maxsize=100_000)
+def least_recurring(n: int, share: float = RECUR, tolerance: float = TOLERANCE) -> int:
+    """The least number of recurring shingles with which a prefix of n is kept; one at least.
 
     With a uniform prior, the chance that at least `share` of a text's shingles recur, after a sample of n with c that do,
-    is the chance of at most c successes in n + 1 trials.
+    is the chance of at most c successes in n + 1 trials. The first c is sought whose chance isn't below the tolerance.
     """
-    n, c = width_of_prefix, min(recurring, width_of_prefix)
-    log = [lgamma(n + 2) - lgamma(k + 1) - lgamma(n - k + 2) + k * _log(share) + (n + 1 - k) * _log(1 - share) for k in range(c + 1)]
-    top = max(log)
-    return top + _log(sum(exp(x - top) for x in log)) >= _log(tolerance)
-
-
-@lru_cache(maxsize=100_000)
-def least_recurring(n: int, share: float = RECUR, tolerance: float = TOLERANCE) -> int:
-    """The least number of recurring shingles with which a prefix of n is kept; one at least."""
-    low, high = 1, n
-    while low < high:
-        mid = (low + high) // 2
-        if enough_recur(n, mid, share, tolerance):
-            high = mid
-        else:
-            low = mid + 1
-    return low
+    k = np.arange(n + 2)
+    ways = np.append(0.0, np.cumsum(np.log(k[1:])))  # logarithms of factorials
+    terms = ways[n + 1] - ways - ways[::-1] + k * _log(share) + (n + 1 - k) * _log(1 - share)
+    return min(max(int(np.searchsorted(np.logaddexp.accumulate(terms), _log(tolerance))), 1), n)
 
 
 def _prefix_task(width: int, threshold: float):

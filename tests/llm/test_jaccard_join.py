@@ -1,12 +1,14 @@
 import random
 import re
+from fractions import Fraction
+from math import comb
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import components
-from quillspark.llm.jaccard_join import enough_recur, jaccard_classes, keep_one, least_matches, least_recurring, prefix_lengths
+from quillspark.llm.jaccard_join import jaccard_classes, keep_one, least_matches, least_recurring, prefix_lengths
 
 
 def _set(text):
@@ -79,9 +81,14 @@ def test_pruning_bounds():
         for n, m in least_matches(t):
             assert 0 <= m <= n
     assert least_matches(0.8, tolerance=0) == [(n, 0) for n in (16, 32, 48, 64)]
-    for n in (1, 5, 30, 200, 5000):
+    share = Fraction(3, 5)
+
+    def chance(n, c):  # exactly
+        return sum(comb(n + 1, k) * share**k * (1 - share) ** (n + 1 - k) for k in range(c + 1))
+
+    for n in (1, 5, 30, 200, 700):
         least = least_recurring(n)
-        assert 1 <= least <= n and enough_recur(n, least) and (least == 1 or not enough_recur(n, least - 1))
+        assert 1 <= least <= n and chance(n, least) >= 1e-9 and (least == 1 or chance(n, least - 1) < 1e-9)
     assert least_recurring(5) == 1 and least_recurring(200) > 40
     sizes = np.array([1, 2, 4, 5, 6, 10, 101])
     assert prefix_lengths(sizes, 0.8).tolist() == [1, 1, 1, 2, 2, 3, 21]
