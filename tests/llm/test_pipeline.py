@@ -1,9 +1,10 @@
+import hashlib
 import re
 
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quillspark.llm.queries import vocabulary
+from quillspark.llm.queries import QUERIES, vocabulary
 from tests.llm.test_jaccard_join import _brute as near
 
 
@@ -25,12 +26,17 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
         docs = spark.read.parquet(str(tmp_path / name))
         rows = docs.collect()
         if name == "encoding":
-            assert {r.doc_id: r.n_tokens for r in rows} == {i: len(tokenizer.encode(x, add_special_tokens=False).ids) for i, x in before.items()}
+            sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+            ids = {i: tokenizer.encode(x, add_special_tokens=False).ids for i, x in before.items()}
+            want = {i: (len(v), sha(" ".join(map(str, v))), sha(tokenizer.decode(v, skip_special_tokens=False))) for i, v in ids.items()}
+            assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows} == want
             break
         after = {r.doc_id: r.text for r in rows}
         assert len(rows) == len(after) and all(before[i] == x for i, x in after.items())
         if name == "toxicity":
             assert 0 < len(before) - len(after) < 0.3 * len(before)
+            scores = QUERIES["op5_toxicity"](spark, sf_dir).collect()
+            assert set(after) == {r.doc_id for r in scores if not r.predicted}
         if name == "exact_dedup":
             first = {}
             for i in sorted(before):
