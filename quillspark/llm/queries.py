@@ -10,6 +10,7 @@ from .bpe import encode_report
 from .common import read
 from .decontamination import decontaminate_report
 from .exact_dedup import exact_dedup
+from .fill_in_middle import fill_in_middle_report
 from .html_text import extract_text
 from .jaccard_join import jaccard_classes
 from .sharding import shard
@@ -68,7 +69,15 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_decontamination, op3_token_counts, op4_bpe, op5_toxicity, op6_sharding, op7_warc, op8_substring_dedup, op9_html_text, op10_jaccard_join)}
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle_report(read(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_exact_dedup, op2_decontamination, op3_token_counts, op4_bpe, op5_toxicity, op6_sharding, op7_warc, op8_substring_dedup, op9_html_text, op10_jaccard_join,
+    op12_fill_in_middle,
+)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
 _BASE32 = "||".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, {k + 1}, 10) AS BIGINT) >> {35 - 5 * j}) & 31 AS BIGINT), 1)" for k in range(0, 40, 10) for j in range(8))
 
@@ -108,4 +117,14 @@ ORACLE_SQL: dict[str, str] = {
         kept AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)""",
+    "op12_fill_in_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+        e AS (SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS c1, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS c2,
+                     CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 50 AS spm, text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') AS plain FROM d),
+        f AS (SELECT *, array_to_string(u[1:least(c1, c2)], '') AS p, array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') AS m, array_to_string(u[greatest(c1, c2) + 1:], '') AS s FROM e)
+        SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+               CASE WHEN NOT plain THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN NOT plain THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+               sha256(CASE WHEN plain THEN text WHEN spm THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM f""",
 }
