@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_report
+from .collocations import collocations
 from .common import read
 from .decontamination import decontaminate_report
 from .exact_dedup import exact_dedup
@@ -69,13 +70,17 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(read(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle_report(read(spark, sf_dir, "documents"))
 
 
 _ALL = (
     op1_exact_dedup, op2_decontamination, op3_token_counts, op4_bpe, op5_toxicity, op6_sharding, op7_warc, op8_substring_dedup, op9_html_text, op10_jaccard_join,
-    op12_fill_in_middle,
+    op11_collocations, op12_fill_in_middle,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
@@ -117,6 +122,21 @@ ORACLE_SQL: dict[str, str] = {
         kept AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)""",
+    "op11_collocations": r"""
+        WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+        g AS (SELECT lang, k, w[i:i + k - 1] AS w FROM (SELECT lang, k, w, unnest(generate_series(1, len(w) - k + 1)) AS i FROM p, (VALUES (1), (2), (3), (4)) v(k) WHERE len(w) >= k)),
+        f AS (SELECT lang, k, w, count(*) AS f FROM g GROUP BY ALL),
+        n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT lang, k, w, f AS a FROM f WHERE k > 1 AND f >= 30),
+        longer AS (SELECT lang, w, max(a) AS longer FROM (
+            SELECT c.lang, c.a, c.w[i:i + m - 1] AS w FROM c, (VALUES (2), (3)) v(m), (VALUES (1), (2), (3)) u(i) WHERE m < c.k AND i + m - 1 <= c.k) GROUP BY lang, w),
+        kept AS (SELECT c.* FROM c LEFT JOIN longer USING (lang, w) WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(a AS HUGEINT)),
+        cuts AS (SELECT c.lang, c.w, c.a, j AS cut, x.f AS l, y.f AS r, CAST((2000000 * CAST(a AS HUGEINT)) // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+                 FROM kept c, (VALUES (1), (2), (3)) v(j), f x, f y WHERE j < c.k AND x.lang = c.lang AND x.w = c.w[1:j] AND y.lang = c.lang AND y.w = c.w[j + 1:]),
+        scored AS (SELECT lang, array_to_string(w, ' ') AS phrase, a, l, r, score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, cut) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM scored JOIN n USING (lang) QUALIFY rank <= 2000""",
     "op12_fill_in_middle": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
         e AS (SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS c1, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS c2,
