@@ -28,8 +28,10 @@ from .common import as_binary, buffers, mix, partitions, slices, spans, word_has
 CELLS, STEPS = 1 << 22, 256
 #: Occurrences of a pivot that one owner takes at most, by estimate.
 SHARE = 250_000
-#: Words that a task works on at once; longer texts are taken in blocks that overlap.
-BLOCK = 1 << 20
+#: Bytes of text that a task works on at once, and words: longer texts are taken in blocks that overlap.
+SLICE, BLOCK = 4 << 20, 1 << 20
+#: Fragments that an owner mines at once, but for those of one share, which stay together.
+ROWS = 200_000
 #: What parts pieces, and what parts the words of a piece.
 ENDS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 UNKNOWN = "und"
@@ -38,6 +40,8 @@ _END = np.zeros(256, bool)
 _END[list(ENDS)] = True
 _WORD = ~_END
 _WORD[list(BLANKS)] = False
+_SPACED = np.ones(256, bool)
+_SPACED[32] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -61,15 +65,15 @@ class Block:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[Block]:
-    for batch in slices(batches):
+    for batch in slices(batches, limit=SLICE):
         data, offsets = buffers(batch.column("text"))
         data = _LOWER[data]
         starts, ends, firsts = spans(data, offsets, _WORD)
         if not len(starts):
             continue
-        ended = np.concatenate([[0], np.cumsum(_END[data], dtype=np.int64)])
+        marks = np.flatnonzero(_END[data])
         new = np.ones(len(starts), bool)
-        new[1:] = ended[starts[1:]] != ended[ends[:-1]]
+        new[1:] = np.searchsorted(marks, starts[1:]) != np.searchsorted(marks, ends[:-1])
         new[firsts[firsts < len(starts)]] = True
         pieces = np.cumsum(new)
         letters = data[_WORD[data]].tobytes()
@@ -125,6 +129,26 @@ def levels(counts: DataFrame, least: int, size: int = CELLS) -> np.ndarray:
     return out
 
 
+def alike(langs: np.ndarray, columns: list[np.ndarray], many: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number the distinct rows of a language and word codes (from -1 to `many` - 1), and give the first place of each."""
+    key, bound = langs, int(langs.max()) + 1
+    for c in columns:
+        if bound * (many + 1) >= 1 << 62:
+            key, seen = pd.factorize(key)
+            bound = len(seen)
+        key, bound = key * (many + 1) + c + 1, bound * (many + 1)
+    key, seen = pd.factorize(key)
+    first = np.zeros(len(seen), np.int64)
+    first[key[::-1]] = np.arange(len(key))[::-1]
+    return key, first
+
+
+def phrased(words: pa.Array, columns: list[np.ndarray]) -> pa.Array:
+    """The words of each row, space-joined; none where a code is -1."""
+    parts = [words.take(pa.array(np.where(c < 0, 0, c), mask=c < 0)) for c in columns]
+    return _text(pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary()), null_handling="skip"))
+
+
 def fragments(docs: DataFrame, table: np.ndarray, longest: int, least: int, share: int) -> DataFrame:
     """lang, pivot, shares, at, fragment and weight: fragments in which the word at place `at` is the rarest."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
@@ -149,24 +173,14 @@ def fragments(docs: DataFrame, table: np.ndarray, longest: int, least: int, shar
         at = np.flatnonzero(keep)
         if not len(at):
             return None
-        left, right, many = sides[-1][at], sides[1][at], len(b.words) + 1
-        columns, key, bound = [], b.langs[at], len(b.names)
+        left, right, columns = sides[-1][at], sides[1][at], []
         for d in range(-reach, reach + 1):
             held = (left >= -d) if d < 0 else (right >= d)
-            code = np.where(held, b.codes[np.clip(at + d, 0, n - 1)], -1)
-            columns.append(code)
-            if bound * many >= 1 << 62:
-                key, seen = pd.factorize(key)
-                bound = len(seen)
-            key, bound = key * many + code + 1, bound * many
-        key, seen = pd.factorize(key)
-        first = np.zeros(len(seen), np.int64)
-        first[key[::-1]] = np.arange(len(key))[::-1]
-        parts = [b.words.take(pa.array(np.where(c[first] < 0, 0, c[first]), mask=c[first] < 0)) for c in columns]
-        joined = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary()), null_handling="skip")
+            columns.append(np.where(held, b.codes[np.clip(at + d, 0, n - 1)], -1))
+        key, first = alike(b.langs[at], columns, len(b.words))
         about = least * np.exp2((level[at[first]] - 1) / STEPS)
         return pa.RecordBatch.from_arrays(
-            [_text(b.names.take(pa.array(b.langs[at[first]]))), _text(parts[reach]), pa.array((1 + about // share).astype(np.int32)), pa.array(left[first].astype(np.int32)), _text(joined), pa.array(np.bincount(key).astype(np.int64))],
+            [_text(b.names.take(pa.array(b.langs[at[first]]))), _text(b.words.take(pa.array(columns[reach][first]))), pa.array((1 + about // share).astype(np.int32)), pa.array(left[first].astype(np.int32)), phrased(b.words, [c[first] for c in columns]), pa.array(np.bincount(key).astype(np.int64))],
             ["lang", "pivot", "shares", "at", "fragment", "weight"],
         )
 
@@ -179,28 +193,69 @@ def fragments(docs: DataFrame, table: np.ndarray, longest: int, least: int, shar
     return docs.mapInArrow(task, "lang string, pivot string, shares int, at int, fragment string, weight long")
 
 
-def _runs(words: Column, low: Column, high: Column, shortest: int, longest: int) -> Column:
-    """The runs of `shortest` to `longest` words that begin at `low` or before and end at `high` or after, space-joined."""
-
-    def of(i: Column) -> Column:
-        first, last = F.greatest(high, i + (shortest - 1)), F.least(F.size(words) - 1, i + (longest - 1))
-        return F.when(first <= last, F.transform(F.sequence(first, last), lambda j: F.array_join(F.slice(words, i + 1, j - i + 1), " "))).otherwise(F.array().cast("array<string>"))
-
-    return F.flatten(F.transform(F.sequence(F.lit(0), low), of))
+def _grams(batch: pa.RecordBatch, longest: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Count the n-grams that hold their fragment's pivot; those of whole pivots must reach `least`."""
+    data, offsets = buffers(batch.column("fragment"))
+    starts, ends, firsts = spans(data, offsets, _SPACED)
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(ends - starts)]).tobytes()), pa.py_buffer(data[_SPACED[data]].tobytes())]).dictionary_encode()
+    words, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    names = as_binary(batch.column("lang")).dictionary_encode()
+    langs, names = names.indices.to_numpy().astype(np.int64), names.dictionary
+    at, weights, shared = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("at", "weight", "shared"))
+    sizes = np.diff(firsts)
+    for k in range(2, longest + 1):
+        rows = [np.flatnonzero((at >= back) & (at - back + k <= sizes)) for back in range(k)]
+        begin = np.concatenate([firsts[r] + at[r] - back for back, r in enumerate(rows)])
+        rows = np.concatenate(rows)
+        if not len(rows):
+            continue
+        columns = [codes[begin + i] for i in range(k)]
+        key, first = alike(langs[rows], columns, len(words))
+        sums = np.zeros(len(first), np.int64)
+        np.add.at(sums, key, weights[rows])
+        good = np.flatnonzero((sums >= least) | shared[rows[first]])
+        kept = first[good]
+        yield pa.RecordBatch.from_arrays([_text(names.take(pa.array(langs[rows[kept]]))), phrased(words, [c[kept] for c in columns]), pa.array(sums[good])], ["lang", "phrase", "a"])
 
 
 def mined(parts: DataFrame, longest: int, least: int) -> DataFrame:
     """lang, phrase and a, its count, of each n-gram of 2 to `longest` words that occurs `least` times or more.
 
-    Owners of a whole pivot know their n-grams' counts and drop infrequent ones; those of a share pass theirs on.
+    Fragments come to their owner sorted by it, so that an owner's stay together. Owners of a whole pivot know their
+    n-grams' counts and drop infrequent ones; those of a share pass theirs on.
     """
-    owner = F.when(F.col("shares") > 1, F.pmod(F.xxhash64("fragment", "at"), F.col("shares"))).otherwise(0).cast("int")
-    routed = parts.select("lang", "pivot", owner.alias("owner"), (F.col("shares") > 1).alias("shared"), "at", "fragment", "weight").repartition("lang", "pivot", "owner")
-    grams = routed.withColumn("words", F.split("fragment", " ")).select("lang", "pivot", "owner", "shared", F.explode(_runs(F.col("words"), F.col("at"), F.col("at"), 2, longest)).alias("phrase"), "weight")
-    counts = grams.groupBy("lang", "pivot", "owner", "shared", "phrase").agg(F.sum("weight").alias("a")).filter(F.col("shared") | (F.col("a") >= least))
+    share = F.when(F.col("shares") > 1, F.pmod(F.xxhash64("fragment", "at"), F.col("shares"))).otherwise(0).cast("int")
+    routed = parts.select(F.xxhash64("lang", "pivot", share).alias("owner"), (F.col("shares") > 1).alias("shared"), "lang", "at", "fragment", "weight").repartition("owner").sortWithinPartitions("owner")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) < ROWS:
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            owners = rows.column("owner").to_numpy()
+            cut = int(np.searchsorted(owners, owners[-1]))  # the last owner may go on
+            held = [rows.slice(cut)]
+            if cut:
+                yield from _grams(rows.slice(0, cut), longest, least)
+        if held:
+            yield from _grams(pa.Table.from_batches(held).combine_chunks().to_batches()[0], longest, least)
+
+    counts = routed.mapInArrow(task, "lang string, phrase string, a long")
     return counts.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
 
 
+def _runs(words: Column, shortest: int, longest: int) -> Column:
+    """All runs of `shortest` to `longest` words, space-joined."""
+
+    def of(i: Column) -> Column:
+        first, last = i + (shortest - 1), F.least(F.size(words) - 1, i + (longest - 1))
+        return F.when(first <= last, F.transform(F.sequence(first, last), lambda j: F.array_join(F.slice(words, i + 1, j - i + 1), " "))).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(words) - 1), of))
+
+
 def scored(rows: DataFrame, phrases: DataFrame, words: DataFrame, factor: int) -> DataFrame:
     """Rows of `phrases` with l, r and score of their lowest-scoring cut, the earliest of equal ones."""
     known = phrases.select("lang", F.col("phrase").alias("part"), F.col("a").alias("f")).unionByName(words.select("lang", F.col("word").alias("part"), F.col("n").alias("f")))
@@ -220,8 +275,7 @@ def uncovered(phrases: DataFrame, longest: int, percent: int) -> DataFrame:
     """Phrases that no longer phrase holds with at least `percent` in a hundred of their count."""
     w = F.split("phrase", " ")
     long = phrases.select("lang", F.col("a").alias("longer"), w.alias("w")).filter(F.size("w") > 2)
-    # All runs of two words and more that are shorter than the phrase: low is the last place, high the first.
-    held = long.select("lang", "longer", F.size("w").alias("n"), F.explode(_runs(F.col("w"), F.size("w") - 1, F.lit(0), 2, longest - 1)).alias("phrase"))
+    held = long.select("lang", "longer", F.size("w").alias("n"), F.explode(_runs(F.col("w"), 2, longest - 1)).alias("phrase"))
     held = held.filter(F.size(F.split("phrase", " ")) < F.col("n")).groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     wide = lambda c: F.col(c).cast("decimal(20,0)")
     return phrases.join(held, ["lang", "phrase"], "left").filter(F.col("longer").isNull() | (wide("longer") * 100 < wide("a") * percent)).drop("longer")
