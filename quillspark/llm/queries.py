@@ -14,6 +14,7 @@ from .exact_dedup import exact_dedup
 from .fill_in_middle import fill_in_middle_report
 from .html_text import extract_text
 from .jaccard_join import jaccard_classes
+from .personal_data import personal_data_report
 from .sharding import shard
 from .substring_dedup import substring_report
 from .token_counts import token_histogram
@@ -78,9 +79,13 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle_report(read(spark, sf_dir, "documents"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_report(read(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_exact_dedup, op2_decontamination, op3_token_counts, op4_bpe, op5_toxicity, op6_sharding, op7_warc, op8_substring_dedup, op9_html_text, op10_jaccard_join,
-    op11_collocations, op12_fill_in_middle,
+    op11_collocations, op12_fill_in_middle, op13_personal_data,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
