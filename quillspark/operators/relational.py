@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import output_key, percent
 from ..schemas import CATEGORIES, MISCELLANEOUS, ORG_SOURCES, REVIEWABLE
+from .text_index import TextIndex
 
 # ---- filters and pages
 
@@ -91,13 +92,19 @@ def duplicates_by_name(documents: DataFrame, name: str) -> DataFrame:
     return where(documents, live(), F.col("is_duplicate"), F.col("file_name") == name).select(*FILE)
 
 
-def deleted(documents: DataFrame, source_type: str | None = None, name: str | None = None) -> DataFrame:
-    conditions = [F.col("file_name").ilike(f"%{name}%")] if name else []
+def deleted(documents: DataFrame, source_type: str | None = None, name: str | None = None, index: TextIndex | None = None) -> DataFrame:
+    """Deleted files, with part of a name if asked. index: of file names; it leaves only likely rows to be tested."""
+    if name and index:
+        documents = index.search(documents, "document_id", name, ["file_name"])
+    conditions = [F.col("file_name").ilike(f"%{name}%")] if name and not index else []
     return where(documents, ~live(), *conditions, source_type=source_type).select(*FILE, "processed_at")
 
 
-def search_metadata(documents: DataFrame, classification: DataFrame, text: str | None = None, document_type: str | None = None, source_type: str | None = None) -> DataFrame:
-    conditions = [F.col("file_name").ilike(f"%{text}%") | F.col("file_path").ilike(f"%{text}%")] if text else []
+def search_metadata(documents: DataFrame, classification: DataFrame, text: str | None = None, document_type: str | None = None, source_type: str | None = None, index: TextIndex | None = None) -> DataFrame:
+    """Live files with a text in their name or path. index: of both columns; it leaves only likely rows to be tested."""
+    if text and index:
+        documents = index.search(documents, "document_id", text, ["file_name", "file_path"])
+    conditions = [F.col("file_name").ilike(f"%{text}%") | F.col("file_path").ilike(f"%{text}%")] if text and not index else []
     found = with_latest(where(documents, live(), *conditions, source_type=source_type).select(*FILE), classification, "document_type", "confidence_score", "classification_status")
     return where(found, document_type=document_type)
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import chunking, scoring, text, vectors
 from ..operators import relational as R
 from ..operators import retrieval as V
+from ..operators.text_index import TextIndex
+from ..session import place
 from . import fixtures as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -213,6 +215,31 @@ def metadata_search(s, d):
     return R.page(R.search_metadata(docs, cls, "contract", document_type="Contracts"), newest())
 
 
+def _name_index(s, docs) -> TextIndex:
+    return TextIndex.build(docs.select("document_id", "file_name", "file_path"), "document_id", ["file_name", "file_path"], place(s, "name-index"))
+
+
+@query
+def files_deleted_indexed(s, d):
+    """The same page through an index of the names' trigrams."""
+    docs = X.documents(s, d)
+    rows = R.deleted(docs, name="INVOICE", index=_name_index(s, docs))
+    return R.page(rows, [F.col("processed_at").desc_nulls_last(), *newest()])
+
+
+@query
+def metadata_search_indexed(s, d):
+    docs, cls = _tables(s, d)
+    return R.page(R.search_metadata(docs, cls, "contract", document_type="Contracts", index=_name_index(s, docs)), newest())
+
+
+@query
+def metadata_search_wildcards(s, d):
+    """Part of a path with wildcards of its own: one letter, and any letters."""
+    docs, cls = _tables(s, d)
+    return R.page(R.search_metadata(docs, cls, "Outl_ok/%_a%.PDF", index=_name_index(s, docs)), newest())
+
+
 @query
 def class_queue(s, d):
     return R.queue(*_tables(s, d)).orderBy("current_timestamp_ist", "document_id")

@@ -6,7 +6,6 @@ batch queries give.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +16,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import relational as R
 from ..plans import fixtures as X
-from ..session import shared_dir
+from ..session import place, shared_dir
 
 
 def _place(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    return place(spark, f"stream-{name}")
 
 
 def as_stream(df: DataFrame, name: str) -> DataFrame:
