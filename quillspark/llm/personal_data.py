@@ -375,7 +375,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: i
     from invented texts alone. The sample depends on ids and texts alone, not on how the table is stored.
     """
     short = docs.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("text")).filter((F.length("text") > 0) & (F.length("text") <= chars))
-    return train([r.text for r in short.orderBy("h", "text").limit(rows).collect()])
+    # Which hashes are in is settled before any text moves.
+    last = short.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    return train([r.text for r in short.filter(F.col("h") <= last).orderBy("h", "text").limit(rows).collect()] if last is not None else [])
 
 
 # ---- documents
