@@ -185,6 +185,9 @@ ORACLE_SQL: dict[str, str] = {
     "table_sentences": "SELECT l_orderkey, string_agg(concat('Mode: ', l_returnflag, ', Quantity: ', CAST(l_quantity AS INTEGER), ', Price: ', CAST(CAST(l_extendedprice AS DECIMAL(12, 2)) AS VARCHAR), '.'), ' ' ORDER BY l_linenumber, l_returnflag, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR), CAST(CAST(l_extendedprice AS DECIMAL(12, 2)) AS VARCHAR)) AS sentences FROM lineitem GROUP BY l_orderkey",
     "full_document_text": "SELECT conv_id, md5(substr(string_agg(text, chr(10) || chr(10) ORDER BY turn, text), 1, 25000)) AS text_md5 FROM conversations GROUP BY conv_id",
 }
+ORACLE_SQL["vector_topk_index"] = f"""WITH {EMB}, qs AS (SELECT embedding_id AS query, embedding AS q FROM emb WHERE embedding_id % 100 = 0),
+near AS (SELECT query, embedding_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 12) AS sim FROM emb, qs WHERE embedding IS NOT NULL AND q IS NOT NULL)
+SELECT query, CAST(row_number() OVER w AS INTEGER) AS rank, embedding_id, round(sim, 4) AS similarity FROM near WINDOW w AS (PARTITION BY query ORDER BY sim DESC, embedding_id) QUALIFY row_number() OVER w <= 20"""
 ORACLE_SQL["files_deleted_indexed"] = ORACLE_SQL["files_deleted"]
 ORACLE_SQL["metadata_search_indexed"] = ORACLE_SQL["metadata_search"]
 ORACLE_SQL["metadata_search_wildcards"] = f"WITH {CLASS} SELECT m.{_FILE.replace(', ', ', m.')}, c.document_type, c.confidence_score, c.classification_status FROM meta m LEFT JOIN newest c USING (document_id) WHERE {_LIVE} AND (file_name ILIKE '%Outl_ok/%_a%.PDF%' OR file_path ILIKE '%Outl_ok/%_a%.PDF%')"

@@ -11,6 +11,7 @@ from ..functions import chunking, scoring, text, vectors
 from ..operators import relational as R
 from ..operators import retrieval as V
 from ..operators.text_index import TextIndex
+from ..operators.vector_index import VectorIndex
 from ..session import place
 from . import fixtures as X
 
@@ -499,6 +500,30 @@ def stream_ingest_duplicates(s, d):
     return ingest_duplicates(s, d)
 
 
+def _vector_index(s, d) -> tuple[VectorIndex, DataFrame]:
+    """An index of all vectors, and as queries those whose id is divisible by 100."""
+    rows = X.embeddings(s, d).select("embedding_id", "embedding")
+    return VectorIndex.build(rows, "embedding_id", "embedding", place(s, "vector-index")), rows.filter("embedding_id % 100 = 0")
+
+
+def _nearest(index: VectorIndex, queries: DataFrame, **options) -> DataFrame:
+    return index.search(queries, "embedding_id", "embedding", V.CANDIDATES, **options).select("query", "rank", "embedding_id", F.round("similarity", 4).alias("similarity"))
+
+
+@query
+def vector_topk_index(s, d):
+    """The top 20 of several vectors through an index, with every cell that could hold one of them."""
+    index, queries = _vector_index(s, d)
+    return _nearest(index, queries, exact=True)
+
+
+@query
+def vector_topk_probed(s, d):
+    """The same in the cells nearest to each vector alone, as many as find 19 of 20 by the index's own measure."""
+    index, queries = _vector_index(s, d)
+    return _nearest(index, queries, probes=index.probes_for(0.95))
+
+
 @query
 def vector_topk_arrow(s, d):
     """The same top 20 with whole Arrow batches in numpy."""
