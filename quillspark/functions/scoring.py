@@ -6,15 +6,20 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schemas import CATEGORIES, MISCELLANEOUS
+from .automaton import Matcher, holds_word, laid_out
 
 # Thresholds and weights.
 AUTO, SOFT = 70.0, 40.0
 KEYWORD, SENTENCE, FILENAME = 2, 5, 10
 BASELINE = 50.0
+#: Keywords and sentences that are looked for one by one at most.
+MANY = 300
 RULE_SHARE, AI_SHARE, DISAGREEMENT = 0.35, 0.65, 0.75
 
 
@@ -65,8 +70,11 @@ def _keywords(low: Column, tokens: Column, words: tuple[str, ...]) -> Column:
 def text_signals(text: Column, rules: Rules) -> Column:
     """array<struct<category, ord, keywords, sentences>>, one entry a category in order.
 
-    A text is lower-cased and parted into words once; of its words only those that some rule names are kept.
+    A text is lower-cased and parted into words once; of its words only those that some rule names are kept. Each pattern
+    is an expression of its own: rule sets of more than `MANY` go to the automaton.
     """
+    if sum(len(k["keywords"]) + len(k["sentences"]) for k in rules.categories.values()) > MANY:
+        return matched_signals(text, rules)
     known = sorted({w.lower() for kinds in rules.categories.values() for w in kinds["keywords"] if re.fullmatch(r"\w+", w)})
 
     def counted(x: Column) -> Column:
@@ -81,6 +89,48 @@ def text_signals(text: Column, rules: Rules) -> Column:
     return bound(bound(F.lower(F.coalesce(text, F.lit(""))), parted), counted)
 
 
+def matched_signals(text: Column, rules: Rules) -> Column:
+    """The same as text_signals() by an automaton over whole batches, whose time doesn't depend on the number of rules.
+
+    Equal patterns are looked for once. An empty sentence is in every text, an empty keyword in every text with a word.
+    """
+    wanted: dict[tuple[str, bool], int] = {}
+    rows = []  # pattern, category, 0 for keywords and 1 for sentences; repeated rules count each time
+    for i, kinds in enumerate(rules.categories.values()):
+        each = [(w.lower(), " " not in w, 0) for w in kinds["keywords"]] + [(x.lower(), False, 1) for x in kinds["sentences"]]
+        rows += [(wanted.setdefault((x, bounded), len(wanted)), i, kind) for x, bounded, kind in each]
+    matcher = Matcher([x for x, _ in wanted], [b for _, b in wanted])
+    counts = np.zeros((max(len(wanted), 1), max(len(rules.categories), 1), 2), np.int32)
+    for pattern, category, kind in rows:
+        counts[pattern, category, kind] += 1
+    weights, (always, worded) = counts.reshape(len(counts), -1), (wanted.get(("", b)) for b in (False, True))
+    # Most patterns are one category's: the places and numbers of each pattern's entries.
+    at, slot = np.nonzero(weights)
+    first = np.searchsorted(at, np.arange(len(weights) + 1))
+    value = weights[at, slot]
+    names = list(rules.categories)
+
+    @F.arrow_udf("array<struct<category:string,ord:int,keywords:int,sentences:int>>")
+    def matched(texts: pa.Array) -> pa.Array:
+        out = np.zeros((len(texts), 2 * len(names)), np.int32)
+        for low, data, offsets in laid_out(texts):
+            text, pattern = matcher.found(data, offsets)
+            if always is not None:
+                text, pattern = np.concatenate([text, np.arange(len(offsets) - 1)]), np.concatenate([pattern, np.full(len(offsets) - 1, always)])
+            if worded is not None:
+                held = np.flatnonzero([holds_word(bytes(data[a:b]).decode()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+                text, pattern = np.concatenate([text, held]), np.concatenate([pattern, np.full(len(held), worded)])
+            size = first[pattern + 1] - first[pattern]
+            entry = np.repeat(first[pattern] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            np.add.at(out, (low + np.repeat(text, size), slot[entry]), value[entry])
+        flat = out.reshape(-1, 2)
+        rows = len(texts)
+        items = pa.StructArray.from_arrays([pa.array(names * rows, pa.string()), pa.array(np.tile(np.arange(len(names), dtype=np.int32), rows)), pa.array(flat[:, 0].copy()), pa.array(flat[:, 1].copy())], ["category", "ord", "keywords", "sentences"])
+        return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * len(names)), items)
+
+    return matched(F.lower(F.coalesce(text, F.lit(""))))
+
+
 def name_signals(name: Column, rules: Rules) -> Column:
     """array<int>: of each category in order, how many of its patterns the file name matches."""
     file = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"[_\-]", " ")

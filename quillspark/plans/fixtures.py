@@ -97,6 +97,16 @@ def ai_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("document_id"), category.alias("ai_category"), ((F.col("doc_id") * 37) % 101).cast("double").alias("ai_score"), F.lit("by its text").alias("ai_reasoning"))
 
 
+def item_rules(spark: SparkSession, sf_dir: str) -> dict:
+    """A rule set, as a file of rules would hold it: words of benchmark items and runs of three, by their lengths in five categories."""
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z]+)"), F.lit(1))
+    runs = F.when(F.size("w") > 2, F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))).otherwise(F.array().cast("array<string>"))
+    rows = table(spark, sf_dir, "benchmark").select(words.alias("w"))
+    each = lambda name, of: rows.select(F.lit(name).alias("kind"), F.explode(of).alias("pattern")).distinct()
+    said = each("keywords", F.col("w")).unionByName(each("sentences", runs)).orderBy("kind", "pattern").collect()
+    return {c: {k: [r.pattern for r in said if r.kind == k and len(r.pattern) % 5 == i] for k in ("keywords", "sentences")} for i, c in enumerate(CATEGORIES)}
+
+
 def services(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A service for each type of event, degraded where one of its events has no value above 0."""
     e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name"))

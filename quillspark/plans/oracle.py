@@ -188,6 +188,17 @@ ORACLE_SQL: dict[str, str] = {
 ORACLE_SQL["vector_topk_index"] = f"""WITH {EMB}, qs AS (SELECT embedding_id AS query, embedding AS q FROM emb WHERE embedding_id % 100 = 0),
 near AS (SELECT query, embedding_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 12) AS sim FROM emb, qs WHERE embedding IS NOT NULL AND q IS NOT NULL)
 SELECT query, CAST(row_number() OVER w AS INTEGER) AS rank, embedding_id, round(sim, 4) AS similarity FROM near WINDOW w AS (PARTITION BY query ORDER BY sim DESC, embedding_id) QUALIFY row_number() OVER w <= 20"""
+ORACLE_SQL["rule_signals_automaton"] = ORACLE_SQL["rule_signals"]
+ORACLE_SQL["rule_signals_many"] = f"""WITH items AS (SELECT regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM benchmark),
+rules AS (SELECT DISTINCT 0 AS kind, unnest(w) AS pattern FROM items UNION ALL
+  SELECT DISTINCT 1, array_to_string(w[i:i + 2], ' ') FROM (SELECT w, unnest(generate_series(1, len(w) - 2)) AS i FROM items WHERE len(w) > 2)),
+texts AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents),
+words AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(low, '[\\p{{L}}\\p{{N}}\\p{{M}}_]+')) AS pattern FROM texts),
+hits AS (SELECT doc_id, kind, length(pattern) % 5 AS ord FROM words JOIN rules USING (pattern) WHERE kind = 0 UNION ALL
+  SELECT doc_id, kind, length(pattern) % 5 FROM texts, rules WHERE kind = 1 AND contains(low, pattern)),
+cats AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{c}')" for i, c in enumerate(X.CATEGORIES))}) v(ord, category))
+SELECT doc_id, category, CAST(count(*) FILTER (kind = 0) AS INTEGER) AS keywords, CAST(count(*) FILTER (kind = 1) AS INTEGER) AS sentences
+FROM (SELECT doc_id, ord, category FROM texts, cats) LEFT JOIN hits USING (doc_id, ord) GROUP BY doc_id, category"""
 ORACLE_SQL["files_deleted_indexed"] = ORACLE_SQL["files_deleted"]
 ORACLE_SQL["metadata_search_indexed"] = ORACLE_SQL["metadata_search"]
 ORACLE_SQL["metadata_search_wildcards"] = f"WITH {CLASS} SELECT m.{_FILE.replace(', ', ', m.')}, c.document_type, c.confidence_score, c.classification_status FROM meta m LEFT JOIN newest c USING (document_id) WHERE {_LIVE} AND (file_name ILIKE '%Outl_ok/%_a%.PDF%' OR file_path ILIKE '%Outl_ok/%_a%.PDF%')"

@@ -366,6 +366,23 @@ def rule_signals(s, d):
     return _found(s, d).select("document_id", F.explode_outer("found").alias("x")).select("document_id", "x.category", "x.keywords", "x.sentences", "x.filenames", "x.raw", "x.score")
 
 
+@query
+def rule_signals_automaton(s, d):
+    """The same signals by an automaton that looks for all patterns at once."""
+    names = X.arrivals(s, d).select("document_id", "file_name")
+    rows = X.table(s, d, "documents").select(F.col("doc_id").alias("document_id"), scoring.matched_signals(F.col("text"), RULES).alias("texts"))
+    found = scoring.joined_signals(F.col("texts"), scoring.name_signals(F.col("file_name"), RULES), RULES)
+    return rows.join(names, "document_id").select("document_id", F.explode_outer(found).alias("x")).select("document_id", "x.category", "x.keywords", "x.sentences", "x.filenames", "x.raw", "x.score")
+
+
+@query
+def rule_signals_many(s, d):
+    """Signals of a rule set of thousands of patterns: every word and every three words in a row of the benchmark's items."""
+    rules = scoring.Rules.of(X.item_rules(s, d))
+    rows = X.table(s, d, "documents").select("doc_id", F.explode_outer(scoring.text_signals(F.col("text"), rules)).alias("x"))
+    return rows.select("doc_id", "x.category", "x.keywords", "x.sentences")
+
+
 @query
 def rule_scores(s, d):
     """The score of every category, as a row's JSON column holds them."""
