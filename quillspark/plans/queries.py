@@ -81,15 +81,28 @@ def embedding_state(s, d):
     return V.state(X.embeddings(s, d), docs, cls)
 
 
-@query
-def embedding_upsert(s, d):
+def _embedding_steps(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Every vector anew for documents under 50, with a marker on chunk 0 of those skipped."""
     old = X.embeddings(s, d).select("document_id", "chunk_index", "chunk_text", "embedding_status")
     new = old.filter("document_id < 50").withColumns({"chunk_text": F.concat(F.lit("new "), "chunk_text"), "chunk_index": F.col("chunk_index") + 1, "embedding_status": F.lit("generated")})
     skipped = old.filter("chunk_index = 0 AND document_id % 7 = 0").withColumns({"embedding_status": F.lit("skipped_miscellaneous"), "chunk_text": F.lit("")})
+    return old, new, skipped
+
+
+@query
+def embedding_upsert(s, d):
+    old, new, skipped = _embedding_steps(s, d)
     return R.upsert(R.upsert(old, new, ["document_id", "chunk_index"]), skipped, ["document_id", "chunk_index"], ["embedding_status"])
 
 
+@query
+def stream_embedding_upsert(s, d):
+    """The same, as chunks come in a stream of three batches into a keyed table."""
+    from ..streaming.streams import embedding_table
+
+    return embedding_table(*_embedding_steps(s, d)).read()
+
+
 @query
 def files_list(s, d):
     return R.page(R.files(X.documents(s, d), source_type="Outlook"), newest())
@@ -510,6 +523,15 @@ def stream_notifications(s, d):
     return notifications(s, d)
 
 
+@query
+def stream_notifications_pending(s, d):
+    """Notifications of a stream that weren't sent before, through a table that takes each once."""
+    from ..streaming.streams import told
+
+    docs, cls = _tables(s, d)
+    return told(X.sent_notifications(notifications_events(s, d)), cls, docs, X.ownership(s, d))
+
+
 @query
 def stream_ingest_duplicates(s, d):
     from ..streaming.streams import ingest_duplicates

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators import relational as R
 from ..plans import fixtures as X
 from ..session import place, shared_dir
+from .sinks import Change, INSERT, KeyedTable, embedding_changes, notification_changes
 
 
 def _place(spark: SparkSession, name: str) -> str:
@@ -122,3 +123,30 @@ def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = events.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("INTERVAL 3 DAYS")).cast("timestamp_ntz").alias("ts"), F.lit(None).cast("string").alias("event_type"))
     end.coalesce(1).write.mode("append").parquet(path)
     return drained(daily_stream(spark.readStream.schema(events.schema).parquet(path)), "daily").filter("event_type IS NOT NULL")
+
+
+def in_steps(steps: list[DataFrame], name: str) -> DataFrame:
+    """A stream of tables one after another, each a batch of its own."""
+    spark, path = steps[0].sparkSession, _place(steps[0].sparkSession, name)
+    for k, rows in enumerate(steps):
+        rows.coalesce(1).write.parquet(f"{path}/step={k:06d}")
+    # A step's file is older than the next one's, which is the order that the source keeps.
+    return spark.readStream.schema(steps[0].schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+
+
+def embedding_table(old: DataFrame, new: DataFrame, skipped: DataFrame) -> KeyedTable:
+    """Chunks as they come in a stream: those there are, then new ones, then marks of skipped ones."""
+    steps = [x.withColumn("seq", F.lit(k)) for k, x in enumerate((old, new, skipped))]
+    table = KeyedTable(old.sparkSession, _place(old.sparkSession, "embedding-table"), old.schema, ["document_id", "chunk_index"])
+    table.sink(in_steps(steps, "chunks"), _place(old.sparkSession, "embedding-state"), embedding_changes).awaitTermination()
+    return table
+
+
+def told(sent: DataFrame, classification: DataFrame, documents: DataFrame, ownership: DataFrame) -> DataFrame:
+    """Notifications of a stream of classifications, but for those sent before: each (user, classification, type) once."""
+    spark, key = classification.sparkSession, ["user_id", "classification_id", "notification_type"]
+    events = notification_stream(as_stream(classification, "classification-told"), documents, ownership).withColumn("told_before", F.lit(False))
+    table = KeyedTable(spark, _place(spark, "told"), events.schema, key)
+    table.write(-1, Change(sent.select([F.col(f.name) if f.name in sent.columns else F.lit(f.name == "told_before" or None).cast(f.dataType).alias(f.name) for f in events.schema]), INSERT))
+    table.sink(events, _place(spark, "told-state"), notification_changes).awaitTermination()
+    return table.read().filter("NOT told_before").drop("told_before")
