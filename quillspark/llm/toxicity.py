@@ -32,9 +32,11 @@ PIECE = 40
 #: Scripts without blanks: Thai, Lao, Tibetan, Myanmar, Khmer, kana, bopomofo and Han.
 UNSPACED = ((0xE00, 0xFFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x312F), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
 HIDDEN, WORD_DIMS, ATTENTION = 6, 4, 6
-#: Windows of a document that the gradient steps look at: those whose words the labels favour most. The cut takes all.
-TRAIN_WINDOWS = 2
-STEPS, BATCH = 500, 64
+#: Parts of the training texts: what words are favoured by is told to each part's texts by the others.
+PARTS = 8
+#: Gradient steps, windows in a step, and windows of a text in it: of all its windows those that score highest, as found
+#: anew ROUNDS times, since only they move the score of a text.
+STEPS, BATCH, TOP, ROUNDS = 400, 64, 2, 4
 THRESHOLD = 0.7
 #: z of the lower confidence bound on a word's toxic share.
 CONFIDENCE = 2.5
@@ -170,33 +172,46 @@ class Favours:
     gram_value: np.ndarray
 
 
-def favours(seen: Words, labels: np.ndarray, rows: np.ndarray) -> Favours:
-    """From the documents `rows` of the training texts: a word counts once a document."""
-    share = float(np.clip(labels[rows].mean(), 0.01, 0.9))
-    counts = np.diff(seen.firsts)
-    texts = np.repeat(np.arange(len(counts)), counts)
-    used = np.zeros(len(counts), bool)
-    used[rows] = True
-    pairs = np.unique(seen.ids[used[texts]] * np.int64(len(counts)) + texts[used[texts]])
-    words, texts = pairs // len(counts), pairs % len(counts)
-    n, toxic = np.bincount(words, minlength=len(seen.hashes)), np.bincount(words, labels[texts], minlength=len(seen.hashes))
-    value = np.where(n >= 2, _favour(toxic, np.maximum(n, 1), share), 0).astype(np.float32)
-    keep = value > 0
-    # Of characters: documents that hold a run, through the distinct words that hold it.
+def favours(seen: Words, labels: np.ndarray, parts: np.ndarray, count: int) -> tuple[Favours, list[Favours]]:
+    """From all training texts, and from those outside of each of `count` parts: a word counts once a document.
+
+    parts: the part of each text.
+    """
+    share = float(np.clip(labels.mean(), 0.01, 0.9))
+    texts_n = len(labels)
+    texts = np.repeat(np.arange(texts_n), np.diff(seen.firsts))
+    pairs = np.unique(seen.ids * np.int64(texts_n) + texts)
+    words, texts = pairs // texts_n, pairs % texts_n
+
+    def counted(keys: np.ndarray, texts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        at = keys * count + parts[texts]
+        return np.bincount(at, minlength=size * count).reshape(size, count), np.bincount(at, labels[texts], minlength=size * count).reshape(size, count)
+
+    by_word = counted(words, texts, len(seen.hashes))
+    # Of characters: documents that hold a run, through the distinct words that hold it. Documents are taken some at a
+    # time, each whole.
     spread = np.diff(seen.gram_starts)
     codes, inverse = np.unique(seen.grams, return_inverse=True)
-    known = np.zeros(len(codes), np.float64), np.zeros(len(codes), np.float64)
-    for at in range(0, len(pairs), 200_000):
-        w, t = words[at : at + 200_000], texts[at : at + 200_000]
+    by_gram = np.zeros((len(codes), count)), np.zeros((len(codes), count))
+    order = np.argsort(texts, kind="stable")
+    edges = np.searchsorted(texts[order], np.arange(texts_n + 1))
+    at = 0
+    while at < texts_n:
+        top = max(at + 1, int(np.searchsorted(edges, edges[at] + 200_000)) - 1)
+        w, t = words[order[edges[at] : edges[top]]], texts[order[edges[at] : edges[top]]]
         grams = inverse[np.repeat(seen.gram_starts[w] - (np.cumsum(spread[w]) - spread[w]), spread[w]) + np.arange(int(spread[w].sum()))]
-        both = np.unique(grams.astype(np.int64) * len(counts) + np.repeat(t, spread[w]))
-        # A document that two slices share counts twice at most for the runs that both hold.
-        known[0][:] += np.bincount(both // len(counts), minlength=len(codes))
-        known[1][:] += np.bincount(both // len(counts), labels[both % len(counts)], minlength=len(codes))
-    n, toxic = known
-    gram_value = np.where(n >= 3, _favour(toxic, np.maximum(n, 1), share), 0).astype(np.float32)
-    held = gram_value > 0
-    return Favours(seen.hashes[keep], value[keep], codes[held], gram_value[held])
+        both = np.unique(grams.astype(np.int64) * texts_n + np.repeat(t, spread[w]))
+        for total, more in zip(by_gram, counted(both // texts_n, both % texts_n, len(codes)), strict=True):
+            total += more
+        at = top
+
+    def of(left_out: int | None) -> Favours:
+        (n, toxic), (gn, gtoxic) = ((a.sum(1) - (0 if left_out is None else a[:, left_out]) for a in pair) for pair in (by_word, by_gram))
+        value = np.where(n >= 2, _favour(toxic, np.maximum(n, 1), share), 0).astype(np.float32)
+        gram_value = np.where(gn >= 3, _favour(gtoxic, np.maximum(gn, 1), share), 0).astype(np.float32)
+        return Favours(seen.hashes[value > 0], value[value > 0], codes[gram_value > 0], gram_value[gram_value > 0])
+
+    return of(None), [of(k) for k in range(count)]
 
 
 def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -338,15 +353,18 @@ class Network:
 
 
 def train(texts: list[bytes], labels: np.ndarray, seed: int = 7, steps: int = STEPS) -> Network:
-    """Fit a network to labelled texts. What words are favoured by is crossed: in each half of the texts, by the other."""
+    """Fit a network to labelled texts. What words are favoured by is crossed: for each part of the texts, by the others."""
     rng = np.random.default_rng(seed)
     data = np.frombuffer(b"".join(texts), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
     labels = labels.astype(np.float64)
     seen = words_of(data, offsets)
-    everyone = np.arange(len(texts))
-    half = rng.permutation(len(texts)) % 2
-    by = favours(seen, labels, everyone) if len(texts) else Favours(*(np.zeros(0, t) for t in (np.uint64, np.float32, np.uint32, np.float32)))
+    # Parts have as many texts of each class, give or take one.
+    part = np.zeros(len(texts), np.int64)
+    for y in (0, 1):
+        mine = rng.permutation(np.flatnonzero((labels > 0) == y))
+        part[mine] = np.arange(len(mine)) % PARTS
+    by, others = favours(seen, labels, part, PARTS) if len(texts) else (Favours(*(np.zeros(0, t) for t in (np.uint64, np.float32, np.uint32, np.float32))), [])
     # Embeddings for words of at least three documents' worth of places; the rest share one.
     often = np.bincount(seen.ids, minlength=len(seen.hashes)) >= 12
     net = Network.start(by, seen.hashes[often], rng)
@@ -354,31 +372,44 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7, steps: int = ST
         net.w["o"][:] = 0
         net.w["ob"][0] = 0 if not len(texts) else 4 if labels.min() > 0 else -4
         return net
-    crossed = [features(seen, favours(seen, labels, np.flatnonzero(half != k))) for k in (0, 1)]
+    crossed = np.stack([features(seen, x) for x in others])
     _, number = net.inputs(seen)
     starts, owner = windows_of(seen.firsts)
     lengths = np.minimum(np.diff(seen.firsts)[owner], WINDOW)
     ids_of = lambda k: seen.ids[np.minimum(starts[k][:, None] + np.arange(WINDOW), (starts[k] + lengths[k] - 1)[:, None])]
-    side = half[owner]
-    appeal = np.stack([x[:, 0] + x[:, 1] for x in crossed])
+    side = part[owner]
+    base_of = lambda k, w_ids: crossed[side[k][:, None], w_ids]
     blocks = [np.arange(at, min(at + 4096, len(owner))) for at in range(0, len(owner), 4096)]
-    strength = np.concatenate([appeal[side[k][:, None], ids_of(k)].max(1) for k in blocks]) if blocks else np.zeros(0)
-    strength = strength + rng.random(len(owner)) * 1e-3
-    order = np.lexsort((-strength, owner))
-    first = np.searchsorted(owner[order], np.arange(len(texts)))
-    rank = np.arange(len(order)) - first[owner[order]]
-    chosen = order[rank < TRAIN_WINDOWS]
+
+    def all_windows() -> np.ndarray:
+        """The logit of every window of every text, as scoring would see it."""
+        out = np.zeros(len(owner), np.float32)
+        for k in blocks:
+            w_ids = ids_of(k)
+            out[k] = net.run(np.concatenate([base_of(k, w_ids), net.w["e"][number[w_ids]]], 2) @ net.w["x"] + net.w["xb"], lengths[k])
+        return out
+
+    def strongest(strength: np.ndarray) -> np.ndarray:
+        """The TOP windows of each text, by text."""
+        order = np.lexsort((-strength, owner))
+        first = np.searchsorted(owner[order], np.arange(len(texts)))
+        return order[np.arange(len(order)) - first[owner[order]] < TOP]
+
+    # At first, the windows whose words are favoured most.
+    appeal = crossed[:, :, 0] + crossed[:, :, 1]
+    chosen = strongest(np.concatenate([appeal[side[k][:, None], ids_of(k)].max(1) for k in blocks] or [np.zeros(0)]) + rng.random(len(owner)) * 1e-3)
     by_text = np.searchsorted(owner[chosen], np.arange(len(texts) + 1))
     toxic, clean = np.flatnonzero((labels > 0) & (np.diff(by_text) > 0)), np.flatnonzero((labels == 0) & (np.diff(by_text) > 0))
     memory = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.w.items()}
-    per = BATCH // TRAIN_WINDOWS
-    for step in range(steps):
+    per = BATCH // TOP
+    for step in range(steps if len(toxic) and len(clean) else 0):
+        if step and step % -(-steps // ROUNDS) == 0:
+            chosen = strongest(all_windows())
         some = np.concatenate([rng.choice(toxic, per // 3), rng.choice(clean, per - per // 3)])
         k = np.concatenate([chosen[by_text[t] : by_text[t + 1]] for t in some])
         group = np.repeat(np.arange(len(some)), by_text[some + 1] - by_text[some])
         w_ids = ids_of(k)
-        base = np.where((side[k] == 0)[:, None, None], crossed[0][w_ids], crossed[1][w_ids])
-        inputs = np.concatenate([base, net.w["e"][number[w_ids]]], 2)
+        inputs = np.concatenate([base_of(k, w_ids), net.w["e"][number[w_ids]]], 2)
         x = inputs @ net.w["x"] + net.w["xb"]
         logit, kept = net.run(x, lengths[k], keep=True)
         best = np.full(len(some), -np.inf, np.float32)
@@ -403,11 +434,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7, steps: int = ST
     # The cut between the classes, on the crossed inputs of all windows, as scoring sees them: where F1 is best, in the
     # middle of the gap around it.
     best = np.full(len(texts), -np.inf, np.float32)
-    for k in blocks:
-        w_ids = ids_of(k)
-        base = np.where((side[k] == 0)[:, None, None], crossed[0][w_ids], crossed[1][w_ids])
-        x = np.concatenate([base, net.w["e"][number[w_ids]]], 2) @ net.w["x"] + net.w["xb"]
-        np.maximum.at(best, owner[k], net.run(x, lengths[k]))
+    np.maximum.at(best, owner, all_windows())
     best = np.where(np.isneginf(best), net.w["ob"][0], best)
     order = np.argsort(-best, kind="stable")
     hit = np.cumsum(labels[order])
@@ -419,13 +446,16 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7, steps: int = ST
 
 
 def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: bool = True, seed: int = 7) -> Network:
-    """Train on a bounded sample of the labelled rows; with held_out, of those whose crc32(id as text) mod 3 is not 1."""
+    """Train on a bounded sample of the labelled rows; with held_out, of those whose crc32(id as text) mod 3 is not 1.
+
+    Of an id labelled twice, toxic counts; of an id with several texts, the least in byte order is learnt from.
+    """
     ids = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).dropna()
     if held_out:
         ids = ids.filter(F.crc32(F.col("id").cast("string").cast("binary")) % 3 != 1)
     ids = ids.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS)
     # At most SAMPLE_DOCS rows of two numbers: small enough to broadcast whatever the corpus holds.
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(ids), "id").dropDuplicates(["id"]).orderBy("id")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(ids), "id").groupBy("id", "label").agg(F.min("text").alias("text")).orderBy("id")  # of a repeated id, its least text
     texts, marks = [], []
     for r in rows.select("text", "label").toLocalIterator():
         texts.append(r["text"].encode())
@@ -461,6 +491,10 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that aren't predicted toxic, with all their columns."""
+    """The documents that aren't predicted toxic, with all their columns.
+
+    Null texts count as empty and are scored as an empty window, as are texts without words; repeated rows are kept or go
+    together; an empty table gives no rows. Columns may have any names.
+    """
     names = docs.columns
     return score_documents(docs, train_on(docs, labels, id_col, text_col), id_col, text_col, tuple(names)).filter("predicted = 0").select(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(names)])

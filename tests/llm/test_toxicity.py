@@ -1,3 +1,4 @@
+import os
 import random
 from zlib import crc32
 
@@ -144,12 +145,33 @@ def test_the_cut_takes_all_windows_of_the_sample(monkeypatch):
 
     monkeypatch.setattr(T.Network, "run", counted)
     T.train(texts, labels, steps=2)
-    assert sum(seen) == windows > 3 * len(rows)
+    # Once to find the windows that teach in the second step, and once for the cut.
+    assert sum(seen) == 2 * windows > 6 * len(rows)
 
 
-def test_held_out_labels_of_the_tables(spark, sf_dir):
-    """At sf0.001 there are too few labels to ask for much; sf0.01 and sf0.1 are in the readme."""
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+def _held_out(spark, folder):
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
     rows = T.toxicity_report(docs, labels).join(labels, "doc_id").filter("held_out").select("score", "toxic").collect()
-    toxic, clean = ([r.score for r in rows if r.toxic == y] for y in (1, 0))
-    assert toxic and clean and np.mean([(a > b) + (a == b) / 2 for a in toxic for b in clean]) > 0.7
+    toxic, clean = (np.array([r.score for r in rows if r.toxic == y]) for y in (1, 0))
+    return toxic, clean, np.mean([(clean < a).mean() + (clean == a).mean() / 2 for a in toxic])
+
+
+def test_held_out_labels_of_the_tables(spark, sf_dir):
+    """With the labels of sf0.01 and more. Those of sf0.001 are six toxic rows and five held out, of which two share no word
+    with any other toxic row and one but a word of a single row; the readme has figures."""
+    toxic, clean, area = _held_out(spark, f"{os.path.dirname(sf_dir)}/sf0.01")
+    assert area > 0.9 and (toxic >= T.THRESHOLD).mean() > 0.75 and (clean >= T.THRESHOLD).mean() < 0.02
+
+
+def test_of_a_repeated_id_the_least_text_is_learnt(spark):
+    rows = [(i, x, y) for i, (x, y) in enumerate(_corpus(80))]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, x) for i, x, _ in rows], "doc_id long, text string")
+    again = docs.select("doc_id", F.concat(F.lit("zz "), "text").alias("text"))
+    a, b = (T.train_on(x, labels) for x in (docs, again.unionByName(docs).repartition(7)))
+    assert all(np.array_equal(a.w[k], b.w[k]) for k in a.w)
+
+
+def test_a_very_long_text_is_read_to_its_end(network):
+    plain = " ".join("the ta lo se ver in an".split() * 60_000)
+    assert network.score(*_flat([plain]))[0] < T.THRESHOLD < network.score(*_flat([f"{plain} foozle"]))[0]
