@@ -201,6 +201,7 @@ SELECT doc_id, category, CAST(count(*) FILTER (kind = 0) AS INTEGER) AS keywords
 FROM (SELECT doc_id, ord, category FROM texts, cats) LEFT JOIN hits USING (doc_id, ord) GROUP BY doc_id, category"""
 ORACLE_SQL["stream_embedding_upsert"] = ORACLE_SQL["embedding_upsert"]
 ORACLE_SQL["stream_notifications_pending"] = ORACLE_SQL["notifications_pending"]
+ORACLE_SQL["stream_dedup_corrected"] = ORACLE_SQL["dedup_rescan"]
 ORACLE_SQL["files_deleted_indexed"] = ORACLE_SQL["files_deleted"]
 ORACLE_SQL["metadata_search_indexed"] = ORACLE_SQL["metadata_search"]
 ORACLE_SQL["metadata_search_wildcards"] = f"WITH {CLASS} SELECT m.{_FILE.replace(', ', ', m.')}, c.document_type, c.confidence_score, c.classification_status FROM meta m LEFT JOIN newest c USING (document_id) WHERE {_LIVE} AND (file_name ILIKE '%Outl_ok/%_a%.PDF%' OR file_path ILIKE '%Outl_ok/%_a%.PDF%')"

@@ -532,6 +532,17 @@ def stream_notifications_pending(s, d):
     return told(X.sent_notifications(notifications_events(s, d)), cls, docs, X.ownership(s, d))
 
 
+@query
+def stream_dedup_corrected(s, d):
+    """Duplicates by name of files that come in any order, and of which some are deleted later: as the rescan has them."""
+    from ..streaming.streams import ingest_corrected
+
+    rows = X.arrivals(s, d).select("document_id", "file_name", "file_path", "processing_status", F.col("current_timestamp_ist").alias("ts"))
+    alive = rows.withColumns({"processing_status": F.when(F.col("processing_status") == "Deleted", "In Progress").otherwise(F.col("processing_status")), "seq": F.lit(0)})
+    younger, gone = F.col("document_id") % 3 != 1, rows.filter("processing_status = 'Deleted'").withColumn("seq", F.lit(1))
+    return ingest_corrected([alive.filter(younger), gone.filter("document_id % 2 = 0"), alive.filter(~younger), gone.filter("document_id % 2 = 1")])
+
+
 @query
 def stream_ingest_duplicates(s, d):
     from ..streaming.streams import ingest_duplicates

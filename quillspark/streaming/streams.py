@@ -17,7 +17,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators import relational as R
 from ..plans import fixtures as X
 from ..session import place, shared_dir
-from .sinks import Change, INSERT, KeyedTable, embedding_changes, notification_changes
+from .corrections import corrected, latest_rows, rocks
+from .sinks import INSERT, Change, KeyedTable, embedding_changes, notification_changes
 
 
 def _place(spark: SparkSession, name: str) -> str:
@@ -100,13 +101,18 @@ def ingest_stream(arrivals: DataFrame) -> DataFrame:
 
 def ingest_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State lives in RocksDB, which stateful processors need."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    old = spark.conf.get(name, None)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with rocks(spark):
         return drained(ingest_stream(as_stream(X.arrivals(spark, sf_dir), "arrivals")), "ingest")
-    finally:
-        spark.conf.set(name, old) if old else spark.conf.unset(name)
+
+
+def ingest_corrected(steps: list[DataFrame]) -> DataFrame:
+    """What each file is after events that come in steps (see corrections.corrected)."""
+    spark = steps[0].sparkSession
+    rows = corrected(in_steps(steps, "events"))
+    table = KeyedTable(spark, _place(spark, "files"), rows.schema, ["document_id"])
+    with rocks(spark):
+        table.sink(rows, _place(spark, "files-state"), latest_rows).awaitTermination()
+    return table.read().drop("version")
 
 
 def daily_stream(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
