@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from itertools import groupby
+from itertools import accumulate, groupby
 
 import pandas as pd
 from pyspark.sql import Column
@@ -53,19 +53,20 @@ def divided(text: str, size: int = SIZE) -> list[str]:
 
 
 def normalised(chunks: list[dict]) -> list[dict]:
-    """Chunks of at most SIZE characters; a small text chunk joins the one before it unless either is a table."""
-    out: list[dict] = []
-    for raw in chunks:
-        kind, context = raw.get("chunk_type") or "text", raw.get("heading_context") or ""
-        text = (raw.get("text") or "").strip()
-        for part in divided(text) if text else ():
-            stripped = part.strip()
-            if not stripped:
-                continue
-            if len(stripped) < SMALL and kind != "table" and out and out[-1]["chunk_type"] != "table":
-                out[-1]["text"] = out[-1]["text"].rstrip() + "\n" + stripped
-            else:
-                out.append({"text": part, "heading_context": context, "chunk_type": kind})
+    """Chunks of at most SIZE characters; a small text chunk joins the one before it unless either is a table.
+
+    Tables never join, so whether a part begins a chunk is told by itself and the part before it alone; runs of parts
+    from one beginning to the next are then put together.
+    """
+    parts = [(piece, c.get("heading_context") or "", c.get("chunk_type") or "text") for c in chunks for piece in divided((c.get("text") or "").strip()) if piece.strip()]
+    loose = [kind != "table" for _, _, kind in parts]
+    joins = [after and before and len(piece.strip()) < SMALL for before, after, (piece, _, _) in zip([False, *loose], loose, parts)]
+    number = accumulate(not j for j in joins)
+    runs = (list(run) for _, run in groupby(zip(number, parts), key=lambda x: x[0]))
+    out = []
+    for (_, (first, context, kind)), *rest in runs:
+        text = "\n".join([first.rstrip(), *(piece.strip() for _, (piece, _, _) in rest)]) if rest else first
+        out.append({"text": text, "heading_context": context, "chunk_type": kind})
     return out
 
 

@@ -113,8 +113,11 @@ def services(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.agg(F.when(F.min("value") > 0, "healthy").otherwise("degraded").alias("status"))
 
 
-def users(spark: SparkSession) -> DataFrame:
-    return spark.range(50).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("user_id"), F.concat(F.lit("user"), F.col("id").cast("string"), F.lit("@example.org")).alias("email"), F.concat(F.lit("User "), F.col("id").cast("string")).alias("full_name"))
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those who caused events, but for one in six."""
+    who = (F.col("user_id") % 60).cast("string")
+    rows = table(spark, sf_dir, "events").filter("user_id % 60 < 50").select(who.alias("n")).distinct()
+    return rows.select(F.concat(F.lit("u"), "n").alias("user_id"), F.concat(F.lit("user"), "n", F.lit("@example.org")).alias("email"), F.concat(F.lit("User "), "n").alias("full_name"))
 
 
 def audit_logs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,7 +133,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT count(*) AS total, 7 AS "limit", 2 AS "offset", count(*) FILTER (WHERE k > 9) > 0 AS has_more, coalesce(string_agg(CAST(document_id AS VARCHAR), ',' ORDER BY k) FILTER (WHERE k BETWEEN 3 AND 9), '') AS items FROM gone""",
     "duplicate_groups_page": f"WITH {META} SELECT file_name, copy_count, strftime(earliest, '%Y-%m-%dT%H:%M:%S') AS earliest, strftime(latest, '%Y-%m-%dT%H:%M:%S') AS latest, coalesce(srcs, '') AS sources FROM ({_GROUPS}) ORDER BY copy_count DESC, file_name LIMIT 10 OFFSET 3",
     "services_health": "WITH s AS (SELECT event_type, coalesce(min(value) > 0, false) AS well FROM events GROUP BY event_type) SELECT CASE WHEN coalesce(bool_and(well), true) THEN 'healthy' ELSE 'degraded' END AS overall, count(*) AS services, count(*) FILTER (WHERE NOT well) AS degraded FROM s",
-    "users_seeded": "SELECT 'empty' AS table_name, 'u0' AS user_id",
+    "users_seeded": "SELECT 'empty' AS table_name, min(concat('u', user_id % 60)) AS user_id FROM events WHERE user_id % 60 < 50",
     "rule_scores": f"WITH {_rules()} SELECT document_id, concat('{{', string_agg(concat('\"', category, '\":', CAST(CAST(score AS DOUBLE) AS VARCHAR)), ',' ORDER BY ord), '}}') AS all_scores FROM sig GROUP BY document_id",
     "classification_rows": f"""WITH {_rules()}, sc AS (SELECT document_id, concat('{{', string_agg(concat('\"', category, '\":', CAST(CAST(score AS DOUBLE) AS VARCHAR)), ',' ORDER BY ord), '}}') AS all_scores FROM sig GROUP BY document_id)
         SELECT document_id, rule_score AS rule_confidence_score, all_scores, final_category AS document_type, classification_status, classification_tier, combined_confidence_score FROM routed JOIN sc USING (document_id) SEMI JOIN (SELECT document_id FROM meta ANTI JOIN cls USING (document_id) WHERE {_LIVE} AND NOT is_duplicate) q USING (document_id)""",

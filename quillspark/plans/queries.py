@@ -136,9 +136,10 @@ def document_to_classify(s, d):
 
 @query
 def files_duplicates_by_name(s, d):
+    """The duplicates of the first name that has any."""
     docs = X.documents(s, d)
-    name = R.group_copies(docs).agg(F.min("file_name")).first()[0]
-    return R.duplicates_by_name(docs, name).orderBy("current_timestamp_ist", "document_id")
+    name = R.group_copies(docs).agg(F.min("file_name").alias("file_name"))
+    return R.files(docs, duplicates_only=True).join(F.broadcast(name), "file_name", "left_semi").orderBy("current_timestamp_ist", "document_id")  # one row
 
 
 @query
@@ -325,7 +326,7 @@ def user_documents(s, d):
 
 @query
 def audit_log(s, d):
-    return R.audit(X.audit_logs(s, d), X.users(s), action="purchase")
+    return R.audit(X.audit_logs(s, d), X.users(s, d), action="purchase")
 
 
 @query
@@ -336,7 +337,8 @@ def services_health(s, d):
 @query
 def users_seeded(s, d):
     """A first user for an empty table; none for one that has users."""
-    users, first = X.users(s), X.users(s).filter("user_id = 'u0'")
+    users = X.users(s, d)
+    first = users.agg(F.min("user_id").alias("user_id"))
     seeded = lambda table, name: R.seed(table, first).select(F.lit(name).alias("table_name"), "user_id")
     return seeded(users.filter("user_id IS NULL"), "empty").unionByName(seeded(users, "filled"))
 
