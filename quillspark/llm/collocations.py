@@ -179,10 +179,15 @@ def fragments(docs: DataFrame, table: np.ndarray, longest: int, least: int, shar
             columns.append(np.where(held, b.codes[np.clip(at + d, 0, n - 1)], -1))
         key, first = alike(b.langs[at], columns, len(b.words))
         about = least * np.exp2((level[at[first]] - 1) / STEPS)
-        return pa.RecordBatch.from_arrays(
-            [_text(b.names.take(pa.array(b.langs[at[first]]))), _text(b.words.take(pa.array(columns[reach][first]))), pa.array((1 + about // share).astype(np.int32)), pa.array(left[first].astype(np.int32)), phrased(b.words, [c[first] for c in columns]), pa.array(np.bincount(key).astype(np.int64))],
-            ["lang", "pivot", "shares", "at", "fragment", "weight"],
-        )
+        rows = {
+            "lang": _text(b.names.take(pa.array(b.langs[at[first]]))),
+            "pivot": _text(b.words.take(pa.array(columns[reach][first]))),
+            "shares": pa.array((1 + about // share).astype(np.int32)),
+            "at": pa.array(left[first].astype(np.int32)),
+            "fragment": phrased(b.words, [c[first] for c in columns]),
+            "weight": pa.array(np.bincount(key).astype(np.int64)),
+        }
+        return pa.RecordBatch.from_pydict(rows)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, reach):
@@ -197,7 +202,8 @@ def _grams(batch: pa.RecordBatch, longest: int, least: int) -> Iterator[pa.Recor
     """Count the n-grams that hold their fragment's pivot; those of whole pivots must reach `least`."""
     data, offsets = buffers(batch.column("fragment"))
     starts, ends, firsts = spans(data, offsets, _SPACED)
-    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(ends - starts)]).tobytes()), pa.py_buffer(data[_SPACED[data]].tobytes())]).dictionary_encode()
+    places = np.concatenate([[0], np.cumsum(ends - starts)])
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places.tobytes()), pa.py_buffer(data[_SPACED[data]].tobytes())]).dictionary_encode()
     words, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
     names = as_binary(batch.column("lang")).dictionary_encode()
     langs, names = names.indices.to_numpy().astype(np.int64), names.dictionary
@@ -225,7 +231,8 @@ def mined(parts: DataFrame, longest: int, least: int) -> DataFrame:
     n-grams' counts and drop infrequent ones; those of a share pass theirs on.
     """
     share = F.when(F.col("shares") > 1, F.pmod(F.xxhash64("fragment", "at"), F.col("shares"))).otherwise(0).cast("int")
-    routed = parts.select(F.xxhash64("lang", "pivot", share).alias("owner"), (F.col("shares") > 1).alias("shared"), "lang", "at", "fragment", "weight").repartition("owner").sortWithinPartitions("owner")
+    routed = parts.select(F.xxhash64("lang", "pivot", share).alias("owner"), (F.col("shares") > 1).alias("shared"), "lang", "at", "fragment", "weight")
+    routed = routed.repartition("owner").sortWithinPartitions("owner")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -263,7 +270,8 @@ def scored(rows: DataFrame, phrases: DataFrame, words: DataFrame, factor: int) -
     cuts = rows.select("lang", "phrase", "a", parts.alias("w")).select("*", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("k"))
     join = lambda x: F.array_join(x, " ")
     cuts = cuts.select("lang", "phrase", "a", "k", join(F.slice("w", F.lit(1), F.col("k"))).alias("head"), join(F.slice("w", F.col("k") + 1, F.size("w"))).alias("tail"))
-    cuts = cuts.join(known.select("lang", F.col("part").alias("head"), F.col("f").alias("l")), ["lang", "head"]).join(known.select("lang", F.col("part").alias("tail"), F.col("f").alias("r")), ["lang", "tail"])
+    heads, tails = (known.select("lang", F.col("part").alias(part), F.col("f").alias(count)) for part, count in (("head", "l"), ("tail", "r")))
+    cuts = cuts.join(heads, ["lang", "head"]).join(tails, ["lang", "tail"])
     # Decimals of 38 digits: the product may pass 64 bits.
     score = (F.col("a").cast("decimal(20,0)") * F.lit(factor).cast("decimal(18,0)")).alias("x")
     cuts = cuts.select("lang", "phrase", "a", "k", "l", "r", score).withColumn("score", F.expr("x div (CAST(l AS DECIMAL(20,0)) + CAST(r AS DECIMAL(20,0)))"))
