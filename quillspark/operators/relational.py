@@ -198,18 +198,26 @@ def group_copies(documents: DataFrame, source_type: str | None = None) -> DataFr
 # ---- dashboards
 
 
-def counts(df: DataFrame, **conditions: Column) -> DataFrame:
-    return df.agg(*[(F.count(F.lit(1)) if c is None else F.count_if(c)).alias(name) for name, c in conditions.items()])
+def n_rows(condition: Column | None = None, weight: str | None = None) -> Column:
+    """How many rows (that meet a condition) there are. weight: a column that says how many a row stands for."""
+    if weight is None:
+        return F.count(F.lit(1)) if condition is None else F.count_if(condition)
+    n = F.col(weight) if condition is None else F.when(condition, F.col(weight))
+    return F.coalesce(F.sum(n), F.lit(0))
+
+
+def counts(df: DataFrame, weight: str | None = None, **conditions: Column | None) -> DataFrame:
+    return df.agg(*[n_rows(c, weight).alias(name) for name, c in conditions.items()])
 
 
 def _status(name: str) -> Column:
     return F.col("processing_status") == name
 
 
-def files_summary(documents: DataFrame) -> DataFrame:
+def files_summary(documents: DataFrame, weight: str | None = None) -> DataFrame:
     known = ("Original", "Duplicate", "Deleted", "Ingested")
     source = lambda s: F.col("source_type") == s
-    return counts(documents, total=None, originals=_status("Original"), duplicates=_status("Duplicate"), deleted=_status("Deleted"), ingested=_status("Ingested"), other=~F.col("processing_status").isin(*known), from_outlook=source("Outlook"), from_sharepoint=source("Sharepoint"), from_manual=source("manual_upload"))
+    return counts(documents, weight, total=None, originals=_status("Original"), duplicates=_status("Duplicate"), deleted=_status("Deleted"), ingested=_status("Ingested"), other=~F.col("processing_status").isin(*known), from_outlook=source("Outlook"), from_sharepoint=source("Sharepoint"), from_manual=source("manual_upload"))
 
 
 def class_summary(classification: DataFrame) -> DataFrame:
@@ -218,23 +226,25 @@ def class_summary(classification: DataFrame) -> DataFrame:
     return counts(classification, total_classified=None, **{s: F.col("classification_status") == s for s in states}, rule_only=tier("rule_only"), ai_assisted=tier("rule_and_ai"), **{c.lower(): F.col("document_type") == c for c in (*CATEGORIES, MISCELLANEOUS)})
 
 
-def sources(documents: DataFrame) -> DataFrame:
-    return documents.filter(live() & F.col("source_type").isNotNull()).groupBy("source_type").agg(F.count(F.lit(1)).alias("total"), F.count_if(_status("Original")).alias("originals"), F.count_if(_status("Duplicate")).alias("duplicates")).orderBy(F.col("total").desc(), "source_type")
+def sources(documents: DataFrame, weight: str | None = None) -> DataFrame:
+    n = {"total": None, "originals": _status("Original"), "duplicates": _status("Duplicate")}
+    rows = documents.filter(live() & F.col("source_type").isNotNull()).groupBy("source_type")
+    return rows.agg(*[n_rows(c, weight).alias(name) for name, c in n.items()]).orderBy(F.col("total").desc(), "source_type")
 
 
-def stats_totals(documents: DataFrame) -> DataFrame:
-    return counts(documents.filter(live()), total=None, originals=_status("Original"), duplicates=_status("Duplicate"))
+def stats_totals(documents: DataFrame, weight: str | None = None) -> DataFrame:
+    return counts(documents.filter(live()), weight, total=None, originals=_status("Original"), duplicates=_status("Duplicate"))
 
 
-def stats_by_source(documents: DataFrame) -> DataFrame:
-    return sources(documents).select("source_type", F.col("originals").alias("original"), F.col("duplicates").alias("duplicate"))
+def stats_by_source(documents: DataFrame, weight: str | None = None) -> DataFrame:
+    return sources(documents, weight).select("source_type", F.col("originals").alias("original"), F.col("duplicates").alias("duplicate"))
 
 
-def stats_by_day(documents: DataFrame, as_of: str, zone: str = "Asia/Kolkata", days: int = 30) -> DataFrame:
+def stats_by_day(documents: DataFrame, as_of: str, zone: str = "Asia/Kolkata", days: int = 30, weight: str | None = None) -> DataFrame:
     """Rows (deleted ones too) of each local day since `days` before `as_of`; days without rows don't appear."""
     ts = F.col("current_timestamp_ist").cast("timestamp")
     since = F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS")
-    return documents.filter(ts >= since).groupBy(F.to_date(F.from_utc_timestamp(ts, zone)).alias("date")).agg(F.count(F.lit(1)).alias("count")).orderBy("date")
+    return documents.filter(ts >= since).groupBy(F.to_date(F.from_utc_timestamp(ts, zone)).alias("date")).agg(n_rows(weight=weight).alias("count")).orderBy("date")
 
 
 # ---- classification and reviews
@@ -320,9 +330,17 @@ def audit(logs: DataFrame, users: DataFrame, action: str | None = None, resource
     return where(logs, action=action, resource_type=resource_type, user_id=user_id).join(users.select("user_id", "email", "full_name"), "user_id", "left")
 
 
+NOTICE = ("user_id", "classification_id", "notification_type")
+
+
 def notification_events(classification: DataFrame, documents: DataFrame, ownership: DataFrame) -> DataFrame:
     """What owners of manual uploads should hear of: one row for each user, classification and type."""
     rows = classification.join(documents.filter(F.col("source_type") == "manual_upload").select("document_id", "file_name"), "document_id").join(ownership.filter(F.col("user_id").isNotNull()).select("document_id", "user_id"), "document_id")
+    return notices(rows).dropDuplicates([*NOTICE])
+
+
+def notices(rows: DataFrame) -> DataFrame:
+    """What to tell of each classification with its file's name and an owner; statuses that nobody is told of go."""
     status, name, score = F.col("classification_status"), F.col("file_name"), percent(F.col("combined_confidence_score"))
     flagged = status.isin(*REVIEWABLE)
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
@@ -335,8 +353,7 @@ def notification_events(classification: DataFrame, documents: DataFrame, ownersh
         .when(status == "human_approved", text('"', name, '" was reviewed and approved as ', F.col("document_type"), " by an admin."))
         .when(status == "human_rejected", text('"', name, '" was reviewed and could not be classified into a specific category. It has been moved to Miscellaneous.'))
     )
-    events = rows.select("user_id", kind.alias("notification_type"), title.alias("title"), message.alias("message"), "document_id", "classification_id").filter("notification_type IS NOT NULL")
-    return events.dropDuplicates(["user_id", "classification_id", "notification_type"])
+    return rows.select("user_id", kind.alias("notification_type"), title.alias("title"), message.alias("message"), "document_id", "classification_id").filter("notification_type IS NOT NULL")
 
 
 def pending_notifications(events: DataFrame, sent: DataFrame) -> DataFrame:

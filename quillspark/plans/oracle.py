@@ -201,6 +201,10 @@ SELECT doc_id, category, CAST(count(*) FILTER (kind = 0) AS INTEGER) AS keywords
 FROM (SELECT doc_id, ord, category FROM texts, cats) LEFT JOIN hits USING (doc_id, ord) GROUP BY doc_id, category"""
 ORACLE_SQL["stream_embedding_upsert"] = ORACLE_SQL["embedding_upsert"]
 ORACLE_SQL["stream_notifications_pending"] = ORACLE_SQL["notifications_pending"]
+ORACLE_SQL["stream_notifications_live"] = ORACLE_SQL["notifications_events"]
+ORACLE_SQL["stream_files_summary"] = ORACLE_SQL["files_summary"]
+ORACLE_SQL["stream_stats_by_source"] = ORACLE_SQL["stats_by_source"]
+ORACLE_SQL["stream_stats_by_day"] = ORACLE_SQL["stats_by_day"]
 ORACLE_SQL["stream_dedup_corrected"] = ORACLE_SQL["dedup_rescan"]
 ORACLE_SQL["files_deleted_indexed"] = ORACLE_SQL["files_deleted"]
 ORACLE_SQL["metadata_search_indexed"] = ORACLE_SQL["metadata_search"]

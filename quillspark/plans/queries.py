@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chunking, scoring, text, vectors
@@ -534,6 +534,60 @@ def stream_notifications_pending(s, d):
     return told(X.sent_notifications(notifications_events(s, d)), cls, docs, X.ownership(s, d))
 
 
+def _slices(rows: DataFrame, at: Column, n: int = 4) -> list[DataFrame]:
+    """Rows in n steps of equal spans of time; without rows, steps without rows."""
+    ends = rows.agg(F.min(at).alias("low"), F.max(at).alias("high")).first()
+    if ends.low is None:
+        return [rows] * n
+    cuts = [ends.low + (ends.high - ends.low) * k / n for k in range(1, n)]
+    step = sum((F.when(at.cast("timestamp_ntz") > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
+    return [rows.filter(step == k) for k in range(n)]
+
+
+@query
+def stream_notifications_live(s, d):
+    """Notifications of streams of classifications, files and owners; files come a step late, owners a step later."""
+    from ..streaming.streams import told_live
+
+    docs, cls = _tables(s, d)
+    owners = X.ownership(s, d).join(docs.select("document_id", "current_timestamp_ist"), "document_id")
+    steps = [_slices(x, F.col("current_timestamp_ist")) for x in (cls, docs, owners)]
+    late = [[x.filter(F.lit(False))] * k + parts + [x.filter(F.lit(False))] * (2 - k) for k, (x, parts) in enumerate(zip((cls, docs, owners), steps, strict=True))]
+    return told_live(*late, lateness="2 hours")
+
+
+def _cells(s, d):
+    """Files that come in two parts, and what their statuses change to: of one part even before the files themselves."""
+    from ..streaming.dashboards import changes
+    from ..streaming.streams import counted
+
+    old, new = X.arrivals(s, d), X.documents(s, d)
+    first = F.col("document_id") % 2 == 0
+    return counted([changes(None, old.filter(first)), changes(old.filter(~first), new.filter(~first)), changes(None, old.filter(~first)), changes(old.filter(first), new.filter(first))])
+
+
+@query
+def stream_files_summary(s, d):
+    """The totals of all files from signed counts of changes alone."""
+    from ..streaming import dashboards
+
+    return dashboards.files_summary(_cells(s, d))
+
+
+@query
+def stream_stats_by_source(s, d):
+    from ..streaming import dashboards
+
+    return dashboards.stats_by_source(_cells(s, d))
+
+
+@query
+def stream_stats_by_day(s, d):
+    from ..streaming import dashboards
+
+    return dashboards.stats_by_day(_cells(s, d), X.AS_OF)
+
+
 @query
 def stream_dedup_corrected(s, d):
     """Duplicates by name of files that come in any order, and of which some are deleted later: as the rescan has them."""

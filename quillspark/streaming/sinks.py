@@ -109,7 +109,7 @@ class KeyedTable:
 
     def compacted(self, path: str) -> KeyedTable:
         """A table in a new folder that holds the same rows in one delta, under the last batch's number."""
-        new, done = KeyedTable(self.spark, path, self.schema, self.key), self.committed()
+        new, done = type(self)(self.spark, path, self.schema, self.key), self.committed()
         if done:
             new._write(self.read(), done[-1], 0, UPSERT)
             new._commit(done[-1])

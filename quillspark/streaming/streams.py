@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -18,6 +18,7 @@ from ..operators import relational as R
 from ..plans import fixtures as X
 from ..session import place, shared_dir
 from .corrections import corrected, latest_rows, rocks
+from .dashboards import CellTable, cell_changes
 from .sinks import INSERT, Change, KeyedTable, embedding_changes, notification_changes
 
 
@@ -115,6 +116,50 @@ def ingest_corrected(steps: list[DataFrame]) -> DataFrame:
     return table.read().drop("version")
 
 
+def live_notifications(classification: DataFrame, documents: DataFrame, ownership: DataFrame, lateness: str = "1 hour", horizon: str = "30 days") -> DataFrame:
+    """Events of three streams: files, their owners and their classifications may come in any order.
+
+    Each stream has current_timestamp_ist, and its rows come at most `lateness` out of order; how far one stream is
+    behind another doesn't matter, since the slowest moves the watermark. An owner is known within `horizon` of the file,
+    either way, and a classification is told of up to `horizon` after (or `lateness` before) it: so state ends. Rows
+    without a time, and what is further apart, are not joined. Equal events may come twice; the sink takes each once.
+    """
+    def timed(rows: DataFrame, at: str, *columns: Column | str) -> DataFrame:
+        return rows.select(*columns, F.col("current_timestamp_ist").cast("timestamp").alias(at)).withWatermark(at, lateness)
+
+    long, short = F.expr(f"INTERVAL {horizon}"), F.expr(f"INTERVAL {lateness}")
+    files = timed(documents.filter(F.col("source_type") == "manual_upload"), "file_at", F.col("document_id").alias("file_id"), "file_name")
+    owners = timed(ownership.filter(F.col("user_id").isNotNull()), "owner_at", F.col("document_id").alias("owned_id"), "user_id")
+    owned = files.join(owners, (F.col("file_id") == F.col("owned_id")) & F.col("owner_at").between(F.col("file_at") - long, F.col("file_at") + long))
+    owned = owned.select("file_id", "file_name", "user_id", "file_at")
+    classified = timed(classification, "classified_at", "classification_id", "document_id", "document_type", "classification_status", "combined_confidence_score")
+    both = classified.join(owned, (F.col("document_id") == F.col("file_id")) & F.col("classified_at").between(F.col("file_at") - short, F.col("file_at") + long))
+    return R.notices(both.drop("file_at"))
+
+
+def told_live(classification: list[DataFrame], documents: list[DataFrame], ownership: list[DataFrame], on_start=None, **options: str) -> DataFrame:
+    """What streams that come in steps, each step of all three a batch, tell: each (user, classification, type) once.
+
+    on_start: is given the running query.
+    """
+    spark = classification[0].sparkSession
+    events = live_notifications(*[in_steps(x, name) for x, name in ((classification, "live-classes"), (documents, "live-files"), (ownership, "live-owners"))], **options)
+    table = KeyedTable(spark, _place(spark, "told-live"), events.schema, [*R.NOTICE])
+    query = table.sink(events, _place(spark, "told-live-state"), notification_changes)
+    if on_start:
+        on_start(query)
+    query.awaitTermination()
+    return table.read()
+
+
+def counted(steps: list[DataFrame]) -> CellTable:
+    """The cells of the dashboards after changes that come in steps (see dashboards.changes)."""
+    spark = steps[0].sparkSession
+    table = CellTable(spark, _place(spark, "cells"))
+    table.sink(in_steps(steps, "changes"), _place(spark, "cells-state"), cell_changes).awaitTermination()
+    return table
+
+
 def daily_stream(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """Events by day and type; a day is written once the watermark has passed it."""
     rows = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", lateness)
@@ -150,7 +195,7 @@ def embedding_table(old: DataFrame, new: DataFrame, skipped: DataFrame) -> Keyed
 
 def told(sent: DataFrame, classification: DataFrame, documents: DataFrame, ownership: DataFrame) -> DataFrame:
     """Notifications of a stream of classifications, but for those sent before: each (user, classification, type) once."""
-    spark, key = classification.sparkSession, ["user_id", "classification_id", "notification_type"]
+    spark, key = classification.sparkSession, [*R.NOTICE]
     events = notification_stream(as_stream(classification, "classification-told"), documents, ownership).withColumn("told_before", F.lit(False))
     table = KeyedTable(spark, _place(spark, "told"), events.schema, key)
     table.write(-1, Change(sent.select([F.col(f.name) if f.name in sent.columns else F.lit(f.name == "told_before" or None).cast(f.dataType).alias(f.name) for f in events.schema]), INSERT))
