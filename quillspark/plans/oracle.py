@@ -201,6 +201,11 @@ SELECT doc_id, category, CAST(count(*) FILTER (kind = 0) AS INTEGER) AS keywords
 FROM (SELECT doc_id, ord, category FROM texts, cats) LEFT JOIN hits USING (doc_id, ord) GROUP BY doc_id, category"""
 ORACLE_SQL["stream_embedding_upsert"] = ORACLE_SQL["embedding_upsert"]
 ORACLE_SQL["stream_notifications_pending"] = ORACLE_SQL["notifications_pending"]
+ORACLE_SQL["files_duplicates_list_indexed"] = ORACLE_SQL["files_duplicates_list"]
+ORACLE_SQL["files_list_deep"] = f"WITH {META} SELECT {_FILE} FROM meta WHERE {_LIVE} AND NOT is_duplicate ORDER BY current_timestamp_ist DESC, document_id LIMIT 20 OFFSET (SELECT count(*) // 2 FROM meta WHERE {_LIVE} AND NOT is_duplicate)"
+ORACLE_SQL["document_by_id_bucketed"] = ORACLE_SQL["document_by_id"]
+ORACLE_SQL["files_all_latest_class_bucketed"] = ORACLE_SQL["files_all_latest_class"]
+ORACLE_SQL["pending_review_bucketed"] = ORACLE_SQL["pending_review"]
 ORACLE_SQL["stream_notifications_live"] = ORACLE_SQL["notifications_events"]
 ORACLE_SQL["stream_files_summary"] = ORACLE_SQL["files_summary"]
 ORACLE_SQL["stream_stats_by_source"] = ORACLE_SQL["stats_by_source"]

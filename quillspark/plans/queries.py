@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import chunking, scoring, text, vectors
 from ..operators import relational as R
 from ..operators import retrieval as V
+from ..operators.page_index import PageIndex
 from ..operators.text_index import TextIndex
 from ..operators.vector_index import VectorIndex
 from ..session import place
+from ..sources.tables import bucketed
 from . import fixtures as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,6 +115,23 @@ def files_duplicates_list(s, d):
     return R.page(R.files(X.documents(s, d), duplicates_only=True), newest(), 100, 5)
 
 
+def _paged(s, rows) -> PageIndex:
+    return PageIndex.build(rows, newest(), place(s, "pages"))
+
+
+@query
+def files_duplicates_list_indexed(s, d):
+    """The same page through an index of positions, which reads the files that hold it alone."""
+    return _paged(s, R.files(X.documents(s, d), duplicates_only=True)).page(100, 5)
+
+
+@query
+def files_list_deep(s, d):
+    """The page half way down the list of all files, through the same index."""
+    index = _paged(s, R.files(X.documents(s, d)))
+    return index.page(20, index.total().first()[0] // 2)
+
+
 @query
 def files_all_latest_class(s, d):
     return R.page(R.files_with_class(*_tables(s, d)), newest())
@@ -271,6 +290,30 @@ def pending_review(s, d):
     return R.pending_review(cls, docs)
 
 
+def _laid_out(s, d) -> tuple[DataFrame, DataFrame]:
+    """Both tables in buckets of their documents."""
+    docs, cls = _tables(s, d)
+    return bucketed(docs, "documents"), bucketed(cls, "classification")
+
+
+@query
+def document_by_id_bucketed(s, d):
+    """One document out of its bucket."""
+    return R.by_id(bucketed(X.documents(s, d), "documents"), 34)
+
+
+@query
+def files_all_latest_class_bucketed(s, d):
+    """The same over tables in buckets: neither the newest classification nor the join moves a row to its document."""
+    return R.page(R.files_with_class(*_laid_out(s, d)), newest())
+
+
+@query
+def pending_review_bucketed(s, d):
+    docs, cls = _laid_out(s, d)
+    return R.pending_review(cls, docs)
+
+
 def _brief(df: DataFrame) -> DataFrame:
     return df.select("classification_id", "document_id", "file_name", "source_type", "document_type", "classification_status", "classification_tier", "combined_confidence_score")
 
