@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions import text
 from . import fixtures as X
 
 _KIND = " ".join(f"WHEN '{i:x}' THEN '{k}'" for i, k in enumerate(X.KINDS))
@@ -201,6 +202,28 @@ SELECT doc_id, category, CAST(count(*) FILTER (kind = 0) AS INTEGER) AS keywords
 FROM (SELECT doc_id, ord, category FROM texts, cats) LEFT JOIN hits USING (doc_id, ord) GROUP BY doc_id, category"""
 ORACLE_SQL["stream_embedding_upsert"] = ORACLE_SQL["embedding_upsert"]
 ORACLE_SQL["stream_notifications_pending"] = ORACLE_SQL["notifications_pending"]
+_SPACE = r"[\s\p{Z}\x0B\x1C-\x1F\x{85}]"
+LAYOUT = rf"""
+split AS (SELECT page_id, url, unnest(string_split(coalesce(html, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(html, ''), chr(10)), 1) - 1 AS i FROM pages),
+lines AS (SELECT page_id AS doc_id, url, line, i // {X.PAGE_LINES} AS page, i % {X.PAGE_LINES} AS k, length(line) AS n FROM split),
+blocks AS (
+  SELECT doc_id, page, k, 10 + n % 5 * 60 AS x0, 10 + k * {X.LINE} AS y0, 18 + k * {X.LINE} + n % 3 * 4 AS y1,
+    regexp_replace(CASE WHEN k = 5 THEN url ELSE line END, '^{_SPACE}+|{_SPACE}+$', '', 'g') AS text FROM lines),
+boxes AS (SELECT doc_id, page, k, 12 + k * {X.LINE} AS y0, 45 + k * {X.LINE} AS y1, concat('Kind: k', substr(md5(line), 1, 6), '.') AS text FROM lines WHERE n % 11 = 0),
+said AS (SELECT * FROM blocks WHERE text <> '' AND NOT regexp_matches(text, '{text.PAGE_NUMBER}')),
+twice AS (SELECT DISTINCT a.doc_id, a.text FROM said a JOIN said b USING (doc_id, k, text) WHERE a.page = 0 AND b.page = 1),
+body AS (SELECT * REPLACE (regexp_replace(text, '{_SPACE}+', ' ', 'g') AS text) FROM said s WHERE y1 > 70 AND y0 < 930 AND NOT EXISTS (FROM twice t WHERE t.doc_id = s.doc_id AND t.text = s.text))"""
+ORACLE_SQL["page_layout_text"] = f"""WITH {LAYOUT},
+p AS (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY k) AS text FROM body GROUP BY ALL),
+d AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page) AS text FROM p GROUP BY ALL)
+SELECT doc_id, md5(text) AS text_md5, length(text) AS n_chars FROM d"""
+ORACLE_SQL["page_layout_sections"] = f"""WITH {LAYOUT},
+free AS (SELECT * FROM body b WHERE NOT EXISTS (FROM boxes t WHERE t.doc_id = b.doc_id AND t.page = b.page AND b.x0 < 400 AND b.x0 + 100 > 250 AND b.y0 < t.y1 AND t.y0 < b.y1)),
+gaps AS (SELECT *, coalesce(y0 - lag(y1) OVER w > 8, true) AS first FROM free WINDOW w AS (PARTITION BY doc_id, page ORDER BY k)),
+islands AS (SELECT *, count(*) FILTER (WHERE first) OVER (PARTITION BY doc_id, page ORDER BY k) AS no FROM gaps),
+paragraphs AS (SELECT doc_id, page, no, string_agg(text, ' ' ORDER BY k) AS text FROM islands GROUP BY ALL),
+parts AS (SELECT doc_id, page, 0 AS kind, no, text FROM paragraphs WHERE NOT regexp_matches(text, '{text.PAGE_NUMBER}') UNION ALL SELECT doc_id, page, 1, k, text FROM boxes)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, kind, no) - 1 AS chunk_index, CASE kind WHEN 0 THEN 'text' ELSE 'table' END AS chunk_type, md5(text) AS text_md5 FROM parts"""
 ORACLE_SQL["files_duplicates_list_indexed"] = ORACLE_SQL["files_duplicates_list"]
 ORACLE_SQL["files_list_deep"] = f"WITH {META} SELECT {_FILE} FROM meta WHERE {_LIVE} AND NOT is_duplicate ORDER BY current_timestamp_ist DESC, document_id LIMIT 20 OFFSET (SELECT count(*) // 2 FROM meta WHERE {_LIVE} AND NOT is_duplicate)"
 ORACLE_SQL["document_by_id_bucketed"] = ORACLE_SQL["document_by_id"]

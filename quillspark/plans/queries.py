@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chunking, scoring, text, vectors
+from ..operators import page_layout as L
 from ..operators import relational as R
 from ..operators import retrieval as V
 from ..operators.page_index import PageIndex
@@ -530,6 +531,19 @@ def chunks_structured(s, d):
     return rows.select("doc_id", F.posexplode("c").alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.text", "c.chunk_type")
 
 
+@query
+def page_layout_text(s, d):
+    """Text of printed pages from their blocks."""
+    return L.plain_text(X.page_blocks(s, d)).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def page_layout_sections(s, d):
+    """Paragraphs and tables of printed pages from their blocks and boxes."""
+    rows = L.sections(X.page_blocks(s, d), X.page_tables(s, d))
+    return rows.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_type", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 @query
 def table_sentences(s, d):
     """Line items of each order as a table of words."""
