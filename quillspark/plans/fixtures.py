@@ -130,25 +130,25 @@ def sent_notifications(events: DataFrame) -> DataFrame:
     return events.filter("classification_id % 3 = 0").select("user_id", "classification_id", "notification_type")
 
 
-#: Lines of a page of a document, and of a page's layout the height of a line in points.
+#: Blocks of a printed page, and points from one to the next.
 PAGE_LINES, LINE = 48, 20
 
 
 def _page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url", F.posexplode(F.split(F.coalesce("html", F.lit("")), "\n")).alias("i", "line"))
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url", F.posexplode(F.split(F.coalesce("html", F.lit("")), "<")).alias("i", "line"))
     return rows.select("doc_id", "url", "line", F.floor(F.col("i") / PAGE_LINES).cast("int").alias("page"), (F.col("i") % PAGE_LINES).alias("k"), F.length("line").alias("n"))
 
 
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of markup as text blocks of printed pages; line 5 of each is the address."""
+    """The text after each tag as a block of printed pages; block 5 of each is the address."""
     x0, y0 = 10.0 + F.col("n") % 5 * 60, 10.0 + F.col("k") * LINE
-    text = F.when(F.col("k") == 5, F.col("url")).otherwise(F.col("line"))
+    text = F.when(F.col("k") == 5, F.col("url")).otherwise(F.regexp_replace("line", "^[^>]*>", ""))
     rows = _page_lines(spark, sf_dir)
     return rows.select("doc_id", "page", F.col("k").alias("block_no"), F.lit(1000.0).alias("height"), x0.alias("x0"), y0.alias("y0"), (x0 + 100).alias("x1"), (y0 + 8 + F.col("n") % 3 * 4).alias("y1"), text.alias("text"))
 
 
 def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table beside each line whose length is a multiple of 11."""
+    """A table beside each tag that is, with its text, a multiple of 11 long."""
     cells = F.array(F.array(F.lit("Kind"), F.concat(F.lit("k"), F.substring(F.md5(F.col("line").cast("binary")), 1, 6))))
     rows = _page_lines(spark, sf_dir).filter("n % 11 = 0")
     return rows.select("doc_id", "page", F.col("k").alias("table_no"), F.lit(250.0).alias("x0"), (12.0 + F.col("k") * LINE).alias("y0"), F.lit(400.0).alias("x1"), (45.0 + F.col("k") * LINE).alias("y1"), cells.alias("rows"))

@@ -204,11 +204,11 @@ ORACLE_SQL["stream_embedding_upsert"] = ORACLE_SQL["embedding_upsert"]
 ORACLE_SQL["stream_notifications_pending"] = ORACLE_SQL["notifications_pending"]
 _SPACE = r"[\s\p{Z}\x0B\x1C-\x1F\x{85}]"
 LAYOUT = rf"""
-split AS (SELECT page_id, url, unnest(string_split(coalesce(html, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(html, ''), chr(10)), 1) - 1 AS i FROM pages),
+split AS (SELECT page_id, url, unnest(string_split(coalesce(html, ''), '<')) AS line, generate_subscripts(string_split(coalesce(html, ''), '<'), 1) - 1 AS i FROM pages),
 lines AS (SELECT page_id AS doc_id, url, line, i // {X.PAGE_LINES} AS page, i % {X.PAGE_LINES} AS k, length(line) AS n FROM split),
 blocks AS (
   SELECT doc_id, page, k, 10 + n % 5 * 60 AS x0, 10 + k * {X.LINE} AS y0, 18 + k * {X.LINE} + n % 3 * 4 AS y1,
-    regexp_replace(CASE WHEN k = 5 THEN url ELSE line END, '^{_SPACE}+|{_SPACE}+$', '', 'g') AS text FROM lines),
+    regexp_replace(CASE WHEN k = 5 THEN url ELSE regexp_replace(line, '^[^>]*>', '') END, '^{_SPACE}+|{_SPACE}+$', '', 'g') AS text FROM lines),
 boxes AS (SELECT doc_id, page, k, 12 + k * {X.LINE} AS y0, 45 + k * {X.LINE} AS y1, concat('Kind: k', substr(md5(line), 1, 6), '.') AS text FROM lines WHERE n % 11 = 0),
 said AS (SELECT * FROM blocks WHERE text <> '' AND NOT regexp_matches(text, '{text.PAGE_NUMBER}')),
 twice AS (SELECT DISTINCT a.doc_id, a.text FROM said a JOIN said b USING (doc_id, k, text) WHERE a.page = 0 AND b.page = 1),
