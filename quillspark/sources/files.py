@@ -13,7 +13,7 @@ from . import docx, pdf
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """file_path, file_name, file_size, content of every file below a path."""
+    """file_path, file_name, file_size, content of every file below a path but empty ones (see document_source)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
     return files.select(F.col("path").alias("file_path"), F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("file_size"), "content")
 
@@ -29,16 +29,19 @@ def extract(name: str, data: bytes) -> tuple[str, list[dict], list[dict] | None]
     raise ValueError(f"unsupported file type: {name}")
 
 
+def attempted(name: str | None, data: bytes | None) -> tuple:
+    """text, chunks, elements, error, error_kind of a file, whatever it holds."""
+    try:
+        return (*extract(name or "", bytes(data) if data is not None else b""), None, None)
+    except ValueError as e:
+        return "", [], None, str(e), "unsupported"
+    except Exception as e:
+        return "", [], None, f"{type(e).__name__}: {e}", "failed"
+
+
 def _extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = []
-        for name, data in zip(batch.file_name, batch.content, strict=True):
-            try:
-                rows.append((*extract(name or "", bytes(data) if data is not None else b""), None, None))
-            except ValueError as e:
-                rows.append(("", [], None, str(e), "unsupported"))
-            except Exception as e:
-                rows.append(("", [], None, f"{type(e).__name__}: {e}", "failed"))
+        rows = [attempted(name, data) for name, data in zip(batch.file_name, batch.content, strict=True)]
         yield pd.concat([batch[["file_path", "file_name"]].reset_index(drop=True), pd.DataFrame(rows, columns=["text", "chunks", "elements", "error", "error_kind"])], axis=1)
 
 
@@ -46,6 +49,11 @@ def extracted(files: DataFrame, strict: bool = False) -> DataFrame:
     """file_path, file_name, text, chunks, error, error_kind. With strict, an unsupported file raises; a broken file never
     does: its text is empty."""
     rows = files.select("file_path", "file_name", "content").mapInPandas(_extracted, f"file_path string, file_name string, text string, chunks {CHUNK_TYPE}, elements {docx.ELEMENTS}, error string, error_kind string")
+    return finished(rows, strict)
+
+
+def finished(rows: DataFrame, strict: bool = False) -> DataFrame:
+    """The same of rows that hold the elements of a .docx, as the `documents` source gives them."""
     read = F.col("elements").isNotNull()
     rows = rows.select("file_path", "file_name", F.when(read, docx.plain_text(F.col("elements"))).otherwise(F.col("text")).alias("text"), F.when(read, docx.sections(F.col("elements"))).otherwise(F.col("chunks")).alias("chunks"), "error", "error_kind")
     if strict:
