@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import excerpt
 from ..functions.vectors import cosine
+from ..providers import Writer, answer, written
 from ..schemas import SEARCHABLE
 from .relational import real, where
 
@@ -64,6 +67,17 @@ def context(results: DataFrame, n: int = CONTEXT_DOCUMENTS) -> DataFrame:
     return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "part"))), lambda x: x["part"]), "\n\n---\n\n").alias("context"))
 
 
+def answered(contexts: DataFrame, make: Callable[[], Writer]) -> DataFrame:
+    """question, context, answer, answer_status of rows with a question and its context (see `context`).
+
+    no_sources where the context is empty, of which no model is asked; failed where the model fails.
+    """
+    known = F.coalesce(F.trim("context"), F.lit("")) != ""
+    said = written(contexts.filter(known).select("question", "context"), make, lambda writer, row: answer(writer, row.question or "", row.context), "answer")
+    none = contexts.filter(~known).select("question", "context", F.lit(None).cast("string").alias("answer"), F.lit("no_sources").alias("answer_status"))
+    return said.withColumn("answer_status", F.when(F.col("answer").isNull(), "failed").otherwise("answered")).unionByName(none)
+
+
 def inventory(embeddings: DataFrame, documents: DataFrame) -> DataFrame:
     return embeddings.filter(F.col("embedding").isNotNull()).join(documents.select("document_id", "file_name", "source_type"), "document_id").groupBy("document_id", "file_name", "source_type").agg(F.count("chunk_index").alias("chunks"))
 

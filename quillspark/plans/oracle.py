@@ -224,6 +224,8 @@ islands AS (SELECT *, count(*) FILTER (WHERE first) OVER (PARTITION BY doc_id, p
 paragraphs AS (SELECT doc_id, page, no, string_agg(text, ' ' ORDER BY k) AS text FROM islands GROUP BY ALL),
 parts AS (SELECT doc_id, page, 0 AS kind, no, text FROM paragraphs WHERE NOT regexp_matches(text, '{text.PAGE_NUMBER}') UNION ALL SELECT doc_id, page, 1, k, text FROM boxes)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, kind, no) - 1 AS chunk_index, CASE kind WHEN 0 THEN 'text' ELSE 'table' END AS chunk_type, md5(text) AS text_md5 FROM parts"""
+ORACLE_SQL["qa_answer"] = f"""SELECT 'What is agreed?' AS question, CASE WHEN trim(context) <> '' THEN concat('See ', array_to_string(regexp_extract_all(context, '\\[Source: ([^|\\]]*) \\|', 1), ', '), '.') END AS answer,
+CASE WHEN trim(context) <> '' THEN 'answered' ELSE 'no_sources' END AS answer_status FROM ({ORACLE_SQL['qa_context']})"""
 ORACLE_SQL["files_duplicates_list_indexed"] = ORACLE_SQL["files_duplicates_list"]
 ORACLE_SQL["files_list_deep"] = f"WITH {META} SELECT {_FILE} FROM meta WHERE {_LIVE} AND NOT is_duplicate ORDER BY current_timestamp_ist DESC, document_id LIMIT 20 OFFSET (SELECT count(*) // 2 FROM meta WHERE {_LIVE} AND NOT is_duplicate)"
 ORACLE_SQL["document_by_id_bucketed"] = ORACLE_SQL["document_by_id"]

@@ -14,6 +14,7 @@ from ..operators import retrieval as V
 from ..operators.page_index import PageIndex
 from ..operators.text_index import TextIndex
 from ..operators.vector_index import VectorIndex
+from ..providers import SourceWriter
 from ..session import place
 from ..sources.tables import bucketed
 from . import fixtures as X
@@ -59,6 +60,13 @@ def qa_context(s, d):
     return V.context(semantic_search(s, d))
 
 
+@query
+def qa_answer(s, d):
+    """What a writer says to a question about the documents found for it."""
+    rows = qa_context(s, d).select(F.lit("What is agreed?").alias("question"), "context")
+    return V.answered(rows, SourceWriter).select("question", "answer", "answer_status")
+
+
 def _scored(s, d):
     return V.scored(X.embeddings(s, d).crossJoin(F.broadcast(X.query_vector(s, d))), F.col("query"))
 

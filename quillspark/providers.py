@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -82,6 +83,35 @@ def embedded(chunks: DataFrame, make: Callable[[], Embedder], text: str = "chunk
     return chunks.drop("embedding", "embedding_status").mapInPandas(task, f"{schema}, embedding array<float>, embedding_status string")
 
 
+class SourceWriter:
+    """Names the sources that a prompt holds: deterministic, without a model."""
+
+    def write(self, prompt: str, limit: int) -> str:
+        found = re.findall(r"\[Source: ([^|\]]*) \|", prompt)
+        return f"See {', '.join(found)}." if found else ""
+
+
+def written(rows: DataFrame, make: Callable[[], Writer], ask: Callable, column: str, kind: str = "string") -> DataFrame:
+    """rows with a column of what a model says of each, one writer a task; null where it fails after three attempts.
+
+    ask: of a writer and a row (a named tuple) makes the value.
+    """
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, said = make(), retried(ask)
+        for pdf in frames:
+            values: list = []
+            for row in pdf.itertuples(index=False):
+                try:
+                    values.append(said(model, row))
+                except Exception:
+                    values.append(None)
+            yield pdf.assign(**{column: pd.Series(values, index=pdf.index, dtype=object)})
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != column)
+    return rows.drop(column).mapInPandas(task, f"{schema}, `{column}` {kind}")
+
+
 def prompt_excerpt(text: str, limit: int = 6000) -> str:
     return text[:limit]
 
