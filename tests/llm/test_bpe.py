@@ -32,6 +32,26 @@ def test_random_words(theirs):
         assert ours.encode(text) == theirs.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_merged_side_by_side(theirs):
+    rng, ours = random.Random(7), Bpe(PATH)
+    words = list({"".join(rng.choice("abcdethinr") for _ in range(rng.choice([1, 2, 3, 5, 8, 9, 17, 64, 70]))) for _ in range(800)}) + ["éß", "漢字"]
+    got = dict(ours.merge_all(words))
+    assert got == {x: ours.merge(x) for x in words} == {x: theirs.encode(x, add_special_tokens=False).ids for x in words}
+
+
+@pytest.mark.parametrize("cache", [4, 400_000])
+def test_plain_texts_go_through_the_pieces(theirs, monkeypatch, cache):
+    from quillspark.llm import bpe
+
+    monkeypatch.setattr(bpe, "CACHE", cache)
+    ours = Bpe(PATH)
+    texts = ["Plain  words,\tplain WORDS.\n", "don't\u00a0stop at w\u3000x12", *(f"word{i} text {i % 3} again" for i in range(20))]
+    want = [theirs.encode(x, add_special_tokens=False).ids for x in texts]
+    monkeypatch.setattr(ours, "encode", None)  # the way of texts with special tokens or odd blanks
+    assert list(ours.both_all(texts)) == [(" ".join(map(str, x)), ours.decode(x)) for x in want]
+    assert 0 < len(ours.pieces) <= cache
+
+
 def test_tree_gives_leftmost_lowest():
     rng = random.Random(1)
     for n in (1, 2, 3, 7, 16, 33):
