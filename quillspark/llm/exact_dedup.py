@@ -200,7 +200,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chains = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("text")).mapInArrow(_chains, _CHAIN)
     owner = F.shiftrightunsigned("key", 64 - skip).cast("int")
     routed = chains.withColumn("owner", owner).repartitionById(1 << skip, F.col("owner")).sortWithinPartitions("owner", "key")
-    return written(routed.mapInArrow(_owner(capacity, skip), _INDEX), "exact-index", by="what")
+    # One file a task: on a local folder each file and folder costs a process that Hadoop starts to set its permissions.
+    return written(routed.mapInArrow(_owner(capacity, skip), _INDEX), "exact-index")
 
 
 def looked_up(rows: DataFrame, index: DataFrame) -> DataFrame:

@@ -86,3 +86,15 @@ def test_keepers_come_through_the_directory(spark):
     for broken in (wrong, index.filter("what = 'entry'")):
         with pytest.raises(Exception, match="has no entry"):
             looked_up(keyed, broken).collect()
+
+
+def test_an_index_is_one_file_a_task(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    try:
+        docs = spark.createDataFrame([(i, f"text {i % 60}") for i in range(200)], "doc_id long, text string")
+        index = build_index(docs, capacity=2)
+        assert len(index.inputFiles()) <= 16 == index.select("owner").distinct().count()
+        assert {r.doc_id: r.keep_id for r in looked_up(_keyed(docs, "doc_id", "text"), index).collect()} == {i: i % 60 for i in range(200)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
