@@ -1,15 +1,18 @@
 """Main text of web pages: markup zones, and line differencing between pages with neighbouring URLs.
 
-Each page becomes lines, one for each block element. Markup settles most of them: what stands in menus, footers, adverts
-and the like goes, what stands in an article element stays. Lines that markup leaves open are compared with those of the
-page whose path is nearest within the same host: both pages' lines are aligned by their longest common subsequence, and
-the lines they share, being the site's and not the page's, are deleted.
-
-Lines of an article element are never deleted as shared: articles that quote each other would lose their own text.
+Each page becomes lines, one for each block element, those of menus, footers, adverts and the like among them. They are
+compared with the lines of the page whose path is nearest within the same host: both pages' lines are aligned by their
+longest common subsequence, and the lines they share, being the site's and not the page's, are deleted.
+
+A check by markup follows, on every page. Lines in marked elements go even if no neighbour has them. Where a page has
+article elements, what stands outside of them goes, and lines of theirs that were deleted as shared are put back, since
+articles that quote each other would lose their own text; but an article element that is shared whole, as a list of the
+latest stories is, stays deleted if another of the page has lines of its own.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -49,6 +52,9 @@ MARKS = frozenset(_MARKS.split())
 PARTS = frozenset("area bar block body box btn c button buttons card container content feed form group holder icon icons inner is item items js label link links list main modal outer overlay panel post posts reader readers row section site slot sticky stories text thread title top bottom left right unit user users visitor wrap wrapper zone".split())
 #: Within an article a header holds its title.
 MARKS_INSIDE = MARKS - {"header"}
+RULED_OUT = -1
+#: Cells of the table that aligns two pages; larger ones are halved first, so that memory stays in proportion to lines.
+CELLS = 4 << 20
 #: Attributes: quotes count only where a value begins, as in HTML. Outside of quotes a < ends the search, and nothing is
 #: tried twice, so that markup that never ends costs little.
 _ATTRIBUTES = r"""((?>[^<>=]|=[ \t\n\f\r]*+(?:"[^"]*"|'[^']*'|[^\s<>"'][^\s<>]*)?)*+)"""
@@ -164,23 +170,31 @@ def _matched(text: str, name: str) -> dict[int, int]:
     return out
 
 
-def page_lines(text: str) -> list[tuple[str, bool]]:
-    """The lines of a page that markup doesn't rule out, each with whether it stands in an article element.
+def page_lines(text: str) -> list[tuple[str, int]]:
+    """The lines of a page that markup doesn't rule out, each with the number of the article element it stands in, else 0."""
+    return [(line, unit) for line, unit in all_lines(text) if unit != RULED_OUT]
+
+
+def all_lines(text: str) -> list[tuple[str, int]]:
+    """All lines of a page; the number of those that markup rules out is RULED_OUT.
+
+    The outermost article counts; of lines in a main element alone, that.
 
     What stands in a marked element goes, articles too, as those of a list of comments or a sidebar; only where nothing
     would be left of any article do articles end the marked elements around them.
     """
     lines, hidden = _lines(text, False)
-    return _lines(text, True)[0] if hidden and not any(inside for _, inside in lines) else lines
+    return _lines(text, True)[0] if hidden and not any(unit > 0 for _, unit in lines) else lines
 
 
-def _lines(text: str, freed: bool) -> tuple[list[tuple[str, bool]], bool]:
+def _lines(text: str, freed: bool) -> tuple[list[tuple[str, int]], bool]:
     """The lines, and whether an article stands in a marked element; freed: such an article ends it."""
-    out: list[tuple[str, bool]] = []
+    out: list[tuple[str, int]] = []
     hidden, closings = False, {}
     held: list[str] = []
     tags = _Open()
     inside = 0  # open article elements
+    units, of = 0, {}  # numbers given so far, and by name that of the outermost open one
     skip, skipped_in, skipped_at = -1, 0, 0  # the open element whose content goes, articles around it, the end of its tag
     ends: dict[int, int] | None = None
 
@@ -189,10 +203,12 @@ def _lines(text: str, freed: bool) -> tuple[list[tuple[str, bool]], bool]:
             line = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
             held.clear()
             if line:
-                out.append((line, inside > 0))
+                out.append((line, RULED_OUT if skip >= 0 else of["article" if tags.counts.get("article") else "main"] if inside else 0))
 
     def cut(k: int) -> None:
         nonlocal inside, skip
+        if skip >= k:
+            close()
         inside -= sum(x in ARTICLE for x in tags.cut(k))
         if skip >= k:
             skip = -1
@@ -200,7 +216,7 @@ def _lines(text: str, freed: bool) -> tuple[list[tuple[str, bool]], bool]:
     at, end = 0, len(text)
     while at < end:
         m = _TAG.search(text, at)
-        if skip < 0 and (m.start() if m else end) > at:
+        if (m.start() if m else end) > at:
             held.append(text[at : m.start() if m else end])
         if not m:
             break
@@ -210,7 +226,7 @@ def _lines(text: str, freed: bool) -> tuple[list[tuple[str, bool]], bool]:
         name = m[2].lower()
         if name in BLOCKS:
             close()
-        elif name == "br" and skip < 0:
+        elif name == "br":
             held.append(" ")
         if m[1]:
             k = tags.ended(name)
@@ -249,6 +265,9 @@ def _lines(text: str, freed: bool) -> tuple[list[tuple[str, bool]], bool]:
         tags.push(name)
         if name in ARTICLE:
             inside += 1
+            if tags.counts[name] == 1:
+                units += 1
+                of[name] = units
             if skip < 0 and not freed and _marked(m[3], MARKS_INSIDE):
                 close()
                 hidden, skip, skipped_in, skipped_at = True, len(tags.names) - 1, inside, at
@@ -274,17 +293,35 @@ def common_lines(a: list, b: list) -> list[bool]:
         return shared
     # Only lines that both hold can be common; the rest of the table would be copies of its neighbours.
     both = set(x) & set(y)
-    xs, y = [k for k, v in enumerate(x) if v in both], [v for v in y if v in both]
     number = {v: k for k, v in enumerate(both)}
-    cols = np.array([number[v] for v in y], np.int64)
-    rows = np.zeros((len(xs) + 1, len(y) + 1), np.int32)
-    for r in range(len(xs) - 1, -1, -1):
-        best = np.where(cols == number[x[xs[r]]], rows[r + 1, 1:] + 1, rows[r + 1, :-1])
+    xs = [k for k, v in enumerate(x) if v in both]
+    for k, common in zip(xs, _aligned(np.array([number[x[k]] for k in xs], np.int64), np.array([number[v] for v in y if v in both], np.int64)), strict=True):
+        shared[i + k] = common
+    return shared
+
+
+def _lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How long the longest common subsequences of x and each beginning of y are."""
+    row = np.zeros(len(y) + 1, np.int32)
+    for v in x:
+        np.maximum.accumulate(np.where(y == v, row[:-1] + 1, row[1:]), out=row[1:])
+    return row
+
+
+def _aligned(x: np.ndarray, y: np.ndarray) -> list[bool]:
+    if len(x) > 1 and len(x) * len(y) > CELLS:
+        half = len(x) // 2
+        cut = int(np.argmax(_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]))
+        return _aligned(x[:half], y[:cut]) + _aligned(x[half:], y[cut:])
+    shared = [False] * len(x)
+    rows = np.zeros((len(x) + 1, len(y) + 1), np.int32)
+    for r in range(len(x) - 1, -1, -1):
+        best = np.where(y == x[r], rows[r + 1, 1:] + 1, rows[r + 1, :-1])
         rows[r, :-1] = np.maximum.accumulate(best[::-1])[::-1]
     r = c = 0
-    while r < len(xs) and c < len(y):
-        if x[xs[r]] == y[c]:
-            shared[i + xs[r]] = True
+    while r < len(x) and c < len(y):
+        if x[r] == y[c]:
+            shared[r] = True
             r, c = r + 1, c + 1
         elif rows[r + 1, c] >= rows[r, c + 1]:
             r += 1
@@ -293,44 +330,55 @@ def common_lines(a: list, b: list) -> list[bool]:
     return shared
 
 
-def _open(lines: list[tuple[str, bool]]) -> list[str]:
-    """The lines that markup leaves open: all, unless the page has an article element."""
-    return [] if any(kept for _, kept in lines) else [line for line, _ in lines]
+def staying(units: list[int], shared: list[bool]) -> list[bool]:
+    """Which lines are the text's, of those that markup leaves: what differencing left, checked by article elements."""
+    articles = {unit for unit in units if unit}
+    if not articles:
+        return [not gone for gone in shared]
+    whole = articles & {unit for unit, gone in zip(units, shared, strict=True) if not gone} or articles
+    return [unit in whole for unit in units]
 
 
 def _hashes(lines: list[str]) -> bytes:
     return np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines], np.uint64).tobytes()
 
 
-def _open_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _page_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each page that has lines: their hashes and article numbers, and a digest of those that markup leaves."""
     for batch in slices(batches, "html"):
-        found = [_hashes(_open(page_lines(x or ""))) for x in batch.column("html").to_pylist()]
-        keep = [i for i, x in enumerate(found) if x]
-        yield pa.RecordBatch.from_arrays([batch.column("page_key").take(pa.array(keep, pa.int64())), batch.column("url").take(pa.array(keep, pa.int64())), pa.array([found[i] for i in keep], pa.binary())], ["page_key", "url", "lines"])
+        keep, out = [], []
+        for i, html in enumerate(batch.column("html").to_pylist()):
+            if lines := all_lines(html or ""):
+                hashes, units = _hashes([x for x, _ in lines]), np.array([unit for _, unit in lines], np.int32)
+                keep.append(i)
+                out.append((hashes, units.tobytes(), hashlib.sha256(np.frombuffer(hashes, np.uint64)[units != RULED_OUT].tobytes()).digest()))
+        at = pa.array(keep, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("page_key").take(at), batch.column("url").take(at), *(pa.array([x[k] for x in out], pa.binary()) for k in range(3))], ["page_key", "url", "lines", "units", "digest"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bits of the lines that markup leaves: which of them stay. Pages that keep all they would keep without a neighbour have no row."""
     for batch in batches:
-        out = []
-        for a, b in zip(batch.column("lines").to_pylist(), batch.column("near_lines").to_pylist(), strict=True):
-            a, b = np.frombuffer(a, np.uint64).tolist(), np.frombuffer(b, np.uint64).tolist()
-            out.append(np.packbits(common_lines(a, b)).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("same"), pa.array(out, pa.binary())], ["same", "shared"])
+        keep, out = [], []
+        for i, (a, units, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lines", "units", "near_lines")), strict=True)):
+            units = np.frombuffer(units, np.int32)
+            left = units != RULED_OUT
+            shared = np.array(common_lines(np.frombuffer(a, np.uint64).tolist(), np.frombuffer(b, np.uint64).tolist()), bool)[left].tolist()
+            units = units[left].tolist()
+            stay = staying(units, shared)
+            if stay != staying(units, [False] * len(units)):
+                keep.append(i)
+                out.append(np.packbits(stay).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("same").take(pa.array(keep, pa.int64())), pa.array(out, pa.binary())], ["same", "stay"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "html"):
         out = []
-        for text, shared in zip(batch.column("html").to_pylist(), batch.column("shared").to_pylist(), strict=True):
+        for text, stay in zip(batch.column("html").to_pylist(), batch.column("stay").to_pylist(), strict=True):
             lines = page_lines(text or "")
-            if any(kept for _, kept in lines):
-                lines = [x for x, kept in lines if kept]
-            elif shared is None:
-                lines = [x for x, _ in lines]
-            else:
-                bits = np.unpackbits(np.frombuffer(shared, np.uint8))
-                lines = [x for (x, _), gone in zip(lines, bits, strict=False) if not gone]
-            out.append("\n".join(lines))
+            bits = staying([unit for _, unit in lines], [False] * len(lines)) if stay is None else np.unpackbits(np.frombuffer(stay, np.uint8), count=len(lines)).tolist()
+            out.append("\n".join([x for (x, _), kept in zip(lines, bits, strict=True) if kept]))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -344,19 +392,22 @@ def _nearer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("same"), pa.array(near, pa.string())], ["same", "near"])
 
 
-def shared_lines(pages: DataFrame) -> DataFrame:
-    """page_key and the bits of its open lines that it shares with the page of nearest path in its host.
+def differenced(pages: DataFrame) -> DataFrame:
+    """page_key and bits of the lines that markup leaves: which of them stay, for pages whose text the page of nearest path changes.
+
+    All lines of both pages are aligned, those in menus and the like too; the check by article elements follows at once,
+    so that a page of which it puts back every line has no row here, and its html need not move.
 
     Pages are ordered by path over the whole host; of the one before and the one after, that with the longer common
-    beginning counts, of two alike the one before. Rows of one path with the same lines are copies of one page, which
-    isn't its own neighbour. A page alone in its host shares nothing.
+    beginning counts, of two alike the one before. Rows of one path of which markup leaves the same lines are copies of one page, which
+    isn't its own neighbour; of their lines the least are aligned. A page alone in its host shares nothing.
     """
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1))
     path = F.regexp_replace(F.regexp_replace("url", r"^[a-zA-Z][\w+.-]*://[^/?#]*", ""), r"[?#].*$", "")
-    same = F.sha2(F.concat(F.concat_ws("\x1f", "host", "path", F.lit("")).cast("binary"), "lines"), 256)
-    opened = pages.select("page_key", "url", "html").mapInArrow(_open_hashes, "page_key string, url string, lines binary")
-    lines = written(opened.select("page_key", "lines", host.alias("host"), path.alias("path")).withColumn("same", same), "open-lines")
-    once = lines.dropDuplicates(["same"])
+    same = F.sha2(F.concat(F.concat_ws("\x1f", "host", "path", F.lit("")).cast("binary"), "digest"), 256)
+    opened = pages.select("page_key", "url", "html").mapInArrow(_page_hashes, "page_key string, url string, lines binary, units binary, digest binary")
+    lines = written(opened.select("page_key", "lines", "units", "digest", host.alias("host"), path.alias("path")).withColumn("same", same).drop("digest"), "page-lines")
+    once = lines.groupBy("host", "path", "same").agg(F.min(F.struct("lines", "units")).alias("least")).select("host", "path", "same", "least.*")
     # Contiguous ranges of all paths, however large a host is; the rows at their edges are handed on to the ranges beside.
     ranges = once.select("host", "path", "same").repartitionByRange(partitions(pages.sparkSession), "host", "path", "same")
     placed = written(ranges.withColumn("part", F.spark_partition_id()), "page-order")
@@ -368,10 +419,10 @@ def shared_lines(pages: DataFrame) -> DataFrame:
     within = placed.select("part", "host", "path", "same", F.lag(page).over(w).alias("before"), F.lead(page).over(w).alias("after"))
     beside = within.join(F.broadcast(edges), "part").select("host", "path", "same", F.coalesce("before", "before_part").alias("before"), F.coalesce("after", "after_part").alias("after"))
     near = beside.mapInArrow(_nearer, "same string, near string")
-    own, other = once.select("same", "lines"), once.select(F.col("same").alias("near"), F.col("lines").alias("near_lines"))
+    own, other = once.select("same", "lines", "units"), once.select(F.col("same").alias("near"), F.col("lines").alias("near_lines"))
     # A page is near to two others at most, so no key of these joins is hot.
-    bits = near.filter("near IS NOT NULL").join(own, "same").join(other, "near").mapInArrow(_compared, "same string, shared binary")
-    return written(lines.select("page_key", "same").dropDuplicates(["page_key"]).join(bits, "same").select("page_key", "shared"), "shared-lines")
+    bits = near.filter("near IS NOT NULL").join(own, "same").join(other, "near").mapInArrow(_compared, "same string, stay binary")
+    return written(lines.select("page_key", "same").dropDuplicates(["page_key"]).join(bits, "same").select("page_key", "stay"), "staying-lines")
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -383,6 +434,6 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     key = F.sha2(F.concat_ws("\x1f", F.col("page_id").cast("string"), F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))), 256)
     keyed = rows.withColumn("page_key", key)
-    shared = shared_lines(keyed.withColumn("url", F.coalesce("url", F.lit(""))))
+    stay = differenced(keyed.withColumn("url", F.coalesce("url", F.lit(""))))
     # A written table, so Spark knows its size: it broadcasts it only below the session's threshold, else joins by key.
-    return keyed.join(shared, "page_key", "left").select("page_id", "url", "html", "shared").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
+    return keyed.join(stay, "page_key", "left").select("page_id", "url", "html", "stay").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")

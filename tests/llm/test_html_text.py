@@ -219,3 +219,36 @@ def test_zones_that_never_end_and_zones_around_all():
 def test_many_zones_take_linear_time():
     assert page_lines("<div class='ad'><article><p>x</p>" * 20_000)
     assert page_lines("<div class='ad'><article><p>x</p></article></div>" * 20_000)
+
+
+def test_pages_with_articles_are_differenced(spark):
+    # The list of the latest stories, unmarked, is on both pages; a line that both stories quote stays.
+    page = lambda i: f"<body><div class=ad>Ad {i}</div><main><article><h1>Story {i}</h1><p>To be or not to be</p></article><article><p>Latest</p><p>Another story</p></article></main>"
+    rows = [(i, f"https://a.example/en/{i}", page(i)) for i in range(4)]
+    assert _texts(spark, rows) == {i: f"Story {i}\nTo be or not to be" for i in range(4)}
+    # A page shared whole keeps its article, and so does one without neighbours.
+    alike = [(1, "https://b.example/1", page(1)), (2, "https://b.example/2", page(1)), (3, "https://c.example/", page(3))]
+    assert _texts(spark, alike) == {i: f"Story {k}\nTo be or not to be\nLatest\nAnother story" for i, k in ((1, 1), (2, 1), (3, 3))}
+
+
+def test_marked_lines_take_part_in_the_comparison(spark):
+    rows = [(1, "https://a.example/1", "<nav>Home</nav><p>Sign up now<p>One"), (2, "https://a.example/2", "<nav>Home</nav><div class=notice>Sign up now</div><p>Two")]
+    assert _texts(spark, rows) == {1: "One", 2: "Two"}
+    # Copies whose adverts differ are still one page.
+    copies = [(i, f"https://b.example/{i // 2}", f"<div class=ad>Ad {i}</div><p>Our site<p>Story {i // 2}") for i in range(4)]
+    assert _texts(spark, copies) == {i: f"Story {i // 2}" for i in range(4)}
+
+
+def test_large_comparisons_are_halved(monkeypatch):
+    import random
+
+    from quillspark.llm import html_text
+
+    rng = random.Random(3)
+    pairs = [([rng.randrange(5) for _ in range(rng.randrange(40))], [rng.randrange(5) for _ in range(rng.randrange(40))]) for _ in range(100)]
+    want = [sum(common_lines(a, b)) for a, b in pairs]
+    monkeypatch.setattr(html_text, "CELLS", 20)
+    for (a, b), n in zip(pairs, want, strict=True):
+        mask = common_lines(a, b)
+        rest = iter(b)
+        assert sum(mask) == n and all(x in rest for x, m in zip(a, mask, strict=True) if m)
