@@ -17,6 +17,10 @@ from ..session import shared_dir
 #: Bytes hashed at once; keeps the 64-bit temporaries of one slice near 100 MB at most.
 SLICE_BYTES = 2 << 20
 
+#: For each file, each checksum file and each folder in a local folder Hadoop starts a chmod, and between fork and exec that
+#: process shows the memory of the executor or driver a second time. So no checksum files, nor marks of success.
+LOCAL = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -33,11 +37,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write to a table in the shared folder and read it back: lineage ends there and lost executors cost nothing."""
+def written(df: DataFrame, name: str, few: bool = False, **options: str) -> DataFrame:
+    """Write to a table in the shared folder and read it back: lineage ends there and lost executors cost nothing.
+
+    few: start few processes on local folders. Partitions are gathered by four, but to two for each core at least, and
+    options are LOCAL. Not for what ends in a join that Spark may have to split, or in uneven work.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
+    if few:
+        df, options = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, partitions(spark) // 4)), {**LOCAL, **options}
     df.write.options(**options).parquet(path)
     return spark.read.schema(schema).parquet(path)
 

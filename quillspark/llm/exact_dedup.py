@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import LOCAL, partitions, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of distinct texts that a scan task chains before it sends them on.
@@ -201,7 +201,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     owner = F.shiftrightunsigned("key", 64 - skip).cast("int")
     routed = chains.withColumn("owner", owner).repartitionById(1 << skip, F.col("owner")).sortWithinPartitions("owner", "key")
     # One file a task: on a local folder each file and folder costs a process that Hadoop starts to set its permissions.
-    return written(routed.mapInArrow(_owner(capacity, skip), _INDEX), "exact-index")
+    return written(routed.mapInArrow(_owner(capacity, skip), _INDEX), "exact-index", few=True)
 
 
 def looked_up(rows: DataFrame, index: DataFrame) -> DataFrame:
@@ -246,7 +246,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = lambda c: F.coalesce(c.cast("long"), F.lit(_NO_ID)).alias("id")
     found = exact_dedup(docs, id_col, text_col, capacity).filter("kept").select(F.col("text_sha256").alias("sha"), known(F.col("doc_id")))
     # Ids and digests go through the index; texts move once more, to the ids that stay.
-    kept = written(found, "kept")
+    kept = written(found, "kept", **LOCAL)
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), known(F.col(id_col)), F.sha2(normalised(F.col(text_col)), 256).alias("sha"))
     # By digest and id, so a hot text is no hot key; repeated rows meet in the same partition, without another exchange.
     return keyed.join(kept, ["sha", "id"], "left_semi").dropDuplicates(["sha", "id"]).select("row.*")

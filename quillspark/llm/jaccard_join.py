@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buffers, mix, packed, partitions, slices, spans, window_hashes, within, word_hashes, written
+from .common import LOCAL, buffers, mix, packed, partitions, slices, spans, window_hashes, within, word_hashes, written
 from .components import components
 from .decontamination import _LOWER, WORD
 
@@ -36,6 +36,8 @@ HASHES, STEP = 64, 16
 #: Texts of a block: a sixteenth of their cluster, within these bounds. Small blocks deal a cluster evenly, large ones send
 #: the texts of a very large cluster less often.
 SMALL_BLOCK, BLOCK = 128, 1024
+#: Bytes of texts whose shingles are made at once: a worker's memory is many times that.
+SLICE = 2 << 20
 #: Share of a prefix's shingles that must be able to recur in other prefixes. Of a similar text THRESHOLD of all shingles
 #: recur at least; prefixes of texts of unlike length end at different hashes, hence less.
 RECUR = 0.6
@@ -115,7 +117,7 @@ def least_recurring(n: int, share: float = RECUR, tolerance: float = TOLERANCE)
 
 def _prefix_task(width: int, threshold: float):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             docs = batch.column("doc_id").to_numpy()
             text, hashes = shingles(*buffers(batch.column("text")), width)
             if not len(text):
@@ -136,8 +138,8 @@ def promising(docs: DataFrame, width: int, threshold: float, tolerance: float) -
     A shingle's least and greatest document, combined before they move, tell whether it recurs. The recurring ones are
     written, so that Spark may split the join at a shingle of very many texts (not straight after an aggregate).
     """
-    rows = written(docs.mapInArrow(_prefix_task(width, threshold), "doc long, length int, shingle long"), "shingles")
-    recurring = written(rows.groupBy("shingle").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("shingle"), "recurring")
+    rows = written(docs.mapInArrow(_prefix_task(width, threshold), "doc long, length int, shingle long"), "shingles", few=True)
+    recurring = written(rows.groupBy("shingle").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("shingle"), "recurring", few=True)
     found = rows.join(recurring, "shingle", "left_semi").groupBy("doc", "length").agg(F.count(F.lit(1)).alias("n"))
 
     @F.pandas_udf("int")
@@ -151,13 +153,13 @@ def candidate_links(sets: DataFrame, threshold: float) -> DataFrame:
     """Edges (a, b) that join all texts of each similar pair; sets: doc_id and sh, its distinct shingles."""
     rows = sets.select("doc_id", F.size("sh").alias("size"), F.explode("sh").alias("shingle"))
     # Written, as is `first` below, so that Spark may split the joins at a shingle of very many texts.
-    recurring = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "recurring")
+    recurring = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "recurring", few=True)
     # Shingles of one text alone are the rarest: of the others only as many count as the prefix has places left.
     by_doc = Window.partitionBy("doc_id")
     placed = rows.join(recurring, "shingle").select("doc_id", "size", "shingle", F.row_number().over(by_doc.orderBy("n", "shingle")).alias("k"), F.count(F.lit(1)).over(by_doc).alias("others"))
     prefix = F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - 1e-9) + 1
-    rows = written(placed.filter(F.col("size") - F.col("others") + F.col("k") <= prefix).select("doc_id", "shingle"), "prefixes")
-    first = written(rows.groupBy("shingle").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).filter("b < last").select("shingle", "b"), "first")
+    rows = written(placed.filter(F.col("size") - F.col("others") + F.col("k") <= prefix).select("doc_id", "shingle"), "prefixes", few=True)
+    first = written(rows.groupBy("shingle").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).filter("b < last").select("shingle", "b"), "first", few=True)
     return rows.join(first, "shingle").filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
 
 
@@ -248,7 +250,7 @@ def _pairs_task(threshold: float, tolerance: float):
 
 def _sets_task(width: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             text, hashes = shingles(*buffers(batch.column("text")), width)
             have, starts = np.unique(text, return_index=True)
             if not len(have):
@@ -269,12 +271,12 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n = partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = rows.filter("doc_id is not null")
-    copies = written(rows.select("doc_id", F.sha2("text", 256).alias("sha")).groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "copies")
+    copies = written(rows.select("doc_id", F.sha2("text", 256).alias("sha")).groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "copies", few=True)
     # One row for each distinct text: copies have nothing to compare.
     reps = copies.filter("rep is not null").select(F.col("rep").alias("id")).distinct()
     # By key, never broadcast: the ids that are kept grow with the corpus.
-    kept = written(promising(known, width, threshold, tolerance).join(reps, "id", "left_semi"), "promising")
-    sets = written(known.join(kept.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets_task(width), "doc_id long, sh array<long>, marks binary"), "sets")
+    kept = written(promising(known, width, threshold, tolerance).join(reps, "id", "left_semi"), "promising", few=True)
+    sets = written(known.join(kept.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets_task(width), "doc_id long, sh array<long>, marks binary"), "sets", few=True)
     members = components(candidate_links(sets, threshold))
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     members = members.join(sizes, "component").select(F.col("node").alias("id"), F.col("component").alias("cluster"), F.ceil(F.col("size") / F.greatest(F.lit(min(SMALL_BLOCK, block)), F.least(F.lit(block), F.ceil(F.col("size") / 16)))).cast("int").alias("blocks"))
@@ -283,7 +285,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     paired = sets.withColumn("block", mine).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     paired = paired.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "sh", "marks")
     grouped = paired.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    return copies, written(grouped.mapInArrow(_pairs_task(threshold, tolerance), "a long, b long, n long"), "links")
+    return copies, written(grouped.mapInArrow(_pairs_task(threshold, tolerance), "a long, b long, n long"), "links", **LOCAL)
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -299,7 +301,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies, links = similar_links(docs, id_col, text_col, **options)
     classes = components(links.select("a", "b"))
     counts = links.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
-    found = written(counts.join(classes, "node", "left").select("node", "n_links", F.coalesce("component", "node").alias("component")), "classes")
+    found = written(counts.join(classes, "node", "left").select("node", "n_links", F.coalesce("component", "node").alias("component")), "classes", few=True)
     groups = copies.join(found, copies["rep"] == found["node"], "left").select("sha", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("n").alias("n_copies"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("sha"))
     return rows.join(groups, "sha").select("doc_id", "class_id", "n_links", "n_copies")
@@ -307,6 +309,6 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The row with the least id of each class, with all its columns; rows with a null id stay."""
-    classes = written(jaccard_classes(docs, id_col, text_col, **options).filter("doc_id <> class_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    classes = written(jaccard_classes(docs, id_col, text_col, **options).filter("doc_id <> class_id").select(F.col("doc_id").alias("gone")).distinct(), "gone", few=True)
     # By key, never broadcast: the ids that go grow with the corpus.
     return docs.join(classes.hint("merge"), docs[id_col].cast("long") == classes["gone"], "left_anti")

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 from fractions import Fraction
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.components import components
 from quillspark.llm.jaccard_join import jaccard_classes, keep_one, least_matches, least_recurring, prefix_lengths
+from quillspark.session import shared_dir
 
 
 def _set(text):
@@ -125,3 +127,24 @@ def test_very_long_texts_and_large_clusters(spark):
     got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] == (1, 1) and got[2] == (1, 1) and got[3] == (3, 0)
     assert all(got[10 + i] == (10, 299) for i in range(300))
+
+
+def test_few_files(spark):
+    """Each file, checksum file and folder in a local folder costs a process, which shows the executor's memory again."""
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    root = shared_dir(spark).removeprefix("file://")
+    old = set(os.listdir(root))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = _corpus(5)
+        kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(40)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(r.doc_id for r in kept) == sorted({r[1] for r in _brute(rows)}) and len(kept) < len(rows)
+    made = {d: os.listdir(f"{root}/{d}") for d in set(os.listdir(root)) - old}
+    assert {d.rsplit("-", 1)[0] for d in made} >= {"copies", "shingles", "recurring", "promising", "sets", "prefixes", "first", "stars", "least", "links", "classes", "gone"}
+    assert all(x.startswith("part-") for names in made.values() for x in names)
+    assert all(len(names) <= 10 for d, names in made.items() if not d.startswith("links-"))
