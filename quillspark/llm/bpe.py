@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import remembered, slices
 
 #: Pieces between blanks that a worker remembers; beyond that it starts anew.
 CACHE = 400_000
@@ -291,6 +291,7 @@ class Pieces(dict):
 
 @lru_cache(maxsize=2)
 def bpe(path: str) -> Bpe:
+    remembered["bpe"] = bpe.cache_clear
     return Bpe(path)
 
 

@@ -5,8 +5,9 @@ Words are found and hashed over whole Arrow buffers with numpy, never one Python
 
 from __future__ import annotations
 
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -183,5 +184,23 @@ def within(firsts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(texts)) + offset, texts
 
 
+#: What operators remember in this process from task to task, and what makes them forget it.
+remembered: dict[str, Callable[[], None]] = {}
+
+
+def forget_others(operator: str) -> None:
+    """Let go of what other operators remember in this process.
+
+    Spark gives an idle Python worker the tasks of the next stage, and what the stage before has filled would stand beside
+    what this one needs. For the beginning of a task; results don't depend on it.
+    """
+    others = [x for x in remembered if x != operator]
+    for x in others:
+        remembered.pop(x)()
+    if others:
+        gc.collect()  # what is remembered may point back at itself
+    pa.default_memory_pool().release_unused()
+
+
 def packed(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, slices, spans, word_hashes
+from .common import buffers, forget_others, slices, spans, word_hashes
 from .decontamination import _LOWER, WORD
 
 SAMPLE_DOCS = 6000
@@ -38,6 +38,8 @@ PARTS = 8
 #: anew ROUNDS times, since only they move the score of a text.
 STEPS, BATCH, TOP, ROUNDS = 400, 64, 2, 4
 THRESHOLD = 0.7
+#: Bytes of text scored at once; an executor holds what that takes for each of its tasks.
+SLICE = 1 << 20
 #: z of the lower confidence bound on a word's toxic share.
 CONFIDENCE = 2.5
 
@@ -466,19 +468,27 @@ def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def score_documents(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, score and predicted of each row, and the columns `keep` as kept_0, kept_1, ..."""
     shared = docs.sparkSession.sparkContext.broadcast(network)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)], F.lit(0.0).alias("score"))
+    # Texts go to the workers once, even if they are kept.
+    text = f"kept_{keep.index(text_col)}" if text_col in keep else "text"
+    columns = [*([F.col(text_col).alias("text")] if text == "text" else []), *[F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)]]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *columns, F.lit(0.0).alias("score"))
     schema = rows.drop("text").schema
     names = [f.name for f in schema]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = shared.value
-        for batch in slices(batches, limit=4 << 20):
-            score = pa.array(net.score(*buffers(batch.column("text"))), pa.float64())
-            yield pa.RecordBatch.from_arrays([score if c == "score" else batch.column(c) for c in names], names)
+        return scored(batches, shared.value, names, text)
 
     return rows.mapInArrow(task, schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def scored(batches: Iterator[pa.RecordBatch], network: Network, names: list[str], text: str = "text") -> Iterator[pa.RecordBatch]:
+    """The columns `names` of all rows, score filled in from the column `text`."""
+    forget_others("toxicity")
+    for batch in slices(batches, text, SLICE):
+        score = pa.array(network.score(*buffers(batch.column(text))), pa.float64())
+        yield pa.RecordBatch.from_arrays([score if c == "score" else batch.column(c) for c in names], names)
+
+
 def toxicity_report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 

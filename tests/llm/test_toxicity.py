@@ -1,5 +1,6 @@
 import os
 import random
+import weakref
 from zlib import crc32
 
 import numpy as np
@@ -175,3 +176,37 @@ def test_of_a_repeated_id_the_least_text_is_learnt(spark):
 def test_a_very_long_text_is_read_to_its_end(network):
     plain = " ".join("the ta lo se ver in an".split() * 60_000)
     assert network.score(*_flat([plain]))[0] < T.THRESHOLD < network.score(*_flat([f"{plain} foozle"]))[0]
+
+
+def test_scoring_lets_go_of_the_stage_before_and_takes_little_text_at_once(network, monkeypatch):
+    """A worker process that encoded texts scores the next stage's: the encoder's caches go, and slices are small."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from quillspark.llm.bpe import bpe
+
+    encoder = bpe(public_tokenizers.path("word_bpe_49k.json"))
+    list(encoder.both_all([f"word{i}" for i in range(500)]))
+    gone = weakref.ref(encoder)
+    del encoder
+    sizes, score = [], T.Network.score
+    monkeypatch.setattr(T.Network, "score", lambda self, data, offsets: sizes.append(len(data)) or score(self, data, offsets))
+    texts = [" ".join("the ta lo se ver in an".split() * 5000) + bad for bad in ("", " foozle") for _ in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(texts), pa.nulls(40, pa.float64())], ["doc_id", "kept_0", "score"])
+    rows = [r for x in T.scored(iter([batch]), network, ["doc_id", "kept_0", "score"], "kept_0") for r in x.to_pylist()]
+    assert bpe.cache_info().currsize == 0 and gone() is None
+    assert sum(sizes) == sum(map(len, texts)) > 4 << 20 and max(sizes) <= 1 << 20
+    assert [(r["doc_id"], r["kept_0"]) for r in rows] == list(enumerate(texts))
+    assert all((r["score"] >= T.THRESHOLD) == (i >= 20) for i, r in enumerate(rows))
+
+
+def test_a_kept_text_goes_to_the_workers_once(spark, network, monkeypatch):
+    rows = [(i, x, y) for i, (x, y) in enumerate(_corpus(60))]
+    docs = spark.createDataFrame([*[(r[0], r[1], "a") for r in rows], (None, None, "b"), (77, "", None)], "doc_id long, text string, lang string")
+    taken, through = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, *a, **b: taken.append(self.columns) or through(self, *a, **b))
+    got = {r.kept_0: r for r in T.score_documents(docs, network, keep=("doc_id", "text", "lang")).collect()}
+    want = {r.doc_id: r for r in T.score_documents(docs, network).collect()}
+    assert taken == [["doc_id", "kept_0", "kept_1", "kept_2", "score"], ["doc_id", "text", "score"]]
+    assert {k: r.predicted for k, r in got.items()} == {k: r.predicted for k, r in want.items()} and np.allclose([got[k].score for k in got], [want[k].score for k in got], atol=1e-6)
+    assert {(r.kept_0, r.kept_1, r.kept_2) for r in got.values()} == set(map(tuple, docs.collect()))
