@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,6 +23,11 @@ FRAME = 10_000
 _OUT = "document_id long, file_name string, processing_status string, is_duplicate boolean, duplicate_of string, version long"
 
 
+def micros(time: str) -> Column:
+    """A time as microseconds since 1970, since pandas holds none before 1677 or after 2262; no time comes after all others."""
+    return F.coalesce(F.unix_micros(F.col(time).cast("timestamp")), F.lit(2**63 - 1))
+
+
 @contextmanager
 def rocks(spark: SparkSession):
     """RocksDB as the state store, which stateful processors need, for streams that are started within."""

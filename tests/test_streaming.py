@@ -28,6 +28,17 @@ def test_ingest_over_several_batches(spark, tmp_path):
     assert got == {1: none, 2: none, 3: (True, "/p/2"), 4: none, 5: (True, "/p/2"), 6: none, 7: (True, "/p/6"), 8: none}
 
 
+def test_ingest_beyond_the_times_of_pandas(spark, tmp_path):
+    """A file of the year 2400 or 1500 is one like others; a microsecond parts two, and equal times are parted by id."""
+    far, past = dt.datetime(2400, 1, 1, 0, 0, 0, 1), dt.datetime(1500, 1, 1)
+    times = [(1, "a", far + dt.timedelta(microseconds=1)), (2, "a", far), (3, "a", far), (4, "b", far), (5, "b", past), (6, "c", past)]
+    rows = spark.createDataFrame([(i, name, f"/p/{i}", "Ingested", at) for i, name, at in times], ROWS)
+    with S.rocks(spark):
+        got = S.drained(S.ingest_stream(S.as_stream(rows, "far")), "far-out").collect()
+    want = R.arrivals(rows).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and {r.document_id for r in got if r.is_duplicate} == {1, 3, 4}
+
+
 def test_a_worker_goes_on_where_it_stopped(spark, sf_dir, tmp_path):
     cls = X.classification(spark, sf_dir)
     name, source = f"t{tmp_path.name}", str(tmp_path / "cls")
