@@ -44,8 +44,8 @@ class Corrected(StatefulProcessor):
     """State of one name, which is kept for good: a copy or a deletion may come at any time."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.files = handle.getMapState("files", "document_id long", "ts timestamp, file_path string, processing_status string, seq long")
-        self.head = handle.getValueState("head", "document_id long, ts timestamp, file_path string")
+        self.files = handle.getMapState("files", "document_id long", "ts long, file_path string, processing_status string, seq long")
+        self.head = handle.getValueState("head", "document_id long, ts long, file_path string")
         self.version = handle.getValueState("version", "version long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
@@ -54,7 +54,7 @@ class Corrected(StatefulProcessor):
         head, lost, touched = before, False, []
         for frame in rows:
             for r in frame.itertuples(index=False):
-                ts, seq, doc = r.ts.to_pydatetime(), int(r.seq), int(r.document_id)
+                ts, seq, doc = int(r.ts), int(r.seq), int(r.document_id)
                 if self.files.containsKey((doc,)) and self.files.getValue((doc,))[3] >= seq:
                     continue  # an event that was overtaken
                 self.files.updateValue((doc,), (ts, r.file_path, r.processing_status, seq))
@@ -104,7 +104,7 @@ def corrected(events: DataFrame) -> DataFrame:
     events: document_id, file_name (a file keeps its name), file_path, processing_status, ts, and seq, by which the latest
     event of a file counts. Statuses other than Deleted are live.
     """
-    rows = events.select("document_id", "file_name", "file_path", "processing_status", F.col("ts").cast("timestamp").alias("ts"), F.col("seq").cast("long").alias("seq"))
+    rows = events.select("document_id", "file_name", "file_path", "processing_status", micros("ts").alias("ts"), F.col("seq").cast("long").alias("seq"))
     return rows.groupBy("file_name").transformWithStateInPandas(Corrected(), _OUT, "append", "none")
 
 

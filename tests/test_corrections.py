@@ -43,6 +43,15 @@ def test_late_copies_and_deletions(spark):
     assert final(spark, steps) == {1: gone, 5: gone, 6: o, 7: o, 8: ("Duplicate", True, "/p/7"), 9: gone} == rescanned(spark, steps)
 
 
+def test_beyond_the_times_of_pandas(spark):
+    """Files of the years 2400 and 1500 are ones like others, and a microsecond parts two."""
+    far, past = dt.datetime(2400, 1, 1, 0, 0, 0, 1), dt.datetime(1500, 1, 1)
+    at = lambda doc, name, ts, *more: (*event(doc, name, 0, *more)[:4], ts, *event(doc, name, 0, *more)[5:])
+    steps = [[at(1, "a", far + dt.timedelta(microseconds=1)), at(2, "a", far), at(3, "b", far)], [at(4, "b", past), at(2, "a", far, "Deleted", 1)], [at(5, "a", far)]]
+    got = final(spark, steps)
+    assert got == rescanned(spark, steps) and got[1] == ("Duplicate", True, "/p/5") and got[3] == ("Duplicate", True, "/p/4")
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_any_order_ends_in_the_rescan(spark, seed, monkeypatch):
     monkeypatch.setattr(C, "FRAME", 3)
