@@ -20,6 +20,9 @@ from .sinks import Change
 
 #: Rows of a frame that a task emits at once.
 FRAME = 10_000
+#: Groups that names are dealt to. Python gets a group's rows of a batch at once, since a call costs the time of many rows;
+#: states lie by group, so a stream keeps the number that it began with.
+GROUPS = 2048
 _OUT = "document_id long, file_name string, processing_status string, is_duplicate boolean, duplicate_of string, version long"
 
 
@@ -28,6 +31,10 @@ def micros(time: str) -> Column:
     return F.coalesce(F.unix_micros(F.col(time).cast("timestamp")), F.lit(2**63 - 1))
 
 
+def name_group() -> Column:
+    return F.pmod(F.xxhash64("file_name"), F.lit(GROUPS)).cast("int").alias("name_group")
+
+
 @contextmanager
 def rocks(spark: SparkSession):
     """RocksDB as the state store, which stateful processors need, for streams that are started within."""

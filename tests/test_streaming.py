@@ -1,10 +1,13 @@
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import relational as R
 from quillspark.plans import fixtures as X
 from quillspark.session import shared_dir
+from quillspark.streaming import corrections as C
 from quillspark.streaming import streams as S
 
 ROWS = "document_id long, file_name string, file_path string, processing_status string, current_timestamp_ist timestamp_ntz"
@@ -39,6 +42,24 @@ def test_ingest_beyond_the_times_of_pandas(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and {r.document_id for r in got if r.is_duplicate} == {1, 3, 4}
 
 
+@pytest.mark.parametrize("groups", [1, 3])
+def test_ingest_of_names_that_share_a_group(spark, groups, monkeypatch):
+    monkeypatch.setattr(C, "GROUPS", groups)
+    r = random.Random(groups)
+    rows = [(i, r.choice(["a", "b", "c", "d", "", None]), r.choice(["Ingested", "Deleted"])) for i in range(1, 60)]
+    steps, first, want = [rows[:20], rows[40:], rows[20:40]], {}, set()
+    for step in steps:
+        known = dict(first)
+        for i, name, status in step:
+            if status != "Deleted":
+                first.setdefault(name, i)
+        want |= {(i, name, f"/p/{first[name]}" if name in known or name in first and first[name] < i else None) for i, name, _ in step}
+    with S.rocks(spark):
+        got = S.drained(S.ingest_stream(S.in_steps([_rows(spark, *x) for x in steps], "grouped")), "grouped-out").collect()
+    assert {(r.document_id, r.file_name, r.duplicate_of) for r in got} == want and len(got) == len(rows)
+    assert all(r.is_duplicate == (r.duplicate_of is not None) for r in got)
+
+
 def test_a_worker_goes_on_where_it_stopped(spark, sf_dir, tmp_path):
     cls = X.classification(spark, sf_dir)
     name, source = f"t{tmp_path.name}", str(tmp_path / "cls")
