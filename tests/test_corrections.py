@@ -65,6 +65,19 @@ def test_any_order_ends_in_the_rescan(spark, seed, monkeypatch):
     assert final(spark, steps) == rescanned(spark, steps)
 
 
+def test_names_that_share_a_group(spark, monkeypatch):
+    """States of names that lie together don't mix."""
+    monkeypatch.setattr(C, "GROUPS", 1)
+    monkeypatch.setattr(C, "FRAME", 4)
+    r = random.Random(7)
+    events = [event(d, r.choice(["a", "b", "c", "d", ""]), r.randrange(6)) for d in range(40)]
+    events += [(*e[:3], "Deleted", e[4], 1) for e in r.sample(events, 20)]
+    events += [(*e[:3], "Ingested", e[4] - dt.timedelta(hours=r.randrange(3)), 2) for e in r.sample(events[40:], 8)]
+    r.shuffle(events)
+    steps = [events[:15], events[15:30], events[30:31], events[31:]]
+    assert final(spark, steps) == rescanned(spark, steps)
+
+
 def test_only_what_changes_is_sent(spark, tmp_path):
     """A younger copy costs one row, a new head all of its name."""
     out = []
